@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes that go back to Spark at once.
 OUT_ROWS, OUT_BYTES = 512, 8 << 20
 #: Distinct pre-tokens that a worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Stands for a piece outside the vocabulary; no mapped byte has this character.
 UNKNOWN = "⁇"
 
