@@ -19,6 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Rows and bytes that go back to Spark at once.
 OUT_ROWS, OUT_BYTES = 512, 8 << 20
@@ -153,7 +154,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
                     yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[*fields, "token_ids", "decoded"])
                     start, ids, back, held = at + 1, [], [], 0
 
-    schema = docs.schema.add("token_ids", "binary").add("decoded", "binary")
+    schema = StructType([*docs.schema.fields, StructField("token_ids", BinaryType()), StructField("decoded", BinaryType())])
     return docs.mapInArrow(run, schema)
 
 
