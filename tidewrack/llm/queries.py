@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import bpe, exact, language, mixing, simhash
+from tidewrack.llm import bpe, exact, language, mixing, quality, secrets, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(_documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(_documents(spark, sf_dir))
 
@@ -30,14 +34,20 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_documents(spark, sf_dir))
 
 
+def op8_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_documents(spark, sf_dir))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_language_id": op5_language_id,
+    "op8_suffix_quality": op8_suffix_quality,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_byte_bpe": op10_byte_bpe,
 }
