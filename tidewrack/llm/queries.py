@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import bpe, exact, language, mixing, quality, secrets, simhash, substring, tokencount
+from tidewrack.llm import bpe, exact, language, lines, mixing, quality, secrets, simhash, substring, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_documents(spark, sf_dir))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(_documents(spark, sf_dir))
+
+
 def op8_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_suffix_quality": op8_suffix_quality,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_byte_bpe": op10_byte_bpe,
