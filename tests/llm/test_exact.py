@@ -39,6 +39,8 @@ def test_empty(spark):
     assert exact.groups(none).collect() == []
     some = spark.createDataFrame([(1, "x"), (None, "x"), (None, "y")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["kept"]) for r in exact.groups(some).collect()) == [(0, 0, True), (0, 1, False), (1, 1, True)]
+    big = [(2**60 + 1, "x"), (2**60 + 3, "x"), (None, "y")]
+    assert {r["keep_id"] for r in exact.groups(spark.createDataFrame(big, "doc_id long, text string")).collect()} == {2**60 + 1, None}
     assert all(r["kept"] for r in exact.dedup(some.where("doc_id is null"), exact.winners(exact.keys(none))).collect())
 
 

@@ -17,7 +17,7 @@ history makes every document a non-member; an empty table gives no rows; other c
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,18 +76,29 @@ def _placed(hashes: np.ndarray, buckets: np.ndarray, n: int) -> tuple[np.ndarray
     return move, slot
 
 
-def build_index(history: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """The index of a ``winners`` table: a row for each slot (and, last in ``shards``, how many shards there are)."""
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    shard, bucket = F.pmod(_hash(1), F.lit(shards)), F.pmod(_hash(2), F.lit(SHARD_KEYS // BUCKET_KEYS))
+    return rows.withColumn("shard", shard).withColumn("bucket", bucket).withColumn("hash", _hash(3))
+
+
+def build_index(history: DataFrame) -> DataFrame:
+    """The index of a ``winners`` table: a row for each slot (``leads``: the first of its bucket)."""
     history = cut(history)
-    shards = max(1, -(-history.count() // shard_keys))
-    dealt = history.withColumn("shard", F.pmod(_hash(1), F.lit(shards))).withColumn("bucket", F.pmod(_hash(2), F.lit(max(1, shard_keys // BUCKET_KEYS)))).withColumn("hash", _hash(3))
+    shards = max(1, -(-history.count() // SHARD_KEYS))
+    names = ["digest", "keep_id", "group_size", "shard", "bucket"]
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        move, slot = _placed(pdf["hash"].to_numpy(), pdf["bucket"].to_numpy(), len(pdf))
-        return pdf.assign(move=move, slot=slot, slots=len(pdf), shards=shards)[lambda t: t["slot"] >= 0].drop(columns="hash")
+    def place(own: pa.Table) -> pa.Table:
+        buckets = own["bucket"].to_numpy()
+        move, slot = _placed(own["hash"].to_numpy(), buckets, own.num_rows)
+        leads = np.zeros(own.num_rows, bool)
+        leads[np.unique(buckets, return_index=True)[1]] = True
+        found = own.select(names)
+        for name, column in (("move", move), ("slot", slot), ("slots", np.full(len(slot), len(slot))), ("shards", np.full(len(slot), shards)), ("leads", leads)):
+            found = found.append_column(name, pa.array(column))
+        return found.filter(pa.array(slot >= 0))
 
-    schema = "digest binary, keep_id long, group_size long, shard long, bucket long, move long, slot long, slots long, shards long"
-    return cut(dealt.groupBy("shard").applyInPandas(place, schema))
+    schema = "digest binary, keep_id long, group_size long, shard long, bucket long, move long, slot long, slots long, shards long, leads boolean"
+    return cut(_dealt(history, shards).groupBy("shard").applyInArrow(place, schema))
 
 
 def look_up(keyed: DataFrame, index: DataFrame) -> DataFrame:
@@ -95,9 +106,9 @@ def look_up(keyed: DataFrame, index: DataFrame) -> DataFrame:
     first = index.select("shards").first()
     if first is None:
         return keyed.select("*", F.lit(False).alias("member"), F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
-    moves = index.groupBy("shard", "bucket").agg(F.first("move").alias("move"), F.first("slots").alias("slots"))
+    moves = index.where("leads").select("shard", "bucket", "move", "slots")  # no aggregate: Spark may split hot texts in the join
     slots = index.select("shard", "slot", F.col("digest").alias("held"), "keep_id", "group_size")
-    asked = keyed.withColumn("shard", F.pmod(_hash(1), F.lit(first["shards"]))).withColumn("bucket", F.pmod(_hash(2), F.lit(max(1, SHARD_KEYS // BUCKET_KEYS)))).withColumn("hash", _hash(3))
+    asked = _dealt(keyed, first["shards"])
     asked = asked.join(moves, ["shard", "bucket"], "left")
     asked = asked.withColumn("slot", F.pmod(F.pmod(F.col("hash").bitwiseXOR(F.col("move")), F.lit(PRIME)), F.col("slots")))
     found = asked.join(slots, ["shard", "slot"], "left").withColumn("member", F.coalesce(F.col("held") == F.col("digest"), F.lit(False)))
