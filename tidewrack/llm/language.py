@@ -10,8 +10,8 @@ tables of windows, and texts are scored by array look-ups.
 
 Texts are lower-cased and each run of other characters than letters becomes one blank, in learning and in prediction.
 
-Bounds: at most about ``rows`` labelled rows of each language, chosen by a hash of the id, are learned from, and of
-their windows the ``windows`` most frequent of each language are kept. The model so has a size of its own, which does
+Bounds: of the ``LANGUAGES`` languages with most rows, at most about ``rows`` labelled rows of each, chosen by a hash
+of the id, are learned from, where they lie, since that table of languages is small enough to broadcast; of their windows the ``windows`` most frequent of each language are kept. The model so has a size of its own, which does
 not grow with the input. Prediction reads every text whole.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or where nothing could be learned; rows
@@ -33,8 +33,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Bytes of the longest context; windows of one byte more fill an unsigned 32-bit integer.
 ORDER = 3
-#: Labelled rows of each language to learn from, and distinct windows of each language kept.
-ROWS, WINDOWS = 4000, 200_000
+#: Languages learned at most, labelled rows of each to learn from, and distinct windows of each kept.
+LANGUAGES, ROWS, WINDOWS = 1000, 4000, 200_000
 #: Bytes scored at once, and bytes of evidence that the score counts at most.
 AT_ONCE, EVIDENCE = 1 << 20, 64
 UNKNOWN = "und"
@@ -202,9 +202,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     A count by language, then one pass over the chosen rows; window counts are combined before the shuffle.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    share = named.groupBy("lang").count().select("lang", (F.lit(float(rows)) / F.col("count")).alias("share"))
+    share = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang", (F.lit(float(rows)) / F.col("count")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = named.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
+    chosen = named.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,28 +223,29 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return build(by_language) if by_language else None
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and bits_per_byte (of the best language; null for ``und``).
+def predict(docs: DataFrame, model: Model | None, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` (without its text, if so asked) with lang_pred, score (0 to 1) and bits_per_byte (of the best language; null for ``und``).
 
     The score is the language's share of the likelihood, the evidence of all bytes counted as that of ``EVIDENCE``
     bytes at most. One pass over the rows, no shuffle.
     """
     docs = docs.drop("lang_pred", "score", "bits_per_byte")
+    kept = [n for n in docs.columns if keep_text or n != text]
     if model is None:
-        return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
     names = docs.schema.names
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])
+    schema = StructType([*(docs.schema[n] for n in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])
 
     def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
         plain = [letters(t.as_py()) for t in batch.column(names.index(text))]
-        n = np.array([len(t) for t in plain])
+        size = np.array([len(t) for t in plain])
         bits = model.code_lengths(plain)
         best = bits.argmin(axis=1)
         least = bits[np.arange(len(bits)), best]
-        share = 1 / np.exp2(-(bits - least[:, None]) * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]).sum(axis=1)
-        found = [model.languages[k] if m else UNKNOWN for k, m in zip(best, n)]
-        rate = pa.array(least / np.maximum(n, 1), mask=n == 0)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(np.where(n > 0, share, 0.0)), rate], names=[*names, "lang_pred", "score", "bits_per_byte"])
+        share = 1 / np.exp2(-(bits - least[:, None]) * (np.minimum(size, EVIDENCE) / np.maximum(size, 1))[:, None]).sum(axis=1)
+        found = [model.languages[k] if m else UNKNOWN for k, m in zip(best, size)]
+        rate = pa.array(least / np.maximum(size, 1), mask=size == 0)
+        return pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in kept), pa.array(found, pa.string()), pa.array(np.where(size > 0, share, 0.0)), rate], names=[*kept, "lang_pred", "score", "bits_per_byte"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +263,7 @@ def held_out(doc_id: str = "doc_id"):
 def identified(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score; learned from the others than those held out."""
     model = learn(docs.where(~held_out()))
-    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def known_language(docs: DataFrame) -> DataFrame:

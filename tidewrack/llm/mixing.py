@@ -11,16 +11,16 @@ on the logarithm of the words and kept inside a bracket, halving it where a step
 
 Rates depend on source and size alone, so each iteration reads a table of distinct (source, size) and not documents.
 
-Rounding into whole copies: the documents of a source, ordered by size, then by a hash of the id, take
-floor(C + 1/2) - floor(C' + 1/2) copies, C and C' being the running sums of rates with and without the document. The
-running sum is made in three levels (sizes of a source, hash buckets of a size, documents of a bucket), so that no
-task gets all documents of a source or of a size. Then one document at a time gains or loses a copy where that brings
-its source nearer to its target, ``REPAIRS`` times.
+Rounding into whole copies: the running sum of rates over a source's sizes is rounded, so that each size gets a whole
+number of copies; then copies are added or removed, largest sizes first, until the source is as near to its target as
+its sizes allow or ``REPAIRS`` rounds are over. The copies of a size are dealt evenly to its documents, which are
+ranked in hash buckets, so that no task gets all documents of a source or of a size.
 
 Defined results: a null text has size 0; sources are ordered by code point with null last, as a source of its own; a
 document of size 0 takes no words; a source without words has target 0; equal sizes are told apart by the hash of the
-id, then the id, and rows that repeat both by chance alone, which moves no total; a null id hashes like any value; an
-empty table gives no rows; other columns are not read.
+id, then the id, and rows that repeat both by chance alone, which moves no total; a null id hashes like any value; a
+source of which one document is the larger part comes as near to its target as whole copies allow; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 64
 #: Newton steps at most, the relative error at which they end, and how often the steps look at it.
 STEPS, ENOUGH, LOOK = 60, 1e-10, 4
-#: Documents of each source whose copies may change by one after the rounding.
-REPAIRS = 3
+#: Rounds that bring a source's words nearer to its target after the rounding.
+REPAIRS = 6
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -105,36 +105,41 @@ def rates(cells: DataFrame, wanted: DataFrame, base: float, cap: float) -> DataF
     return solved.alias("c").join(full, F.col("c.source").eqNullSafe(F.col("named"))).select("source", "size", "n", rate.alias("rate"))
 
 
-def _copies(sized: DataFrame, cells: DataFrame, rated: DataFrame) -> DataFrame:
-    """``sized`` with whole copies: the running sum of rates, rounded, in three levels."""
+def rounded(rated: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
+    """``rated`` with ``copies``, the whole number that the documents of each (source, size) take together.
+
+    The running sum of rates by size is rounded; then copies are added or removed, in the largest sizes that fit what
+    a source still lacks or has too many of, until nothing fits. All windows run over the sizes of a source.
+    """
+    source = Window.partitionBy("source")
+    upto = source.orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    larger = source.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    named = wanted.select(F.col("source").alias("named"), "target")
+    told = rated.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named")
+    told = told.withColumn("sum", F.sum(F.col("n") * F.col("rate")).over(upto))
+    copies = F.floor(F.col("sum") + 0.5) - F.floor(F.col("sum") - F.col("n") * F.col("rate") + 0.5)
+    told = told.withColumn("copies", F.least(F.greatest(copies, F.lit(0)), cap * F.col("n")).cast("long"))
+    for _ in range(REPAIRS):
+        told = told.withColumn("lack", F.col("target") - F.sum(F.col("size") * F.col("copies")).over(source))
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("lack"))
+        told = told.withColumn("room", F.when(fits, F.when(F.col("lack") > 0, cap * F.col("n") - F.col("copies")).otherwise(F.col("copies"))).otherwise(0))
+        left = F.abs("lack") - F.coalesce(F.sum(F.col("size") * F.col("room")).over(larger), F.lit(0))
+        take = F.least(F.greatest(F.floor(F.try_divide(left, F.col("size"))), F.lit(0)), F.col("room"))
+        told = told.withColumn("copies", (F.col("copies") + F.signum("lack") * F.coalesce(take, F.lit(0))).cast("long"))
+    return told.select("source", "size", "n", "copies")
+
+
+def _dealt(sized: DataFrame, cells: DataFrame, whole: DataFrame) -> DataFrame:
+    """The copies of each (source, size) dealt evenly to its documents, in the order of buckets, then hashes and ids."""
     cell = ["source", "size"]
-    by_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = rated.withColumn("before", F.sum(F.col("n") * F.col("rate")).over(by_size) - F.col("n") * F.col("rate"))
     by_bucket = Window.partitionBy(*cell).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buckets = cells.withColumn("ahead", F.sum("m").over(by_bucket) - F.col("m"))
-    nulls = F.col("b.source").eqNullSafe(F.col("r.source")) & (F.col("b.size") == F.col("r.size"))
-    placed = buckets.alias("b").join(starts.alias("r"), nulls).select("b.source", "b.size", "bucket", "ahead", "before", "rate")
-    in_bucket = Window.partitionBy(*cell, "bucket").orderBy("hash", "doc_id")
-    ranked = sized.withColumn("nth", F.row_number().over(in_bucket))
+    same = F.col("b.source").eqNullSafe(F.col("r.source")) & (F.col("b.size") == F.col("r.size"))
+    placed = buckets.alias("b").join(whole.alias("r"), same).select("b.source", "b.size", "bucket", "ahead", "n", "copies")
+    ranked = sized.withColumn("nth", F.row_number().over(Window.partitionBy(*cell, "bucket").orderBy("hash", "doc_id")))
     on = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")) & (F.col("d.bucket") == F.col("p.bucket"))
-    upto = F.col("before") + F.col("rate") * (F.col("ahead") + F.col("nth"))
-    copies = F.floor(upto + 0.5) - F.floor(upto - F.col("rate") + 0.5)
-    return ranked.alias("d").join(placed.alias("p"), on).select("doc_id", "d.source", "d.size", "hash", copies.cast("long").alias("copies"))
-
-
-def _repaired(copied: DataFrame, wanted: DataFrame, cap: float) -> DataFrame:
-    """One document of each source gains or loses a copy, if that brings the source's words nearer to the target."""
-    taken = copied.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
-    lack = wanted.alias("w").join(taken.alias("t"), F.col("w.source").eqNullSafe(F.col("t.source"))).select(F.col("w.source").alias("named"), (F.col("target") - F.col("taken")).alias("lack"))
-    on = F.col("c.source").eqNullSafe(F.col("named"))
-    open_ = F.when(F.col("lack") > 0, F.col("copies") + 1 <= cap).otherwise(F.col("copies") > 0)
-    asked = copied.alias("c").join(lack, on).where(open_ & (F.col("size") > 0))
-    gap = F.abs(F.abs("lack") - F.col("size"))
-    best = asked.groupBy("named", "lack").agg(F.min(F.struct(gap.alias("gap"), F.col("hash").alias("hash"), F.col("doc_id").alias("doc_id"))).alias("best"))
-    best = best.where(F.col("best.gap") < F.abs("lack")).select("named", F.col("best.doc_id").alias("chosen"), F.signum("lack").cast("long").alias("change"))
-    hit = F.col("c.source").eqNullSafe(F.col("named")) & F.col("doc_id").eqNullSafe(F.col("chosen"))
-    changed = F.least(F.greatest(F.col("copies") + F.coalesce("change", F.lit(0)), F.lit(0)), F.lit(int(cap)))
-    return cut(copied.alias("c").join(best, hit, "left").select("doc_id", "source", "size", "hash", changed.alias("copies")))
+    own = F.expr("(ahead + nth) * copies div n") - F.expr("(ahead + nth - 1) * copies div n")
+    return ranked.alias("d").join(placed.alias("p"), on).select("doc_id", "d.source", "d.size", own.alias("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -144,9 +149,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     cells = cut(sized.groupBy("source", "size", "bucket").agg(F.count("*").alias("m")))
     by_size = cut(cells.groupBy("source", "size").agg(F.sum("m").alias("n")))
     wanted = cut(targets(by_size.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, cap))
-    copied = cut(_copies(sized, cells, rates(by_size, wanted, share, float(cap))))
-    for _ in range(REPAIRS):
-        copied = _repaired(copied, wanted, cap)
+    whole = cut(rounded(rates(by_size, wanted, share, float(cap)), wanted, cap))
+    copied = _dealt(sized, cells, whole)
     return copied.alias("c").join(wanted.alias("w"), F.col("c.source").eqNullSafe(F.col("w.source"))).select("doc_id", "c.source", "size", "source_size", "target", "copies")
 
 
