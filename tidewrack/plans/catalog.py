@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidewrack.plans import ecology, relational  # noqa: F401  they register their queries
+from tidewrack.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "diversity_indices"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
