@@ -155,7 +155,17 @@ def vif(df: DataFrame, columns: Sequence[str], with_constant: bool = True) -> di
     k = len(columns)
     m = xx[:k, :k] - np.outer(xx[:k, k], xx[:k, k]) / n if with_constant else xx
     d = np.sqrt(np.maximum(np.diag(m), 1e-300))
-    return dict(zip(columns, map(float, np.diag(np.linalg.pinv(m / np.outer(d, d))))))
+    return dict(zip(columns, map(float, _inflation(m / np.outer(d, d)))))
+
+
+def _inflation(correlation: np.ndarray) -> np.ndarray:
+    """Diagonal of the inverse; infinite where the matrix has none."""
+    if np.linalg.cond(correlation) > 1e12:
+        values, vectors = np.linalg.eigh(correlation)
+        free = values < values.max() * 1e-12
+        tied = (np.abs(vectors[:, free]) > 1e-6).any(axis=1)
+        return np.where(tied, np.inf, np.diag(np.linalg.pinv(correlation)))
+    return np.diag(np.linalg.inv(correlation))
 
 
 def vif_filter(df: DataFrame, columns: Sequence[str], most: float = 10.0) -> list[str]:
@@ -167,7 +177,7 @@ def vif_filter(df: DataFrame, columns: Sequence[str], most: float = 10.0) -> lis
     while len(left) > 1:
         a = m[np.ix_(left, left)]
         d = np.sqrt(np.maximum(np.diag(a), 1e-300))
-        factors = np.diag(np.linalg.pinv(a / np.outer(d, d)))
+        factors = _inflation(a / np.outer(d, d))
         if factors.max() <= most:
             break
         del left[int(factors.argmax())]
