@@ -256,11 +256,11 @@ def upscaled_raster(spark, d):
     return rounded(raster.upscaled(pixels(spark, d), ["product", "date"]), 7)
 
 
-@query(f"""WITH {PIXELS} SELECT product, date, row, col, round(CASE WHEN product = 'A' THEN CASE WHEN value BETWEEN 10000 AND 60000 THEN value * 0.1 END WHEN product = 'N' THEN CASE WHEN value BETWEEN 0 AND 50000 THEN value * 2 END ELSE value END, 3) AS value FROM pixels""")
+@query(f"""WITH {PIXELS} SELECT product, date, row, col, round(CASE WHEN product = 'A' THEN CASE WHEN value BETWEEN 10000 AND 60000 THEN value * 0.1 END WHEN product = 'N' THEN CASE WHEN value BETWEEN 0 AND 50000 THEN value * 2 END ELSE value END, 7) AS value FROM pixels""")
 def scaled_raster(spark, d):
     """B4, B5."""
     products = spark.createDataFrame([("A", 10000.0, 60000.0, 0.1), ("N", 0.0, 50000.0, 2.0)], "product string, lo double, hi double, scale double")
-    return rounded(raster.scaled(pixels(spark, d), products), 3)
+    return rounded(raster.scaled(pixels(spark, d), products), 7)
 
 
 @query(f"""WITH {PIXELS}, y AS (SELECT DISTINCT date FROM pixels), p AS (SELECT * FROM pixels WHERE date % 2 = 1 AND product = 'R'), g AS (SELECT DISTINCT row, col FROM p),
@@ -273,12 +273,12 @@ def filled_rasters(spark, d):
     return rounded(raster.filled_dates(px.where("date % 2 = 1 and product = 'R'"), px.select("date"), ["row", "col"]), 7)
 
 
-@query(f"""WITH {PIXELS} SELECT product, date, row, col, value FROM pixels WHERE col + 0.5 < 40 AND row + 0.5 < 3 AND (col + 0.5) >= (row + 0.5)""")
+@query(f"""WITH {PIXELS} SELECT product, date, row, col, round(value, 7) AS value FROM pixels WHERE col + 0.5 < 40 AND row + 0.5 < 3 AND (col + 0.5) >= (row + 0.5)""")
 def clipped_raster(spark, d):
     """Pixels whose centre lies in a polygon."""
     ring = [(0.0, 0.0), (40.0, 0.0), (40.0, 3.0), (3.0, 3.0)]
     px = pixels(spark, d).withColumns({"x": F.col("col") + 0.5, "y": F.col("row") + 0.5})
-    return raster.clipped(px, "x", "y", ring).drop("x", "y")
+    return rounded(raster.clipped(px, "x", "y", ring).drop("x", "y"), 7)
 
 
 @query(f"""WITH {PIXELS}, w AS (SELECT date, row, col, max(CASE WHEN product = 'A' THEN value END) AS a, max(CASE WHEN product = 'N' THEN value END) AS n, max(CASE WHEN product = 'R' THEN value END) AS r FROM pixels GROUP BY 1, 2, 3)
