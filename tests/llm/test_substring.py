@@ -43,6 +43,16 @@ def test_insertions_shift_no_cuts():
     assert len({b + 9 for b in before} & set(after)) >= len(before) - 3
 
 
+def test_reflowed():
+    for text in ["a  b\n\nc é\t\tü ", "", " \n x", "日本\r\n語"]:
+        plain, at = substring.reflowed(text.encode()) if text else (b"", [0])
+        assert plain.decode() == __import__("re").sub(r"[\x20\x09-\x0D]+", " ", text)
+        for k, c in enumerate(plain):
+            if c & 0xC0 != 0x80 and c != 32:
+                assert text[at[k]].encode()[0] == c
+        assert at[-1] == len(text)
+
+
 def test_passages(spark):
     rng = random.Random(7)
     passages = [words(rng, 60) for _ in range(30)]
@@ -52,7 +62,8 @@ def test_passages(spark):
         if i % 3 == 0:
             k = rng.randrange(30)
             owners.setdefault(k, []).append(i)
-            text = f"{text} {passages[k]} {words(rng, 40)}"
+            passage = passages[k] if i % 2 else passages[k].replace(" ", "\n  ", 3)
+            text = f"{text} {passage} {words(rng, 40)}"
         rows.append((i, text, 0))
     rows += [(500, rows[1][1], 0), (501, None, 0), (502, "", 0), (None, rows[0][1], 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest int")
@@ -63,7 +74,7 @@ def test_passages(spark):
     assert found <= planted and len(found) >= 0.97 * len(planted)
     for r in got:
         piece = text[r["doc_id"]][r["start"] : r["end"]]
-        assert any(piece in t for i, t in text.items() if i is not None and i != r["doc_id"] and t)
+        assert any(" ".join(piece.split()) in " ".join(t.split()) for i, t in text.items() if i is not None and i != r["doc_id"] and t)
     cleaned = {r["doc_id"]: r["text"] for r in substring.without_passages(docs, substring.repeated_passages(docs)).collect()}
     assert cleaned[1] == text[1] and cleaned[500] == "" and cleaned[501] is None and len(cleaned) == len(rows)
     for r in got:

@@ -5,6 +5,8 @@ bits depend on the last ``WINDOW`` bytes alone, so equal passages are cut at equ
 and an insertion shifts no cut beyond the next. Chunks are ``AVERAGE`` bytes long or so, ``LEAST`` at least and
 ``MOST`` at most, and end between characters.
 
+White space is one blank to the chunker, so that a passage is the same however its lines are broken.
+
 Chunks are grouped by digest. A digest that occurs in two documents or more is shared; shared chunks that follow each
 other in a document are one run, and runs of ``PASSAGE`` characters or more are repeated passages. The document with
 the smallest id of those that have a chunk keeps it; the others' are to be removed. Repeats within one document are
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.common import cut
 
-WINDOW, AVERAGE, LEAST, MOST = 16, 28, 8, 256
+WINDOW, AVERAGE, LEAST, MOST = 16, 22, 6, 256
 PASSAGE = 100
 #: Rows that go back to Spark at once, about.
 OUT_ROWS = 100_000
@@ -65,6 +67,19 @@ def cuts(raw: bytes) -> list[int]:
     return out
 
 
+def reflowed(raw: bytes) -> tuple[bytes, np.ndarray]:
+    """The text with each run of white space as one blank, and the code point at which each of its bytes stood (and the
+    end's), so that passages are equal however their lines are broken."""
+    data = np.frombuffer(raw, np.uint8)
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    space = (data == 32) | (data >= 9) & (data <= 13)
+    kept = np.flatnonzero(~(space[1:] & space[:-1])) + 1
+    kept = np.concatenate(([0], kept))
+    plain = np.where(space, np.uint8(32), data)[kept]
+    first = (plain & 0xC0) != 0x80
+    return plain.tobytes(), np.append(points[kept] - ~first, points[-1])
+
+
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, digest, start, end) of each chunk, in code points, end exclusive."""
 
@@ -81,10 +96,10 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 raw = (t.as_py() or "").encode("utf-8", "replace")
                 if not raw:
                     continue
-                ends = cuts(raw)
+                plain, at = reflowed(raw)
+                ends = cuts(plain)
                 begins = [0, *ends[:-1]]
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begins, ends)), np.uint64, len(ends))
-                at = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+                digest = np.fromiter((xxhash.xxh3_64_intdigest(plain[a:b]) for a, b in zip(begins, ends)), np.uint64, len(ends))
                 for x, y in zip(held, (np.full(len(ends), own, np.int64), digest.view(np.int64), at[begins], at[ends]), strict=True):
                     x.append(y)
                 n += len(ends)
