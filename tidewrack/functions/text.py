@@ -45,8 +45,8 @@ def clean_text(c: Column, normalise: bool = True, collapse: bool = True) -> Colu
 
 
 def clean_species(c: Column) -> Column:
-    """A species name in lower case without an open-nomenclature tail (sp., spp., cf., aff.)."""
-    return F.trim(F.regexp_replace(F.lower(F.trim(c)), r"\s+(spp?\.?|cf\.?|aff\.?)(\s.*)?$", ""))
+    """A species name in lower case with single blanks, without what follows an open-nomenclature mark (sp., spp., cf., aff.)."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "), r"\s+(sp\.|spp\.|cf\.|aff\.).*", "")
 
 
 def repair_name(c: Column, repairs: Mapping[str, str]) -> Column:
