@@ -99,3 +99,16 @@ def test_sequential_correction():
     got = timeseries.correct_sequence(np.array([10, 12, 40, nan, 14, 50, 60.0]), 1.5)
     assert got.tolist() == [10, 12, 13, 13.5, 14, 14, 14]
     assert timeseries.correct_sequence(np.array([1, nan, 9.0]), None).tolist() == [1, 5, 9]
+
+
+def test_shapiro_wilk():
+    from tidewrack.operators.posthoc import autoregression, holm, shapiro_wilk
+
+    # published example: weights of eleven men
+    w, p = shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))
+    assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.002)
+    assert shapiro_wilk(np.random.default_rng(1).normal(size=500))[1] > 0.05
+    assert shapiro_wilk(np.random.default_rng(1).exponential(size=500))[1] < 1e-6
+    assert holm([0.01, 0.04, 0.03]) == pytest.approx([0.03, 0.06, 0.06])
+    b, ahead = autoregression(np.array([2.0**k for k in range(8)]), [1], 2)
+    assert b == pytest.approx([0, 2], abs=1e-8) and ahead == pytest.approx([256, 512])
