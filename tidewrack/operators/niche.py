@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.measures import ratio
 
+#: Sites times taxa of a community that a null model may be asked for.
+MOST_CELLS = 1_000_000
+
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float, float]:
     """Coefficients of ln E[y] = a + b x + c x^2, a Poisson model with weights sqrt(y + 1), by reweighted least squares."""
@@ -93,7 +96,11 @@ def null_model(df: DataFrame, site: str, taxon: str, x: str, y: str, runs: int =
     taxon's values over sites. Runs are dealt out; each gets the community, which is bounded by sites times taxa."""
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-    table = df.groupBy(site, taxon).agg(F.first(x).alias(x), F.sum(y).alias(y)).orderBy(taxon, site).toPandas()
+    community = df.groupBy(site, taxon).agg(F.first(x).alias(x), F.sum(y).alias(y))
+    table = community.limit(MOST_CELLS + 1).toPandas()
+    if len(table) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} sites times taxa; aggregate them first")
+    table = table.sort_values([taxon, site])
     groups = [(g[x].to_numpy(float), g[y].to_numpy(float)) for _, g in table.groupby(taxon) if len(g) >= 5]
 
     def mean_overlap(draw: np.random.Generator | None) -> float:

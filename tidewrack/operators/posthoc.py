@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from tidewrack.functions.measures import box_cox, ratio, yeo_johnson
 from tidewrack.functions.special import chi2_upper, f_upper, studentized_range_upper, t_quantile, t_two_sided
 from tidewrack.operators.statistics import Fit, least_squares
+from tidewrack.operators.windows import running_total
 
 
 def mean_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, rank): mean ranks over all rows, ties sharing theirs, and the tie term on each row."""
     v = df.where(F.col(value).isNotNull())
     counted = v.groupBy(value).agg(F.count("*").alias("t"))
-    upto = F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))  # over distinct values
-    ranks = counted.select(value, (upto - (F.col("t") - 1) / 2).alias("rank"))
+    ranks = running_total(counted, value, "t").select(value, (F.col("upto") - (F.col("t") - 1) / 2).alias("rank"))
     t = F.col("t").cast("double")
     ties = counted.agg(F.sum(t * t * t - t).alias("ties"), F.sum("t").alias("all"))
     return v.join(ranks, value).groupBy(group).agg(F.count("*").alias("n"), F.avg("rank").alias("rank")).crossJoin(F.broadcast(ties))  # one row

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.measures import ratio
 from tidewrack.functions.special import chi2_p_value, f_p_value, t_p_value, t_two_sided
+from tidewrack.operators.windows import running_total
 
 
 def simple_regression(df: DataFrame, keys: Sequence[str], x: str, y: str, p_values: bool = True) -> DataFrame:
@@ -230,12 +231,11 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row (h, df, p), with mean ranks for ties and their correction.
 
-    Ranks come from counts of distinct values: a running sum over distinct values, not over rows.
+    Ranks come from counts of distinct values and their running sum.
     """
     v = df.where(F.col(value).isNotNull())
     counted = v.groupBy(value).agg(F.count("*").alias("t"))
-    upto = F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counted.select(value, "t", (upto - (F.col("t") - 1) / 2).alias("rank"))
+    ranks = running_total(counted, value, "t").select(value, "t", (F.col("upto") - (F.col("t") - 1) / 2).alias("rank"))
     ties = counted.agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"), F.sum("t").alias("n"))
     sums = v.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("m"))
     told = sums.agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.count("*").alias("k")).crossJoin(F.broadcast(ties))  # one row

@@ -174,3 +174,18 @@ def last_years(df: DataFrame, keys: Sequence[str], date: str, years: int) -> Dat
     """Rows of the last so many years before the key's last date."""
     ends = df.groupBy(*keys).agg(F.max(date).alias("end__"))
     return df.join(ends, list(keys)).where(F.col(date) > F.add_months("end__", -12 * years)).drop("end__")
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str = "upto", parts: int = 200) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each one in the order of distinct values of a column.
+
+    No task gets all rows: they are dealt to ranges between approximate quantiles, summed by range, and each range runs on
+    from the total of those before it.
+    """
+    cuts = df.agg(F.percentile_approx(order, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000)).alias("cuts__"))
+    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("part__", F.size(F.filter("cuts__", lambda c: c < F.col(order)))).drop("cuts__")  # one row
+    sums = dealt.groupBy("part__").agg(F.sum(value).alias("own__"))
+    before = F.coalesce(F.sum("own__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    inside = F.sum(value).over(Window.partitionBy("part__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    starts = sums.select("part__", before.alias("before__"))
+    return dealt.withColumn(name, inside).join(starts, "part__").withColumn(name, F.col(name) + F.col("before__")).drop("part__", "before__")
