@@ -92,3 +92,38 @@ def test_without_repeats(spark):
 
 def test_empty(spark):
     assert lines.repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def one_word_changed(seed=5):
+    """Pairs of lines of 5 to 60 words that differ in one word of equal length, under a fifth of the characters."""
+    rng = random.Random(seed)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(n))
+    out = []
+    while len(out) < 60:
+        words = [made(rng.randrange(2, 10)) for _ in range(rng.randrange(5, 61))]
+        k = rng.randrange(len(words))
+        other = [*words[:k], made(len(words[k])), *words[k + 1 :]]
+        if other != words and len(words[k]) < 0.2 * len(" ".join(words)):
+            out.append((" ".join(words), " ".join(other)))
+    return out
+
+
+def test_production_finds_what_edit_similarity_alone_finds(spark):
+    pairs = one_word_changed()
+    rows = [(k, line) for k, line in enumerate(x for pair in pairs for x in pair)] + [(900, "les"), (901, "Les!"), (902, "日本語の行"), (903, "日本語の行"), (904, "--"), (905, "--")]
+    got = sorted(tuple(r) for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    kinds = [x for pair in pairs for x in pair]
+    links = {(i, j) for j in range(len(kinds)) for i in range(j) if abs(len(kinds[i]) - len(kinds[j])) <= 12 and distance(kinds[i], kinds[j]) <= 0.2 * max(len(kinds[i]), len(kinds[j])) + 1e-9}
+    assert links == {(2 * k, 2 * k + 1) for k in range(len(pairs))}
+    want = [(d, 0, k, 0, 2, d == k) for k, j in sorted(links) for d in (k, j)] + [(d, 0, k, 0, 2, d == k) for k in (900, 902) for d in (k, k + 1)]
+    assert got == sorted(want)
+
+
+def test_met_lines_are_all_that_share_enough(spark):
+    docs = spark.createDataFrame(corpus(4), "doc_id long, text string")
+    keyed = lines.normalised(lines.raw_lines(docs)).select("k1", "words", F.length(F.array_join("words", " ")).alias("chars"), lines.leading(F.col("words")).alias("lead")).dropDuplicates(["k1"]).cache()
+    got = {(r["a"], r["b"]) for r in lines.met(keyed).collect()}
+    rows = {r["k1"]: (set(r["words"]), r["chars"]) for r in keyed.collect()}
+    few = lambda a, b: sum(map(len, a - b)) <= lines.UNSHARED * sum(map(len, a))
+    want = {(a, b) for a, (x, m) in rows.items() for b, (y, n) in rows.items() if a < b and few(x, y) and few(y, x) and abs(m - n) <= 0.2 * max(m, n) + 1e-9}
+    assert want and want <= got

@@ -1,18 +1,23 @@
 """Fuzzy line dedup, with DataFrame and SQL functions only.
 
-Lines are normalised (lower case, each run of other characters than letters and digits a blank) and get a SimHash of
-their words. Two lines within ``budget`` differing bits agree on all but ``budget`` of some blocks of the fingerprint;
-distinct lines meet on every choice of that many agreeing blocks, and pairs within the budget whose edit similarity,
-1 - distance / longer length, is at least ``similarity`` are linked. Of each connected group one occurrence stays, the
-one with the smallest doc_id, then line number. The blocks are narrower and more the more distinct lines there are,
-so that few unrelated lines meet; every number of blocks finds the same links.
-
-The 64 bit counts of a line are kept in 16 longs of four 16-bit lanes: a hash's four bits are spread over the lanes by
+Lines are normalised (lower case, each run of other characters than letters and digits a blank). Two lines are linked
+if their edit similarity, 1 - distance / longer length, is at least ``similarity`` and the words that only one of them
+has make up at most ``UNSHARED`` of the characters of its distinct words. Such lines share a word among the first of
+each in any one order of all words, taken until their characters pass that part (else all before the first shared
+word would be unshared, and more than may be); so lines meet on these words and no such pair is missed. Longer words
+come first, since they are rarer. Of each connected group one occurrence stays, the one with the smallest doc_id, then
+line number. Small changes spread over more of the words than that aren't found, though the edit similarity allows them.
+
+With a ``budget``, lines meet by SimHash instead, which finds less: two lines within ``budget`` differing bits agree on
+all but ``budget`` of some blocks of the fingerprint, and distinct lines meet on every choice of that many agreeing
+blocks. The blocks are narrower and more the more distinct lines there are, so that few unrelated lines meet; every
+number of blocks finds the same links. The 64 bit counts of a line are kept in 16 longs of four 16-bit lanes: a hash's four bits are spread over the lanes by
 one multiplication, and words are summed by line. Equal lines are one row from there on, so a line that all documents
 have costs no more than another. Texts are fetched for lines that have met another, once for each distinct line.
 
-Defined results: a null text counts as empty and has one empty line; lines of fewer than ``words`` words are left
-alone, whether they repeat or not; lines of more than 65,535 words are matched when equal alone; lines that repeat in
+Defined results: a null text counts as empty and has one empty line; lines of fewer than five words
+(whole lines of scripts without blanks too) are matched when equal alone, and left alone with a ``budget``; with one,
+lines of more than 65,535 words are matched when equal alone; lines without words are left alone; lines that repeat in
 one document are repeats like others; rows that repeat an id share its line numbers, and their equal lines stay or go
 together; null ids come before others; an empty table gives no rows; other columns are not read.
 """
@@ -28,6 +33,8 @@ from tidewrack.llm.common import cut
 from tidewrack.llm.components import connected_components
 
 BUDGET, SIMILARITY, WORDS = 3, 0.8, 5
+#: Part of the characters of a line's distinct words that may be in words that the other line doesn't have.
+UNSHARED = 0.4
 BITS, LANES, MOST = 64, 16, 65_535
 #: Unrelated lines that may share a line's blocks, about, and rows up to which a table of lines is broadcast.
 BUCKET, BROADCAST_ROWS = 64, 200_000
@@ -41,11 +48,11 @@ def raw_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return split.withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def normalised(lines: DataFrame) -> DataFrame:
-    """``lines`` with words, k1 and k2 (128 bits of hash of them) in place of raw; lines of fewer words than five are left out."""
+def normalised(lines: DataFrame, least: int = WORDS) -> DataFrame:
+    """``lines`` with words, k1 and k2 (128 bits of hash of them) in place of raw; lines of fewer words than ``least`` are left out."""
     words = F.array_remove(F.split(F.lower("raw"), r"[^\p{L}\p{N}]+"), "")
     # exploded, so that the filter reads the words and doesn't make them once more
-    told = lines.select(*(c for c in lines.columns if c != "raw"), F.explode(F.array(words)).alias("words")).where(F.size("words") >= WORDS)
+    told = lines.select(*(c for c in lines.columns if c != "raw"), F.explode(F.array(words)).alias("words")).where(F.size("words") >= least)
     return told.select("*", F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(1)).alias("k2"))
 
 
@@ -94,7 +101,28 @@ def candidates(distinct: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
     return pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b"))
 
 
-def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def leading(words: Column) -> Column:
+    """Hashes of the line's longest words, so many that their characters pass the part that may be unshared."""
+    ranked = F.sort_array(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("short"), F.xxhash64(w).alias("hash"))))
+    most = UNSHARED * _chars(F.array_distinct(words))
+    step = lambda s, w: F.when(s["chars"] > most, s).otherwise(F.struct((s["chars"] - w["short"]).alias("chars"), (s["n"] + 1).alias("n")))
+    taken = F.aggregate(ranked, F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n")), step)
+    return F.transform(F.slice(ranked, 1, taken["n"]), lambda w: w["hash"])
+
+
+def _chars(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
+
+
+def met(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): first hashes of lines of near enough length that share a leading word, each pair once, a < b."""
+    dealt = distinct.select("k1", "chars", F.explode("lead").alias("word"))
+    near = F.abs(F.col("x.chars") - F.col("y.chars")) <= (1 - similarity) * F.greatest("x.chars", "y.chars") + 1e-9
+    pairs = dealt.alias("x").join(dealt.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.k1") < F.col("y.k1")) & near)
+    return pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
+
+
+def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, unshared: float | None = None) -> DataFrame:
     """(a, b), keys of the pairs of first hashes whose edit similarity is high enough; ``texts`` has (key, line).
 
     Lines that share a first hash by chance are all compared, so that chance links nothing.
@@ -106,6 +134,9 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
     # Word by word, the distance can only come out too large, so that a small one settles a pair; the others are compared
     # as a whole without the words that both begin and end with, which add nothing to it.
     both = both.withColumns({"xs": F.split("x", " "), "ys": F.split("y", " ")})
+    if unshared is not None:
+        few = lambda a, b: _chars(F.array_except(a, b)) <= unshared * _chars(F.array_distinct(a))
+        both = both.where(few("xs", "ys") & few("ys", "xs"))
     apart = F.aggregate(F.zip_with("xs", "ys", lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))), F.lit(0), lambda s, v: s + v)
     worded = (F.size("xs") == F.size("ys")) & (apart <= F.col("most"))
     cut_x, cut_y = _without_shared(F.col("xs"), F.col("ys"))
@@ -127,12 +158,19 @@ def _without_shared(a: Column, b: Column) -> tuple[Column, Column]:
     return F.slice(a, begin, F.size(a)), F.slice(b, begin, F.size(b))
 
 
-def repeated_lines(docs: DataFrame, budget: int = BUDGET, similarity: float = SIMILARITY) -> DataFrame:
+def repeated_lines(docs: DataFrame, budget: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each line that has an equal or similar one: doc_id, line_no, keep_doc_id, keep_line_no, group_size, kept."""
-    seen = cut(fingerprints(normalised(raw_lines(docs)))).withColumn("key", F.struct("k1", "k2"))
     first = F.min(F.struct("doc_id", "line_no"))
-    distinct = cut(seen.groupBy("key").agg(F.min("fp").alias("fp"), first.alias("first"), F.count("*").alias("n")))
-    pairs = cut(candidates(distinct.select(F.col("key.k1").alias("k1"), "fp"), distinct.count(), budget))
+    if budget is None:
+        told = normalised(raw_lines(docs), 1)
+        seen = cut(told.select("doc_id", "line_no", "k1", "k2")).withColumn("key", F.struct("k1", "k2"))
+        distinct = cut(seen.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")))
+        worded = told.where(F.size("words") >= WORDS).select("k1", "k2", F.length(F.array_join("words", " ")).alias("chars"), leading(F.col("words")).alias("lead"))
+        pairs = cut(met(worded.groupBy("k1", "k2").agg(F.min("chars").alias("chars"), F.min("lead").alias("lead")), similarity))
+    else:
+        seen = cut(fingerprints(normalised(raw_lines(docs)))).withColumn("key", F.struct("k1", "k2"))
+        distinct = cut(seen.groupBy("key").agg(F.min("fp").alias("fp"), first.alias("first"), F.count("*").alias("n")))
+        pairs = cut(candidates(distinct.select(F.col("key.k1").alias("k1"), "fp"), distinct.count(), budget))
     asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     asked = distinct.join(asked, F.col("key.k1") == F.col("h"), "left_semi").select("key", F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line"))
     asked = cut(asked)
@@ -141,7 +179,7 @@ def repeated_lines(docs: DataFrame, budget: int = BUDGET, similarity: float = SI
     here = (F.col("line_no") == F.col("at_line")) & F.col("doc_id").eqNullSafe(F.col("at_doc"))
     found = normalised(raw_lines(docs).join(asked, here)).where((F.col("k1") == F.col("key.k1")) & (F.col("k2") == F.col("key.k2")))
     texts = cut(found.select("key", F.array_join("words", " ").alias("line")).dropDuplicates(["key"]))
-    groups = connected_components(linked(pairs, texts, similarity), "a", "b")
+    groups = connected_components(linked(pairs, texts, similarity, UNSHARED if budget is None else None), "a", "b")
     rooted = distinct.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("root"), "first", "n")
     rooted = cut(rooted)
     sized = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("group_size")).where(F.col("group_size") > 1)
