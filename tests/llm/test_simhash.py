@@ -102,3 +102,13 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_crowds_hide_no_other_block(spark):
+    """Pairs that agree on their second block alone, whose value crowds the first block of others."""
+    rng = random.Random(11)
+    crowd = {0x1234 << 48 | rng.getrandbits(44) for _ in range(120)}
+    pairs = [0xFF << 56 | rng.getrandbits(8) << 48 | 0x1234 << 32 | rng.getrandbits(32) for _ in range(15)]
+    fps = sorted(crowd | {y for x in pairs for y in (x, x ^ (1 << 48 | 1 << 20 | 1 << 4))})
+    plain = plain_groups(fps)
+    assert _grouped(spark, fps, crowd=60) == {frozenset(fps[i] for i in range(len(fps)) if plain[i] == r) for r in set(plain)}

@@ -82,10 +82,11 @@ def _lead(x: Column, agreed: int, start: int, width: int) -> Column:
 
 
 def _divide(rows: DataFrame, agreed: int, budget: int) -> DataFrame:
-    """Each row once for each block of the bits below ``agreed``, that block leading; ``path`` names the arrangement."""
+    """Each row once for each block of the bits below ``agreed``, that block leading; ``path`` names the arrangement, in no
+    two divisions alike."""
     rest, n = BITS - agreed, budget + 1
     starts = [agreed + rest * k // n for k in range(n)] + [BITS]
-    made = [F.struct((F.col("path") * n + k).alias("path"), F.lit(starts[k + 1] - starts[k] + agreed).alias("agreed"), _lead(F.col("x"), agreed, starts[k], starts[k + 1] - starts[k]).alias("x")) for k in range(n)]
+    made = [F.struct((F.col("path") * n + k + 1).alias("path"), F.lit(starts[k + 1] - starts[k] + agreed).alias("agreed"), _lead(F.col("x"), agreed, starts[k], starts[k + 1] - starts[k]).alias("x")) for k in range(n)]
     parted = rows.select("fp", F.explode(F.array(*made)).alias("r")).select("fp", "r.*")
     return parted.withColumn("head", F.expr(f"shiftrightunsigned(x, {BITS} - agreed)"))
 
