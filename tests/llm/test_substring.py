@@ -81,3 +81,31 @@ def test_passages(spark):
         if r["removed_chars"] == r["end"] - r["start"]:
             assert text[r["doc_id"]][r["start"] : r["end"]] not in cleaned[r["doc_id"]]
     assert substring.repeated_passages(docs.limit(0)).collect() == []
+
+
+def test_repeated_ids_and_chunks_held_first(spark):
+    rng = random.Random(9)
+    passage, other = words(rng, 60), words(rng, 60)
+    lead = words(rng, 30)
+    rows = [(1, f"{lead} {passage}"), (2, f"{words(rng, 20)} {passage} {other}"), (2, f"{words(rng, 35)} {passage}"), (3, other), (4, f"{other} {lead}")]
+    schema = "doc_id long, text string"
+    once = substring.repeated_passages(spark.createDataFrame(rows, schema)).collect()
+    twice = substring.repeated_passages(spark.createDataFrame(rows * 3, schema)).collect()
+    assert sorted(map(str, once)) == sorted(map(str, twice)) and len({r["row"] for r in once if r["doc_id"] == 2}) == 2
+    for r in once:
+        assert r["end"] - r["start"] >= substring.PASSAGE
+    docs = spark.createDataFrame(rows * 2, schema)
+    cleaned = [(r["doc_id"], r["text"]) for r in substring.without_passages(docs, substring.repeated_passages(docs)).collect()]
+    assert len(cleaned) == 10
+    middle = passage[len(passage) // 3 : 2 * len(passage) // 3]
+    assert [middle in t for d, t in cleaned if d == 2] == [False] * 4 and all(middle in t for d, t in cleaned if d == 1)
+
+
+def test_a_chunk_held_first_keeps_no_passage(spark):
+    rng = random.Random(10)
+    passage, own = words(rng, 60), words(rng, 40)
+    docs = spark.createDataFrame([(1, passage), (2, f"{passage}{own}"), (3, own)], "doc_id long, text string")
+    found = substring.repeated_passages(docs)
+    ((start, end, removed),) = [(r["start"], r["end"], r["removed_chars"]) for r in found.collect() if r["doc_id"] == 2 and r["removed_chars"]]
+    cleaned = {r["doc_id"]: r["text"] for r in substring.without_passages(docs, found).collect()}
+    assert cleaned[1] == passage and len(cleaned[2]) == len(passage + own) - removed and passage[100:200] not in cleaned[2] and own[60:] in cleaned[2]

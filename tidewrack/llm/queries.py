@@ -40,7 +40,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(_documents(spark, sf_dir))
+    return substring.repeated_passages(_documents(spark, sf_dir)).drop("row", "gone")
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ Two passes read the texts: one groups digests (combined before the shuffle, and
 its chunks), the other joins the chunks with the shared digests, which Spark may split where a chunk is very common.
 
 Defined results: a null or empty text has no chunk; rows without an id are left out, since their passages couldn't
-be told apart; rows that repeat an id count as one document; an empty table gives no rows; other columns are not read.
+be told apart; rows that repeat an id count as one document, each different text of it with passages of its own and
+equal texts with one answer; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import cut
@@ -37,6 +38,8 @@ WINDOW, AVERAGE, LEAST, MOST = 16, 22, 6, 256
 PASSAGE = 100
 #: Rows that go back to Spark at once, about.
 OUT_ROWS = 100_000
+#: Bits of a text's hash that tell rows of one id apart.
+LOW = (1 << 31) - 1
 #: The gear table: one random number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(1618).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -81,35 +84,40 @@ def reflowed(raw: bytes) -> tuple[bytes, np.ndarray]:
 
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, start, end) of each chunk, in code points, end exclusive."""
+    """(doc_id, row, digest, start, end) of each chunk, in code points, end exclusive; row is a hash of the text (``_row``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in held], names=["doc_id", "digest", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in held], names=["doc_id", "row", "digest", "start", "end"])
 
-        held: tuple[list, ...] = ([], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [], [])
         n = 0
         for batch in batches:
             for own, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = (t.as_py() or "").encode("utf-8", "replace")
                 if not raw:
                     continue
+                row = xxhash.xxh64_intdigest(raw, 42) & LOW
                 plain, at = reflowed(raw)
                 ends = cuts(plain)
                 begins = [0, *ends[:-1]]
                 digest = np.fromiter((xxhash.xxh3_64_intdigest(plain[a:b]) for a, b in zip(begins, ends)), np.uint64, len(ends))
-                for x, y in zip(held, (np.full(len(ends), own, np.int64), digest.view(np.int64), at[begins], at[ends]), strict=True):
+                for x, y in zip(held, (np.full(len(ends), own, np.int64), np.full(len(ends), row, np.int64), digest.view(np.int64), at[begins], at[ends]), strict=True):
                     x.append(y)
                 n += len(ends)
                 if n >= OUT_ROWS:
                     yield rows()
-                    held, n = ([], [], [], []), 0
+                    held, n = ([], [], [], [], []), 0
         if n:
             yield rows()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, digest long, start long, end long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, row long, digest long, start long, end long")
+
+
+def _row(text: str = "text") -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(LOW))
 
 
 def shared(dealt: DataFrame) -> DataFrame:
@@ -120,24 +128,30 @@ def shared(dealt: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """A row for each repeated passage of each document: doc_id, start, end, n_chunks, first_id (of the earliest document
-    that has one of its chunks) and removed_chars (in chunks that a document with a smaller id keeps)."""
+    that has one of its chunks), removed_chars (in chunks that a document with a smaller id keeps), row (hash of its text)
+    and gone (the spans of those chunks)."""
     dealt = chunks(docs)
-    hit = dealt.join(cut(shared(dealt)), "digest").select("doc_id", "start", "end", "first_id")
-    in_text = Window.partitionBy("doc_id").orderBy("start")
+    hit = dealt.join(cut(shared(dealt)), "digest").select("doc_id", "row", "start", "end", "first_id")
+    in_text = Window.partitionBy("doc_id", "row").orderBy("start")
+    # chunks of a text don't overlap, so that equal starts are a repeated row's
+    again = F.lag("start").over(in_text) == F.col("start")
+    hit = hit.withColumn("again", F.coalesce(again, F.lit(False))).where(~F.col("again"))
     fresh = F.when(F.lag("end").over(in_text) == F.col("start"), 0).otherwise(1)
     runs = hit.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
-    gone = F.when(F.col("first_id") < F.col("doc_id"), F.col("end") - F.col("start")).otherwise(0)
-    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("first_id").alias("first_id"), F.sum(gone).alias("removed_chars"))
+    earlier = F.col("first_id") < F.col("doc_id")
+    gone = F.when(earlier, F.col("end") - F.col("start")).otherwise(0)
+    spans = F.sort_array(F.collect_list(F.when(earlier, F.struct("start", "end"))))
+    found = runs.groupBy("doc_id", "row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("first_id").alias("first_id"), F.sum(gone).alias("removed_chars"), spans.alias("gone"))
     return found.where(F.col("end") - F.col("start") >= passage).drop("run")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the passages that earlier documents keep in full cut out of their texts.
+    """``docs`` with the chunks of passages that earlier documents keep cut out of their texts.
 
     A document's passages meet in one row with its text; there are at most as many as the text has room for.
     """
-    spans = passages.where(F.col("removed_chars") == F.col("end") - F.col("start")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    both = docs.join(spans.withColumnRenamed("doc_id", "named"), F.col("doc_id") == F.col("named"), "left")
+    spans = passages.where("removed_chars > 0").groupBy(F.col("doc_id").alias("named"), F.col("row").alias("of")).agg(F.sort_array(F.flatten(F.collect_list("gone"))).alias("spans"))
+    both = docs.join(spans, (F.col("doc_id") == F.col("named")) & (_row() == F.col("of")), "left")
     step = lambda s, x: F.struct(F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))).alias("text"), x["end"].alias("at"))
     told = F.aggregate("spans", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), step)
     rest = F.concat(told["text"], F.substring(F.col("text"), (told["at"] + 1).cast("int"), F.length("text")))
