@@ -38,3 +38,20 @@ def test_empty_and_null(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, DIR)
         docs.collect()
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    row = lambda i, t, s="a": (i, t, "en", s, len(t))
+    unlike = [" ".join(hashlib.sha256(f"{k} {j}".encode()).hexdigest()[:7] for j in range(5 + k % 9)) for k in range(60)]
+    copies = [row(1, "the cat sat"), row(1, "the cat sat"), row(2, "the cat sat"), row(2, unlike[0]), row(None, unlike[1]), row(None, unlike[1]), row(1, unlike[2]), row(None, unlike[2]), row(None, "the cat sat")]
+    docs = spark.createDataFrame(copies, schema)
+    for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup):
+        got = sorted(((r["doc_id"] or 0, r["text"]) for r in stage(spark, docs, DIR).collect()))
+        assert got == sorted([(1, "the cat sat"), (2, unlike[0]), (0, unlike[1]), (1, unlike[2])])
+    rows = [row((None, 7, k)[k % 3], t, "ab"[k % 2]) for k, t in enumerate(unlike)] + [row(7, unlike[3], "z")] * 3
+    docs = spark.createDataFrame(rows, schema)
+    taken = corpus_pipeline.mixing.mix(docs).groupBy("source").sum("copies").collect()
+    got = [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, DIR).collect()]
+    assert {r[0]: r[1] for r in taken if r[1]} == {s: n for s in "abz" if (n := sum(g[3] == s for g in got))}
+    assert all(got.count(r) <= 2 * rows.count(r) for r in set(got)) and set(got) <= set(rows)

@@ -41,10 +41,10 @@ STEPS, ENOUGH, LOOK = 60, 1e-10, 4
 REPAIRS = 6
 
 
-def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size): words of each document."""
+def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", also: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size): words of each document; and the columns ``also``."""
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.cast("long").alias("size"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.cast("long").alias("size"), *also)
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -129,29 +129,30 @@ def rounded(rated: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
     return told.select("source", "size", "n", "copies")
 
 
-def _dealt(sized: DataFrame, cells: DataFrame, whole: DataFrame) -> DataFrame:
+def _dealt(sized: DataFrame, cells: DataFrame, whole: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """The copies of each (source, size) dealt evenly to its documents, in the order of buckets, then hashes and ids."""
     cell = ["source", "size"]
     by_bucket = Window.partitionBy(*cell).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buckets = cells.withColumn("ahead", F.sum("m").over(by_bucket) - F.col("m"))
     same = F.col("b.source").eqNullSafe(F.col("r.source")) & (F.col("b.size") == F.col("r.size"))
     placed = buckets.alias("b").join(whole.alias("r"), same).select("b.source", "b.size", "bucket", "ahead", "n", "copies")
-    ranked = sized.withColumn("nth", F.row_number().over(Window.partitionBy(*cell, "bucket").orderBy("hash", "doc_id")))
+    ranked = sized.withColumn("nth", F.row_number().over(Window.partitionBy(*cell, "bucket").orderBy("hash", "doc_id", *also)))
     on = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")) & (F.col("d.bucket") == F.col("p.bucket"))
     own = F.expr("(ahead + nth) * copies div n") - F.expr("(ahead + nth - 1) * copies div n")
-    return ranked.alias("d").join(placed.alias("p"), on).select("doc_id", "d.source", "d.size", own.alias("copies"))
+    return ranked.alias("d").join(placed.alias("p"), on).select("doc_id", "d.source", "d.size", own.alias("copies"), *also)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies."""
-    sized = sizes(docs).withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.pmod(F.col("hash"), F.lit(BUCKETS)))
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, also: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies; and the columns ``also``, which tell rows
+    of one id apart."""
+    sized = sizes(docs, also=also).withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.pmod(F.col("hash"), F.lit(BUCKETS)))
     sized = cut(sized)
     cells = cut(sized.groupBy("source", "size", "bucket").agg(F.count("*").alias("m")))
     by_size = cut(cells.groupBy("source", "size").agg(F.sum("m").alias("n")))
     wanted = cut(targets(by_size.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, cap))
     whole = cut(rounded(rates(by_size, wanted, share, float(cap)), wanted, cap))
-    copied = _dealt(sized, cells, whole)
-    return copied.alias("c").join(wanted.alias("w"), F.col("c.source").eqNullSafe(F.col("w.source"))).select("doc_id", "c.source", "size", "source_size", "target", "copies")
+    copied = _dealt(sized, cells, whole, also)
+    return copied.alias("c").join(wanted.alias("w"), F.col("c.source").eqNullSafe(F.col("w.source"))).select("doc_id", "c.source", "size", "source_size", "target", "copies", *also)
 
 
 def taken(docs: DataFrame) -> DataFrame:

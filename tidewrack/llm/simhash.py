@@ -220,13 +220,18 @@ def _divide_each(rows: DataFrame, budget: int) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its group)."""
-    marked = cut(fingerprints(docs.select("doc_id", "text"), out="fp", width=width))
+def rooted(docs: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
+    """``docs`` without its text, with fp, root (the group's own number) and component_id (smallest doc_id of its group)."""
+    marked = cut(fingerprints(docs, out="fp", width=width))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     groups = connected_components(trie_links(nodes.select("fp"), budget))
     named = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     named = cut(named.select("fp", "root", "first"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(named.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its group)."""
+    found = rooted(docs.select("doc_id", "text"), budget, width)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
