@@ -108,3 +108,25 @@ def test_documents(spark):
         assert r["base_sha256"] == hashlib.sha256(join(base).encode()).hexdigest()
         assert r["spans"] == join(found)
     assert secrets.secret_digests(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        b64(gzip.compress(f"\x1b[31m{SECRET}\x1b[0m".encode())),
+        b64(gzip.compress(f"grün {SECRET} größe".encode("latin-1"))),
+        b64(gzip.compress(f"a {SECRET}".encode("utf-16"))),
+        b64(f"über {SECRET}".encode("latin-1")),
+        b64(f"a\0{SECRET}\0b"),
+        "".join(f"%{b:02X}" for b in gzip.compress(SECRET.encode())),
+        "https://h.example/v1/" + b64(f"{SECRET} "),
+        "key_" + b64(f"{SECRET} "),
+        "a-" + b64(f"{SECRET} "),
+        "a-" + b64(gzip.compress(SECRET.encode())),
+        "x/yz_" + b64(b64(f"{SECRET} ")),
+    ],
+)
+def test_layers_that_are_no_clean_text(text):
+    text = f"see {text} there"
+    found = secrets.secrets(text)[1]
+    assert any(k == 0 and 4 <= a < b <= len(text) - 6 for a, k, b in found)

@@ -2,7 +2,9 @@
 
 Each text is a worklist of layers, at first the text itself. A layer is scanned for secrets; then the layers that can
 be unwrapped from it join the worklist: the layer with its percent escapes decoded, the layer with its Unicode escapes
-decoded, and each base64 run that decodes to text or to a compressed block, decoded and decompressed. A layer equal to
+decoded, and each base64 run, decoded and decompressed. Bytes needn't be clean text: what isn't UTF-8 is read as Latin-1,
+and UTF-16 is read too. A run that doesn't decode to clean text or a compressed block is read at all four phases, and a
+compressed block is looked for behind each of its separators, since a path or a name may stand before it. A layer equal to
 one seen before at the same place is not taken up again, so the worklist ends even where layers contain themselves.
 Each layer carries, for every character, the span of the original text it came from, and what is found in a layer is
 reported as the span of the original.
@@ -46,6 +48,9 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}"
 _BREAK = re.compile(r"\r?\n")
 #: Magic bytes of compressed blocks.
 _MAGIC = (b"\x1f\x8b", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
+_SEPARATOR = re.compile(r"[/_+-]+")
+#: A secret, or an encoding that can hold one, has as many printable bytes in a row at least.
+_HOLDS = re.compile(rb"[\x20-\x7e]{12}")
 _BARE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 
 
@@ -99,6 +104,37 @@ def _readable(raw: bytes) -> str | None:
     return None if _BARE.search(text) else text
 
 
+def _lenient(raw: bytes) -> list[str]:
+    """Readings of bytes that aren't clean text, if they can hold a secret."""
+    out = []
+    if b"\x00" in raw:
+        for code, bare in (("utf-16-le", raw[1::2]), ("utf-16-be", raw[::2])):
+            if 2 * bare.count(0) > len(bare):
+                out.append(raw[: len(raw) // 2 * 2].decode(code, "replace"))
+    if _HOLDS.search(raw):
+        try:
+            out.append(raw.decode())
+        except UnicodeDecodeError:
+            out.append(raw.decode("latin-1"))
+    return out
+
+
+def _contents(raw: bytes) -> Iterator[bytes | None]:
+    """What a compressed block holds, opened until it is none; None where it is too large to open."""
+    opened = set()  # what it holds may be compressed once more, or hold itself
+    while raw.startswith(_MAGIC) and raw not in opened:
+        opened.add(raw)
+        try:
+            raw = _opened(raw)
+        except Bomb:
+            yield None
+            return
+        except ValueError:
+            break
+    if len(opened) > 1 or raw not in opened:
+        yield raw
+
+
 def _unbase64(run: str) -> bytes | None:
     bare = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(bare) % 4 == 1:
@@ -166,13 +202,41 @@ def _replaced(layer: _Layer, matches: list[tuple[int, int, str, int]]) -> _Layer
     return _Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
 
+def _layers(raw: bytes, span: tuple[int, int]) -> Iterator[_Layer | None]:
+    """The layers of a compressed block, all at one span."""
+    for content in _contents(raw):
+        if content is None:
+            yield None
+        else:
+            plain = _readable(content)
+            yield from (_Layer(text, None, None, span) for text in ([plain] if plain else _lenient(content)))
+
+
+def _shifted(bare: str, span: tuple[int, int]) -> Iterator[_Layer | None]:
+    """The layers of a run that doesn't decode as a whole: compressed blocks behind its separators, texts at any phase."""
+    for m in _SEPARATOR.finditer(bare):
+        for k in range(m.start() + 1, m.end() + 1):
+            head = _unbase64(bare[k : k + 8])
+            if head and head.startswith(_MAGIC):
+                rest = bare[k:].rstrip("=")
+                yield from _layers(_unbase64(rest[: len(rest) - (len(rest) % 4 == 1)]) or b"", span)
+    body = bare.rstrip("=")
+    for phase in range(4):
+        part = body[phase:]
+        raw = _unbase64(part[: len(part) - (len(part) % 4 == 1)])
+        yield from (_Layer(text, None, None, span) for text in _lenient(raw or b""))
+
+
 def _unwrapped(layer: _Layer) -> Iterator[_Layer | None]:
     """The layers directly below; None for a block that is too large to open."""
     text = layer.text
     if "%" in text:
         matches = []
         for m in _PERCENT.finditer(text):
-            plain = _readable(bytes.fromhex(m[0].replace("%", "")))
+            raw = bytes.fromhex(m[0].replace("%", ""))
+            if raw.startswith(_MAGIC):
+                yield from _layers(raw, layer.span(*m.span()))
+            plain = _readable(raw)
             if plain is not None:
                 matches.append((*m.span(), plain, 3))
             else:  # the printable ASCII bytes among others
@@ -193,30 +257,16 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer | None]:
                 lines.append((at, at + len(line), line))
                 at += len(line)
         for start, end, bare in lines:
-            raw = _unbase64(bare) if len(bare) >= SHORTEST else None
+            if len(bare) < SHORTEST:
+                continue
+            raw = _unbase64(bare)
             if not raw:
+                yield from _shifted(bare, layer.span(start, end))
                 continue
             if raw.startswith(_MAGIC):
-                try:
-                    content = _opened(raw)
-                except Bomb:
-                    yield None
-                    continue
-                except ValueError:
-                    content = None
-                if content is not None:
-                    opened = set()  # what it holds may be compressed once more, or hold itself
-                    while content.startswith(_MAGIC) and content not in opened:
-                        opened.add(content)
-                        try:
-                            content = _opened(content)
-                        except Bomb:
-                            yield None
-                        except ValueError:
-                            break
-                    plain = _readable(content)
-                    if plain:
-                        yield _Layer(plain, None, None, layer.span(start, end))
+                below = list(_layers(raw, layer.span(start, end)))
+                yield from below
+                if below:
                     continue
             plain = _readable(raw)
             if plain:
@@ -228,6 +278,8 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer | None]:
                     first = start + (stop - widths) * 4 // 3
                     last = np.minimum(start - (-stop * 4 // 3), end)
                     yield _Layer(plain, *((first, last) if layer.starts is None else (layer.starts[first], layer.ends[last - 1])))
+            else:
+                yield from _shifted(bare, layer.span(start, end))
 
 
 def secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
