@@ -1,30 +1,34 @@
 """Fuzzy line dedup, with DataFrame and SQL functions only.
 
-Lines are normalised (lower case, each run of other characters than letters and digits a blank). Two lines are linked
-if their edit similarity, 1 - distance / longer length, is at least ``similarity`` and the words that only one of them
-has make up at most ``UNSHARED`` of the characters of its distinct words. Such lines share a word among the first of
-each in any one order of all words, taken until their characters pass that part (else all before the first shared
-word would be unshared, and more than may be); so lines meet on these words and no such pair is missed. Longer words
-come first, since they are rarer. Of each connected group one occurrence stays, the one with the smallest doc_id, then
-line number. Small changes spread over more of the words than that aren't found, though the edit similarity allows them.
-
-With a ``budget``, lines meet by SimHash instead, which finds less: two lines within ``budget`` differing bits agree on
-all but ``budget`` of some blocks of the fingerprint, and distinct lines meet on every choice of that many agreeing
-blocks. The blocks are narrower and more the more distinct lines there are, so that few unrelated lines meet; every
-number of blocks finds the same links. The 64 bit counts of a line are kept in 16 longs of four 16-bit lanes: a hash's four bits are spread over the lanes by
-one multiplication, and words are summed by line. Equal lines are one row from there on, so a line that all documents
-have costs no more than another. Texts are fetched for lines that have met another, once for each distinct line.
-
-Defined results: a null text counts as empty and has one empty line; lines of fewer than five words
-(whole lines of scripts without blanks too) are matched when equal alone, and left alone with a ``budget``; with one,
-lines of more than 65,535 words are matched when equal alone; lines without words are left alone; lines that repeat in
+Lines are normalised (lower case, each run of other characters than letters and digits a blank). The fingerprint of a
+line is a SimHash in ``BLOCKS`` blocks of 64 bits. Every block draws ``DRAWS`` words of the line by hashes of its own,
+long words more likely than short ones, and its bits are those set in over half of the hashes of the drawn words. A
+small change so alters the blocks that drew a changed word and no others, whereas in a SimHash of all words it alters
+some bits of every block. Lines that agree on a block are candidates (pigeonhole: they differ too little to alter all
+blocks), and are linked if their edit similarity, 1 - distance / longer length, is at least ``similarity``. Of each
+connected group one occurrence stays, the one with the smallest doc_id, then line number.
+
+Where changed words make up a fifth of a line's characters, two lines share about two thirds of what is drawn, hence a
+block with probability 0.3, and one of the eight with 0.94; nearer lines meet more surely. Changes strewn over most of
+a line's words alter all blocks, and such pairs are missed, although the edit similarity may allow them.
+
+Candidates are compared if they share ``ALIKE`` of all draws. The edit distance is bounded from above piece by piece
+first; a pair whose bound is more than ``CLEAR`` times the limit is taken as unlike.
+
+Not all pairs of a block's lines are compared. First each line is compared with the block's first line only; those
+that prove similar make groups. Then lines are compared that share a block and whose groups still differ, at least one
+of them outside the group of the block's first line. So a template of n variants costs about n comparisons, and no
+link between different groups is lost.
+
+Defined results: a null text counts as empty and has one empty line; lines of fewer than ``WORDS`` words (whole lines
+of scripts without blanks too) are matched when equal alone; lines without words are left alone; lines that repeat in
 one document are repeats like others; rows that repeat an id share its line numbers, and their equal lines stay or go
 together; null ids come before others; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +36,15 @@ from pyspark.sql import functions as F
 from tidewrack.llm.common import cut
 from tidewrack.llm.components import connected_components
 
-BUDGET, SIMILARITY, WORDS = 3, 0.8, 5
-#: Part of the characters of a line's distinct words that may be in words that the other line doesn't have.
-UNSHARED = 0.4
-BITS, LANES, MOST = 64, 16, 65_535
-#: Unrelated lines that may share a line's blocks, about, and rows up to which a table of lines is broadcast.
-BUCKET, BROADCAST_ROWS = 64, 200_000
-#: Spreads four bits over four lanes of 16 bits: bit j of n goes to lane j of (n * SPREAD) & LOW.
-SPREAD, LOW = 1 | 1 << 15 | 1 << 30 | 1 << 45, 1 | 1 << 16 | 1 << 32 | 1 << 48
+SIMILARITY, WORDS = 0.8, 5
+BLOCKS, DRAWS = 8, 3
+#: Draws of the 24 that two lines must share to be compared, and longs that hold eight bits of each draw.
+ALIKE, SKETCH = 12, ["s0", "s1", "s2"]
+#: Characters of words that hold two lines together piece by piece, and how far over the limit the sum of the pieces'
+#: distances must be for a pair to be unlike without another look.
+ANCHOR, CLEAR = 5, 1.25
+#: The lowest bit of each of eight bytes.
+ONES = 0x0101010101010101
 
 
 def raw_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -56,73 +61,72 @@ def normalised(lines: DataFrame, least: int = WORDS) -> DataFrame:
     return told.select("*", F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(1)).alias("k2"))
 
 
-def _nibble(h: Column, k: int) -> Column:
-    return (F.shiftrightunsigned(h, 4 * k).bitwiseAND(F.lit(15)) * F.lit(SPREAD)).bitwiseAND(F.lit(LOW))
+def _draw(block: int, draw: int) -> Column:
+    """The word that a block draws, as one number: words are dealt to the draws by hash, and of those of a draw the one
+    with the least hash for its length is taken."""
+    h = f"shiftrightunsigned(h{block}, 34)"
+    clock = F.expr(f"{h} div chars")
+    one = F.shiftleft(clock, 32).bitwiseOR(F.col(f"h{block}").bitwiseAND(F.lit((1 << 32) - 1)))
+    return F.min(F.when(F.expr(f"{h} % {DRAWS} = {draw}"), one)).alias(f"d{block}_{draw}")
+
+
+def _majority(votes: list[Column]) -> Column:
+    """The bits set in over half of three numbers; of two or one where the others are null."""
+    a, b, c = votes
+    both = [a.bitwiseAND(b), a.bitwiseAND(c), b.bitwiseAND(c)]
+    return F.coalesce(both[0].bitwiseOR(both[1]).bitwiseOR(both[2]), *both, a, b, c)
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, k1, k2, fp): the SimHash of each line's words; null for lines of too many words."""
-    words = lines.select("doc_id", "line_no", "k1", "k2", F.explode("words").alias("word")).withColumn("h", F.xxhash64("word"))
-    sums = [F.sum(_nibble(F.col("h"), k)).alias(f"s{k}") for k in range(LANES)]
-    summed = words.groupBy("doc_id", "line_no", "k1", "k2").agg(F.count("*").alias("n"), *sums)
-    fp = F.lit(0).cast("long")
-    for k in range(LANES):
-        for lane in range(4):
-            ones = F.shiftrightunsigned(F.col(f"s{k}"), 16 * lane).bitwiseAND(F.lit(MOST))
-            fp = fp.bitwiseOR(F.shiftleft((2 * ones > F.col("n")).cast("long"), 4 * k + lane))
-    return summed.select("doc_id", "line_no", "k1", "k2", F.when(F.col("n") <= MOST, fp).alias("fp"))
-
-
-def _masks(blocks: int, budget: int) -> list[int]:
-    """Fingerprint masks of all choices of ``blocks - budget`` blocks, as signed longs."""
-    edges = [BITS * k // blocks for k in range(blocks + 1)]
-    each = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    joined = [sum(each[k] for k in chosen) for chosen in combinations(range(blocks), blocks - budget)]
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in joined]
-
-
-def candidates(distinct: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
-    """(a, b): first hashes of distinct lines within ``budget`` bits of each other, each pair once, a < b.
-
-    A line goes to the shuffle once for each choice of blocks, as two longs and the choice's number. Of all numbers of
-    blocks the least is taken that leaves about ``BUCKET`` unrelated lines or fewer with a line's blocks.
-    """
-    blocks = next((m for m in range(budget + 1, BITS) if n <= BUCKET << (BITS * (m - budget) // m)), BITS)
-    masks = _masks(blocks, budget)
-    dealt = distinct.where("fp is not null").select("k1", "fp", F.explode(F.array(*(F.lit(k).cast("tinyint") for k in range(len(masks))))).alias("choice"))
-    part = lambda side: F.col(f"{side}.fp").bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), F.col(f"{side}.choice") + 1))
-    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    # a pair meets on several choices; it counts on the first of them
-    before = F.lit(False)
-    for k, mask in enumerate(masks[:-1]):
-        before = before | ((F.col("x.choice") > k) & (differ.bitwiseAND(F.lit(mask)) == 0))
-    met = (F.col("x.choice") == F.col("y.choice")) & (part("x") == part("y"))
-    pairs = dealt.alias("x").join(dealt.alias("y"), met & (F.col("x.k1") < F.col("y.k1")) & (F.bit_count(differ) <= budget) & ~before)
-    return pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b"))
-
-
-def leading(words: Column) -> Column:
-    """Hashes of the line's longest words, so many that their characters pass the part that may be unshared."""
-    ranked = F.sort_array(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("short"), F.xxhash64(w).alias("hash"))))
-    most = UNSHARED * _chars(F.array_distinct(words))
-    step = lambda s, w: F.when(s["chars"] > most, s).otherwise(F.struct((s["chars"] - w["short"]).alias("chars"), (s["n"] + 1).alias("n")))
-    taken = F.aggregate(ranked, F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n")), step)
-    return F.transform(F.slice(ranked, 1, taken["n"]), lambda w: w["hash"])
-
-
-def _chars(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
-
-
-def met(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): first hashes of lines of near enough length that share a leading word, each pair once, a < b."""
-    dealt = distinct.select("k1", "chars", F.explode("lead").alias("word"))
-    near = F.abs(F.col("x.chars") - F.col("y.chars")) <= (1 - similarity) * F.greatest("x.chars", "y.chars") + 1e-9
-    pairs = dealt.alias("x").join(dealt.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.k1") < F.col("y.k1")) & near)
+    """(k1, fp, s0, s1, s2) of each distinct line: its blocks, and eight bits of each draw. Equal lines are one row from here on."""
+    words = lines.select("k1", F.explode("words").alias("word")).select("k1", F.length("word").alias("chars"), F.xxhash64("word").alias("h"))
+    words = words.select("k1", "chars", *(F.xxhash64("h", F.lit(k)).alias(f"h{k}") for k in range(BLOCKS)))
+    drawn = words.groupBy("k1").agg(*(_draw(k, j) for k in range(BLOCKS) for j in range(DRAWS)))
+    vote = lambda c: F.when(c.isNotNull(), F.xxhash64(c))
+    blocks = [_majority([vote(F.col(f"d{k}_{j}")) for j in range(DRAWS)]) for k in range(BLOCKS)]
+    every = [f"d{k}_{j}" for k in range(BLOCKS) for j in range(DRAWS)]
+    byte = lambda c, i: F.shiftleft(F.coalesce(F.col(c), F.lit(0)).bitwiseAND(F.lit(255)), 8 * i)
+    sketch = [reduce(Column.bitwiseOR, [byte(c, i) for i, c in enumerate(every[8 * k : 8 * k + 8])]).alias(name) for k, name in enumerate(SKETCH)]
+    return drawn.select("k1", F.array(*blocks).alias("fp"), *sketch)
+
+
+def _alike(x: str, y: str) -> Column:
+    """How many draws two lines share."""
+    differ = F.lit(0)
+    for name in SKETCH:
+        d = F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}"))
+        for step in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, step))
+        differ = differ + F.bit_count(d.bitwiseAND(F.lit(ONES)))
+    return F.lit(BLOCKS * DRAWS) - differ
+
+
+def meetings(prints: DataFrame) -> DataFrame:
+    """(at, k1, first, s0, s1, s2): lines that agree with another on a block, and the least of those that do."""
+    rows = prints.select("k1", *SKETCH, F.explode(F.transform("fp", lambda v, k: F.xxhash64(k, v))).alias("at"))
+    several = rows.groupBy("at").agg(F.count("*").alias("n"), F.min("k1").alias("first")).where("n > 1").select("at", "first")
+    return rows.join(several, "at").select("at", "k1", "first", *SKETCH)
+
+
+def to_first(met: DataFrame) -> DataFrame:
+    """(a, b): a block's first line with each of its others that has enough draws in common with it."""
+    first, other = met.where(F.col("k1") == F.col("first")).alias("x"), met.where(F.col("k1") != F.col("first")).alias("y")
+    pairs = first.join(other, (F.col("x.at") == F.col("y.at")) & (_alike("x", "y") >= ALIKE))
     return pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
 
 
-def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, unshared: float | None = None) -> DataFrame:
+def across(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b), a < b, of lines that share a block and enough draws, but no group, one of them outside that of the block's first."""
+    own = groups.select(F.col("node.k1").alias("k1"), F.col("component.k1").alias("own"))
+    main = own.select(F.col("k1").alias("first"), F.col("own").alias("main"))
+    told = met.join(own, "k1", "left").join(main, "first", "left")
+    told = told.select("at", "k1", *SKETCH, F.coalesce("own", "k1").alias("own"), F.coalesce("main", "first").alias("main"))
+    out = told.where(F.col("own") != F.col("main"))
+    pairs = out.alias("x").join(told.alias("y"), (F.col("x.at") == F.col("y.at")) & (F.col("x.own") != F.col("y.own")) & (_alike("x", "y") >= ALIKE))
+    return pairs.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
+
+
+def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b), keys of the pairs of first hashes whose edit similarity is high enough; ``texts`` has (key, line).
 
     Lines that share a first hash by chance are all compared, so that chance links nothing.
@@ -131,55 +135,67 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, u
     both = both.join(texts.select(F.col("key.k1").alias("b"), F.col("key").alias("q"), F.col("line").alias("y")), "b")
     longer = F.greatest(F.length("x"), F.length("y"))
     both = both.withColumn("most", F.floor((1 - similarity) * longer + 1e-9).cast("int")).where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
-    # Word by word, the distance can only come out too large, so that a small one settles a pair; the others are compared
-    # as a whole without the words that both begin and end with, which add nothing to it.
-    both = both.withColumns({"xs": F.split("x", " "), "ys": F.split("y", " ")})
-    if unshared is not None:
-        few = lambda a, b: _chars(F.array_except(a, b)) <= unshared * _chars(F.array_distinct(a))
-        both = both.where(few("xs", "ys") & few("ys", "xs"))
-    apart = F.aggregate(F.zip_with("xs", "ys", lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))), F.lit(0), lambda s, v: s + v)
-    worded = (F.size("xs") == F.size("ys")) & (apart <= F.col("most"))
-    cut_x, cut_y = _without_shared(F.col("xs"), F.col("ys"))
-    tail_x, tail_y = _without_shared(F.reverse(cut_x), F.reverse(cut_y))
-    inner = both.withColumns({"worded": F.coalesce(worded, F.lit(False)), "tx": _spaced(F.reverse(tail_x)), "ty": _spaced(F.reverse(tail_y))})
-    near = F.expr("CASE WHEN worded THEN true ELSE levenshtein(tx, ty, most) >= 0 END")
-    return inner.where(near).select(F.col("p").alias("a"), F.col("q").alias("b"))
-
-
-def _spaced(words: Column) -> Column:
-    """Words with a blank after each."""
-    return F.array_join(F.transform(words, lambda w: F.concat(w, F.lit(" "))), "")
-
-
-def _without_shared(a: Column, b: Column) -> tuple[Column, Column]:
-    """Two arrays without the elements that both begin with."""
-    first = F.array_position(F.zip_with(a, b, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
-    begin = F.when(first == 0, F.size(a) + 1).otherwise(first).cast("int")  # 0: equal throughout
-    return F.slice(a, begin, F.size(a)), F.slice(b, begin, F.size(b))
-
-
-def repeated_lines(docs: DataFrame, budget: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    # Three upper bounds of the distance, each tried if the one before settles nothing: what lies between the words that
+    # both begin and end with, and the sums over the pieces between many and between few anchors. A sum far over the limit
+    # settles a pair as unlike; what is left open is compared as a whole.
+    few = F.greatest(F.lit(1), F.floor(F.sqrt(longer) / 8)).cast("long")
+    most = F.col("most")
+    sure = lambda bound, other: _let(bound, lambda v: F.when(v <= most, True).when(v > CLEAR * most, False).otherwise(other))
+    near = sure(_apart("x", "y", few), sure(_apart("x", "y", 8 * few), F.expr("levenshtein(x, y, most)") >= 0))
+    near = F.when(_middle("x", "y") <= most, True).otherwise(near)
+    return both.where(near).select(F.col("p").alias("a"), F.col("q").alias("b"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often it is read."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _middle(x: str, y: str) -> Column:
+    """An upper bound of the edit distance: the longer of what two lines have between the words both begin and end with."""
+
+    def equal(xs: Column, ys: Column) -> Column:  # words that both begin with
+        first = F.array_position(F.zip_with(xs, ys, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
+        return F.when(first == 0, F.least(F.size(xs), F.size(ys))).otherwise(first - 1).cast("int")
+
+    def chars(ws: Column, skip: Column, end: Column) -> Column:
+        return F.aggregate(F.slice(ws, skip + 1, F.greatest(F.size(ws) - skip - end, F.lit(0))), F.lit(0), lambda s, w: s + F.length(w) + 1)
+
+    def between(xs: Column, ys: Column) -> Column:
+        rest = lambda ws, n: F.reverse(F.slice(ws, n + 1, F.size(ws)))
+        return _let(equal(xs, ys), lambda n: _let(equal(rest(xs, n), rest(ys, n)), lambda m: F.greatest(chars(xs, n, m), chars(ys, n, m))))
+
+    return _let(F.split(x, " "), lambda xs: _let(F.split(y, " "), lambda ys: between(xs, ys)))
+
+
+def _apart(x: str, y: str, every: Column) -> Column:
+    """An upper bound of the edit distance: the sum over the pieces between anchors, words that both have, of ``ANCHOR``
+    characters or more, one of ``every`` by hash; null if the two have them in another order."""
+    words = lambda c: F.split(c, " ")
+    anchors = lambda ws, n: F.filter(ws, lambda w: (F.length(w) >= ANCHOR) & (F.pmod(F.xxhash64(w), n) == 0))
+
+    def compared(xs: Column, ys: Column, mid: Column) -> Column:
+        held = lambda ws: F.filter(ws, lambda w: F.array_contains(mid, w))
+        pieces = lambda ws: F.split(F.array_join(F.transform(ws, lambda w: F.when(F.array_contains(mid, w), "\n").otherwise(w)), " "), "\n")
+        each = F.zip_with(pieces(xs), pieces(ys), lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q)))
+        return F.when(held(xs) == held(ys), F.aggregate(each, F.lit(0), lambda s, v: s + v))
+
+    inner = lambda xs, ys, n: _let(F.array_intersect(anchors(xs, n), anchors(ys, n)), lambda mid: compared(xs, ys, mid))
+    return _let(every, lambda n: _let(words(x), lambda xs: _let(words(y), lambda ys: inner(xs, ys, n))))
+
+
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each line that has an equal or similar one: doc_id, line_no, keep_doc_id, keep_line_no, group_size, kept."""
-    first = F.min(F.struct("doc_id", "line_no"))
-    if budget is None:
-        told = normalised(raw_lines(docs), 1)
-        seen = cut(told.select("doc_id", "line_no", "k1", "k2")).withColumn("key", F.struct("k1", "k2"))
-        distinct = cut(seen.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")))
-        worded = told.where(F.size("words") >= WORDS).select("k1", "k2", F.length(F.array_join("words", " ")).alias("chars"), leading(F.col("words")).alias("lead"))
-        pairs = cut(met(worded.groupBy("k1", "k2").agg(F.min("chars").alias("chars"), F.min("lead").alias("lead")), similarity))
-    else:
-        seen = cut(fingerprints(normalised(raw_lines(docs)))).withColumn("key", F.struct("k1", "k2"))
-        distinct = cut(seen.groupBy("key").agg(F.min("fp").alias("fp"), first.alias("first"), F.count("*").alias("n")))
-        pairs = cut(candidates(distinct.select(F.col("key.k1").alias("k1"), "fp"), distinct.count(), budget))
-    asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    asked = distinct.join(asked, F.col("key.k1") == F.col("h"), "left_semi").select("key", F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line"))
-    asked = cut(asked)
-    if asked.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)  # else both sides are shuffled
-    here = (F.col("line_no") == F.col("at_line")) & F.col("doc_id").eqNullSafe(F.col("at_doc"))
-    found = normalised(raw_lines(docs).join(asked, here)).where((F.col("k1") == F.col("key.k1")) & (F.col("k2") == F.col("key.k2")))
-    texts = cut(found.select("key", F.array_join("words", " ").alias("line")).dropDuplicates(["key"]))
-    groups = connected_components(linked(pairs, texts, similarity, UNSHARED if budget is None else None), "a", "b")
+    seen = cut(normalised(raw_lines(docs), 1).select("doc_id", "line_no", "k1", "k2")).withColumn("key", F.struct("k1", "k2"))
+    lines = normalised(raw_lines(docs))
+    met = cut(meetings(cut(fingerprints(lines))))
+    starred = cut(to_first(met))
+    asked = met.select("k1").distinct()
+    texts = cut(lines.join(asked, "k1", "left_semi").select(F.struct("k1", "k2").alias("key"), F.array_join("words", " ").alias("line")).dropDuplicates(["key"]))
+    links = cut(linked(starred, texts, similarity))
+    more = linked(cut(across(met, connected_components(links, "a", "b"))), texts, similarity)
+    groups = connected_components(links.union(more), "a", "b")
+    distinct = seen.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     rooted = distinct.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("root"), "first", "n")
     rooted = cut(rooted)
     sized = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("group_size")).where(F.col("group_size") > 1)
