@@ -282,3 +282,10 @@ def residual_tests(df: DataFrame, keys: Sequence[str], residual: str, order: str
         ratio(F.sum(F.pow(F.col("e") - F.col("b"), F.lit(2.0))), F.sum(F.col("e") * F.col("e"))).alias("durbin_watson"),
         (F.count("e") / 6 * (F.pow(F.skewness("e"), F.lit(2.0)) + F.pow(F.kurtosis("e"), F.lit(2.0)) / 4)).alias("jarque_bera"),
     )
+
+
+def regression_text(df: DataFrame, group: str, x: str, y: str, digits: int = 2) -> DataFrame:
+    """(group, equation): the line fitted over all rows as text, the same for every group."""
+    fit = df.agg(F.regr_slope(y, x).alias("a"), F.regr_intercept(y, x).alias("b"))
+    told = df.select(group).distinct().crossJoin(F.broadcast(fit))  # one row
+    return told.select(group, F.format_string(f"y = %.{digits}fx + %.{digits}f", "a", "b").alias("equation"))

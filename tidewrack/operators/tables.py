@@ -91,6 +91,11 @@ def long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "
     return df.unpivot(list(ids), [F.col(v).cast("double").alias(v) for v in values], name, value)
 
 
+def transposed(df: DataFrame, key: str, columns: Sequence[str], names: Sequence) -> DataFrame:
+    """A row for each of the columns, and a column for each of the key's values, which are given."""
+    return wide(long(df, [key], columns), ["variable"], key, "value", names, how="max", fill=None)
+
+
 def mirrored(pairs: DataFrame, zero: bool = True) -> DataFrame:
     """A square distance table (i, j, d) from its half."""
     both = pairs.select("i", "j", "d").union(pairs.select("j", "i", "d"))

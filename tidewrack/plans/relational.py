@@ -9,14 +9,13 @@ from tidewrack.operators import aggregates, filters, tables, windows
 from tidewrack.plans.base import OBS, SERIES, observations, query, rounded, series, table
 
 
-@query("""SELECT doc_id, lower(replace(replace(left(text, 40), ' ', ''), '.', '')) AS name_key, regexp_replace(regexp_replace(lower(trim(source)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
-    trim(regexp_replace(regexp_replace(left(text, 80), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned, source || '.' || coalesce(lang, 'nan') AS key FROM documents""")
+@query("""SELECT doc_id, lower(replace(replace(text, ' ', ''), '.', '')) AS name_key, regexp_replace(regexp_replace(lower(trim(source)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
+    trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned, source || '.' || coalesce(lang, 'nan') AS key FROM documents""")
 def clean_texts(spark, d):
     """P4, P7, P9, P13, C15."""
-    head = F.substring("text", 1, 40)
     return table(spark, d, "documents").select(
-        "doc_id", text.normal_name(head).alias("name_key"), text.slugify(F.col("source")).alias("slug"),
-        text.clean_text(F.substring("text", 1, 80), normalise=False).alias("cleaned"), text.composite_key(["source", "lang"]).alias("key"),
+        "doc_id", text.normal_name(F.col("text")).alias("name_key"), text.slugify(F.col("source")).alias("slug"),
+        text.clean_text(F.col("text"), normalise=False).alias("cleaned"), text.composite_key(["source", "lang"]).alias("key"),
     )
 
 
@@ -88,10 +87,10 @@ def quality_flags(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", good.alias("good"), filters.in_range(F.col("l_quantity"), 5, 45).alias("kept"))
 
 
-@query(f"""WITH {OBS}, k AS (SELECT taxon FROM obs GROUP BY 1 HAVING count(DISTINCT CASE WHEN density > 49 THEN sample END) >= 0.6 * (SELECT count(DISTINCT sample) FROM obs)) SELECT taxon, count(*) AS n FROM obs WHERE taxon IN (SELECT taxon FROM k) GROUP BY 1""")
+@query(f"""WITH {OBS}, k AS (SELECT taxon FROM obs GROUP BY 1 HAVING count(DISTINCT CASE WHEN density > 45 THEN sample END) >= 0.6 * (SELECT count(DISTINCT sample) FROM obs)) SELECT taxon, count(*) AS n FROM obs WHERE taxon IN (SELECT taxon FROM k) GROUP BY 1""")
 def frequent_taxa(spark, d):
-    """F16-F18, J11."""
-    obs = observations(spark, d).withColumn("over", F.greatest(F.col("density") - 49, F.lit(0.0)))
+    """F18."""
+    obs = observations(spark, d).withColumn("over", F.greatest(F.col("density") - 45, F.lit(0.0)))
     return filters.frequent_taxa(obs, "sample", "taxon", "over", 0.6).groupBy("taxon").agg(F.count("*").alias("n"))
 
 
