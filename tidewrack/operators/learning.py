@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -50,7 +50,11 @@ def fit(df: DataFrame, columns: Sequence[str], model) -> PipelineModel:
 
 
 def scores(predicted: DataFrame, target: str) -> dict[str, float]:
-    return {m: RegressionEvaluator(labelCol=target, metricName=m).evaluate(predicted) for m in ("r2", "rmse", "mae")}
+    """r2, rmse and mae, in one pass."""
+    y = F.col(target).cast("double")
+    e = y - F.col("prediction")
+    row = predicted.where(e.isNotNull()).agg(F.avg(e * e), F.avg(F.abs(e)), F.var_pop(y)).first()
+    return {"r2": 1 - row[0] / row[2] if row[2] else math.nan, "rmse": math.sqrt(row[0]), "mae": row[1]} if row[0] is not None else dict.fromkeys(("r2", "rmse", "mae"), math.nan)
 
 
 def cross_validated(df: DataFrame, columns: Sequence[str], models: dict[str, object], target: str, k: int = 5) -> list[tuple[str, int, float, float, float]]:

@@ -136,10 +136,18 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, 0.5 * math.erfc(z / math.sqrt(2))
 
 
+#: Parts that a key's rows are dealt to before the chosen ones meet.
+PARTS = 256
+
+
 def shapiro(df: DataFrame, keys: Sequence[str], value: str, ids: Sequence[str], most: int = 5000) -> DataFrame:
     """(keys..., w, p, n) of each key; of a key with more rows, ``most`` chosen by a hash of their ids, as the test allows."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(*ids), *ids)
-    chosen = df.where(F.col(value).isNotNull()).withColumn("nth__", F.row_number().over(w)).where(F.col("nth__") <= most).select(*keys, value)
+    # the first of each of many parts of a key, then the first of those, so that no task sorts a whole key
+    order = [F.xxhash64(*ids), *ids]
+    told = df.where(F.col(value).isNotNull()).withColumn("part__", F.pmod(F.xxhash64(F.lit("part"), *ids), F.lit(PARTS)))
+    for w in (Window.partitionBy(*keys, "part__").orderBy(*order), Window.partitionBy(*keys).orderBy(*order)):
+        told = told.withColumn("nth__", F.row_number().over(w)).where(F.col("nth__") <= most)
+    chosen = told.select(*keys, value)
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "w double, p double, n long"])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -263,14 +263,14 @@ def scaled_raster(spark, d):
     return rounded(raster.scaled(pixels(spark, d), products), 7)
 
 
-@query(f"""WITH {PIXELS}, y AS (SELECT DISTINCT date FROM pixels), p AS (SELECT * FROM pixels WHERE date % 2 = 1 AND product = 'R'), g AS (SELECT DISTINCT row, col FROM p),
-    t AS (SELECT g.row, g.col, y.date, value, last_value(value IGNORE NULLS) OVER b AS v0, first_value(value IGNORE NULLS) OVER a AS v1 FROM g CROSS JOIN y LEFT JOIN p ON p.row = g.row AND p.col = g.col AND p.date = y.date
-    WINDOW b AS (PARTITION BY g.row, g.col ORDER BY y.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY g.row, g.col ORDER BY y.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT row, col, date, round(coalesce(value, (v0 + v1) / 2, v0, v1), 7) AS value FROM t""")
+@query(f"""WITH {PIXELS}, y AS (SELECT DISTINCT date FROM pixels), p AS (SELECT * FROM pixels WHERE date % 2 = 1), g AS (SELECT DISTINCT product, row, col FROM p),
+    t AS (SELECT g.product, g.row, g.col, y.date, value, last_value(value IGNORE NULLS) OVER b AS v0, first_value(value IGNORE NULLS) OVER a AS v1 FROM g CROSS JOIN y LEFT JOIN p ON p.product = g.product AND p.row = g.row AND p.col = g.col AND p.date = y.date
+    WINDOW b AS (PARTITION BY g.product, g.row, g.col ORDER BY y.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY g.product, g.row, g.col ORDER BY y.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT product, row, col, date, round(coalesce(value, (v0 + v1) / 2, v0, v1), 7) AS value FROM t""")
 def filled_rasters(spark, d):
     """B7, B8."""
     px = pixels(spark, d)
-    return rounded(raster.filled_dates(px.where("date % 2 = 1 and product = 'R'"), px.select("date"), ["row", "col"]), 7)
+    return rounded(raster.filled_dates(px.where("date % 2 = 1"), px.select("date"), ["product", "row", "col"]), 7)
 
 
 @query(f"""WITH {PIXELS} SELECT product, date, row, col, round(value, 7) AS value FROM pixels WHERE col + 0.5 < 40 AND row + 0.5 < 3 AND (col + 0.5) >= (row + 0.5)""")

@@ -208,20 +208,20 @@ def _groups(spark, d):
 @query()
 def permanova(spark, d):
     """M10, with permutations as rows."""
-    return rounded(dissimilarity.permanova(dissimilarity.bray_curtis(_logs(spark, d), "sample", "taxon", "x"), _groups(spark, d), 199))
+    return rounded(dissimilarity.permanova(dissimilarity.bray_curtis(_logs(spark, d), "sample", "taxon", "x"), _groups(spark, d)))
 
 
 @query()
 def permdisp(spark, d):
     """M11."""
-    return rounded(dissimilarity.permdisp(dissimilarity.bray_curtis(_logs(spark, d), "sample", "taxon", "x"), _groups(spark, d), 199))
+    return rounded(dissimilarity.permdisp(dissimilarity.bray_curtis(_logs(spark, d), "sample", "taxon", "x"), _groups(spark, d)))
 
 
 @query()
 def mantel(spark, d):
     """M13."""
     env = dissimilarity.gower(_environment(spark, d), "sample", ["e1", "e2", "e3"])
-    return rounded(dissimilarity.mantel(dissimilarity.bray_curtis(_logs(spark, d), "sample", "taxon", "x"), env, 199))
+    return rounded(dissimilarity.mantel(dissimilarity.bray_curtis(_logs(spark, d), "sample", "taxon", "x"), env))
 
 
 @query(f"""{_PAIRS}, e AS (SELECT sample, avg(discount) AS e1, avg(tax) AS e2 FROM obs GROUP BY 1), b AS (SELECT q.i, q.j, 1 - 2 * coalesce(l, 0) / (si + sj) AS d FROM q LEFT JOIN c ON q.i = c.i AND q.j = c.j),
@@ -272,4 +272,4 @@ def response_grid(spark, d):
 def null_model(spark, d):
     """Observed overlap of the phyla's niches against shuffles."""
     obs = observations(spark, d).withColumn("x", (F.col("year") - 1998).cast("double"))
-    return niche.null_model(obs, "sample", "phylum", "x", "density", runs=50)
+    return niche.null_model(obs, "sample", "phylum", "x", "density")

@@ -13,7 +13,7 @@ from tidewrack.streaming import series as stream
 
 @query(f"""WITH {OBS} SELECT round(regr_slope(biovolume, density), 3) AS slope, round(regr_intercept(biovolume, density), 2) AS intercept, round(regr_r2(biovolume, density), 5) AS r2 FROM obs""")
 def linear_model(spark, d):
-    """L1, Q28: a model of one predictor against its closed form."""
+    """L1: a model of one predictor against its closed form."""
     model = learning.fit(observations(spark, d).select("density", "biovolume"), ["density"], learning.linear("biovolume")).stages[-1]
     return spark.createDataFrame([(round(float(model.coefficients[0]), 3), round(float(model.intercept), 2), round(float(model.summary.r2), 5))], "slope double, intercept double, r2 double")
 
@@ -23,9 +23,9 @@ _X = ["density", "discount", "tax", "size"]
 
 @query()
 def cross_validated_models(spark, d):
-    """Folds by hash, several models and settings."""
-    data = learning.folds(observations(spark, d).where("year = 1996 and month <= 3").select("ord", "line", "biovolume", *_X), ["ord", "line"], 3).cache()
-    rows = learning.cross_validated(data, _X, {"linear": learning.linear("biovolume"), "ridge": learning.linear("biovolume", ridge=1.0), "forest": learning.forest("biovolume", 10, 5)}, "biovolume", 3)
+    """L1, and L2, L4 and L6 at one setting each: folds by hash, several models."""
+    data = learning.folds(observations(spark, d).select("ord", "line", "biovolume", *_X), ["ord", "line"], 3).cache()
+    rows = learning.cross_validated(data, _X, {"linear": learning.linear("biovolume"), "ridge": learning.linear("biovolume", ridge=1.0), "forest": learning.forest("biovolume", 10, 5), "boosted": learning.boosted("biovolume", 5, 3)}, "biovolume", 3)
     data.unpersist()
     return spark.createDataFrame(rows, "model string, fold int, r2 double, rmse double, mae double")
 
@@ -41,7 +41,7 @@ def observed_and_predicted(spark, d):
 @query()
 def variable_importance(spark, d):
     """L3."""
-    data = observations(spark, d).where("year = 1996").select("ord", "line", "biovolume", *_X)
+    data = observations(spark, d).select("ord", "line", "biovolume", *_X)
     model = learning.fit(data, _X, learning.linear("biovolume"))
     return spark.createDataFrame(learning.permutation_importance(model, data, _X, "biovolume", ["ord", "line"]), "variable string, importance double")
 
@@ -73,9 +73,8 @@ def _events(spark, d):
     return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _checkpoint(spark, name: str) -> tuple[str, str]:
-    """A table name of its own and a folder in the shared folder of the cluster, if it names one."""
-    own = f"{name}_{uuid.uuid4().hex}"
+def _folders(spark, name: str) -> tuple[str, str]:
+    """A folder for rows and one for state, in the shared folder of the cluster, if it names one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None and spark.sparkContext.master.startswith("local"):
         import tempfile
@@ -83,32 +82,50 @@ def _checkpoint(spark, name: str) -> tuple[str, str]:
         shared = tempfile.mkdtemp(prefix="spark-stream-")
     if shared is None:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return own, f"{shared}/{own}"
+    own = f"{shared}/{name}_{uuid.uuid4().hex}"
+    return f"{own}/rows", f"{own}/state"
 
 
 @query("""SELECT event_type, strftime(time_bucket(INTERVAL 8 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS start, count(*) AS n, round(sum(value), 4) AS sum FROM events GROUP BY 1, 2""")
 def streamed_intervals(spark, d):
     """Tumbling 8-day windows over a stream."""
-    got = stream.run_once(stream.tumbling(_events(spark, d), ["event_type"], "ts", "value", "8 days", "30 days"), *_checkpoint(spark, "intervals"))
+    got = stream.run_once(stream.tumbling(_events(spark, d), ["event_type"], "ts", "value", "8 days", "30 days"), *_folders(spark, "intervals"))
     return got.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("start"), "n", F.round("sum", 4).alias("sum"))
 
 
 @query()
 def streamed_trailing_means(spark, d):
     """Z2."""
-    return stream.run_once(stream.trailing(_events(spark, d), ["event_type"], "ts", "value", "3 days", "1 day", "30 days"), *_checkpoint(spark, "trailing"))
+    return stream.run_once(stream.trailing(_events(spark, d), ["event_type"], "ts", "value", "3 days", "1 day", "30 days"), *_folders(spark, "trailing"))
 
 
-@query("""SELECT user_id, count(*) AS n FROM events GROUP BY 1""")
+@query("""
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS n
+    FROM s GROUP BY user_id, k
+""")
 def streamed_sessions(spark, d):
-    """Sessions of users; their rows add up to all rows."""
-    got = stream.run_once(stream.sessions(_events(spark, d), ["user_id"], "ts", "1 day", "30 days"), *_checkpoint(spark, "sessions"))
-    return got.groupBy("user_id").agg(F.sum("n").alias("n"))
+    """Begin, end and size of each session."""
+    got = stream.run_once(stream.sessions(_events(spark, d), ["user_id"], "ts", "1 day", "30 days"), *_folders(spark, "sessions"))
+    day = "yyyy-MM-dd HH:mm:ss"
+    return got.select("user_id", F.date_format("start", day).alias("start"), F.date_format("end", day).alias("end"), "n")
+
+
+@query("""
+    SELECT user_id, event_type, max(ts)::DATE::VARCHAR AS day, arg_max(event_id, (ts, event_id)) AS event_id FROM events
+    GROUP BY user_id, event_type, ts::DATE
+""")
+def streamed_last_rows(spark, d):
+    """Of a user's events of a kind on one day the last stays."""
+    told = _events(spark, d).select("user_id", "event_type", "ts", "event_id")
+    got = stream.run_once(stream.last_of_duplicates(told, ["user_id", "event_type"], "ts", "1 day", "30 days"), *_folders(spark, "last"))
+    return got.select("user_id", "event_type", F.to_date("ts").cast("string").alias("day"), "event_id")
 
 
 @query()
 def streamed_corrections(spark, d):
     """Z3: state carried along each type's values."""
-    _, folder = _checkpoint(spark, "corrections")
-    stream.run_to_parquet(stream.corrected(_events(spark, d), "event_type", "ts", "value"), f"{folder}/rows", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/rows")
+    rows, state = _folders(spark, "corrections")
+    stream.run_to_parquet(stream.corrected(_events(spark, d), "event_type", "ts", "value"), rows, state)
+    return spark.read.parquet(rows)

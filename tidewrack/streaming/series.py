@@ -34,30 +34,54 @@ def first_of_duplicates(stream: DataFrame, keys: Sequence[str], time: str, late:
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def last_of_duplicates(stream: DataFrame, keys: Sequence[str], time: str, within: str, late: str) -> DataFrame:
+    """One row per key and span of time ``within``, the last by time; of rows of one time the one that is last in all columns."""
+    span = F.window(time, within).alias("w__")
+    others = [c for c in stream.columns if c not in keys]
+    latest = F.max(F.struct(F.col(time).alias("at__"), *others)).alias("row__")
+    got = stream.withWatermark(time, late).groupBy(*keys, span).agg(latest)
+    return got.select(*keys, *(F.col(f"row__.{c}").alias(c) for c in others))
+
+
 def corrected(stream: DataFrame, key: str, time: str, value: str, threshold: float = 1.5) -> DataFrame:
-    """Each key's values in order of arrival, values missing or above ``threshold`` times the corrected one before replaced
-    by that one. The batch form also looks at what follows; a stream can't without waiting for it."""
+    """Each key's values in order of time, one that is missing or above ``threshold`` times the corrected one before it
+    replaced by the mean of that one and the next acceptable value. A value waits in the state until what it needs is
+    there, so that batches may end anywhere; rows older than one already given come too late to change it."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(frames).sort_values("t")
+        last, held = (state.get[0], list(zip(state.get[1], state.get[2]))) if state.exists else (None, [])
+        for rows in frames:
+            held += zip(rows["t"].astype("int64").tolist(), (None if pd.isna(v) else float(v) for v in rows["v"]))
+        held.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0.0))
         out = []
-        for v in rows["v"]:
-            last = last if last is not None and (pd.isna(v) or v > threshold * last) else v
-            out.append(last)
-        if last is not None and not pd.isna(last):
-            state.update((float(last),))
-        yield pd.DataFrame({"key": k[0], "t": rows["t"], "v": rows["v"], "corrected": out})
+        while held:
+            at, v = held[0]
+            fixed = v
+            if last is not None and (v is None or v > threshold * last):
+                later = next((x for _, x in held[1:] if x is not None and x <= threshold * last), None)
+                if later is None:
+                    break
+                fixed = (last + later) / 2
+            out.append((k[0], at, v, fixed))
+            last, held = fixed, held[1:]
+        state.update((last, [at for at, _ in held], [v for _, v in held]))
+        got = pd.DataFrame(out, columns=["key", "t", "v", "corrected"])
+        yield got.assign(t=pd.to_datetime(got["t"]))
 
     told = stream.select(F.col(key).cast("string").alias("key"), F.col(time).alias("t"), F.col(value).cast("double").alias("v"))
-    return told.groupBy("key").applyInPandasWithState(step, "key string, t timestamp, v double, corrected double", "last double", "append", GroupStateTimeout.NoTimeout)
+    held = "last double, times array<long>, values array<double>"
+    return told.groupBy("key").applyInPandasWithState(step, "key string, t timestamp, v double, corrected double", held, "append", GroupStateTimeout.NoTimeout)
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All results over what is there now, written to a folder and read from it; nothing passes through the driver."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, as a table of the name; for results of bounded size such as windows per key."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
