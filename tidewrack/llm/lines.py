@@ -103,9 +103,10 @@ def _alike(x: str, y: str) -> Column:
 
 def meetings(prints: DataFrame) -> DataFrame:
     """(at, k1, first, s0, s1, s2): lines that agree with another on a block, and the least of those that do."""
-    rows = prints.select("k1", *SKETCH, F.explode(F.transform("fp", lambda v, k: F.xxhash64(k, v))).alias("at"))
+    rows = prints.select("k1", F.explode(F.transform("fp", lambda v, k: F.xxhash64(k, v))).alias("at"))
     several = rows.groupBy("at").agg(F.count("*").alias("n"), F.min("k1").alias("first")).where("n > 1").select("at", "first")
-    return rows.join(several, "at").select("at", "k1", "first", *SKETCH)
+    met = rows.join(several, "at").select("at", "k1", "first")
+    return met.join(prints.select("k1", *SKETCH), "k1").select("at", "k1", "first", *SKETCH)
 
 
 def to_first(met: DataFrame) -> DataFrame:
@@ -170,18 +171,22 @@ def _middle(x: str, y: str) -> Column:
 
 def _apart(x: str, y: str, every: Column) -> Column:
     """An upper bound of the edit distance: the sum over the pieces between anchors, words that both have, of ``ANCHOR``
-    characters or more, one of ``every`` by hash; null if the two have them in another order."""
-    words = lambda c: F.split(c, " ")
-    anchors = lambda ws, n: F.filter(ws, lambda w: (F.length(w) >= ANCHOR) & (F.pmod(F.xxhash64(w), n) == 0))
+    characters or more, one of ``every`` by hash; null if there are none or the two have them in another order."""
+    chosen = lambda w, n: (F.length(w) >= ANCHOR) & (F.pmod(F.xxhash64(w), n) == 0)
 
-    def compared(xs: Column, ys: Column, mid: Column) -> Column:
+    def compared(xs: Column, ys: Column, n: Column, ax: Column, ay: Column, mid: Column) -> Column:
         held = lambda ws: F.filter(ws, lambda w: F.array_contains(mid, w))
-        pieces = lambda ws: F.split(F.array_join(F.transform(ws, lambda w: F.when(F.array_contains(mid, w), "\n").otherwise(w)), " "), "\n")
+        cut_at = lambda w: F.when(chosen(w, n) & F.array_contains(mid, w), "\n").otherwise(w)
+        pieces = lambda ws: F.split(F.array_join(F.transform(ws, cut_at), " "), "\n")
         each = F.zip_with(pieces(xs), pieces(ys), lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q)))
-        return F.when(held(xs) == held(ys), F.aggregate(each, F.lit(0), lambda s, v: s + v))
+        return F.when((F.size(mid) > 0) & (held(ax) == held(ay)), F.aggregate(each, F.lit(0), lambda s, v: s + v))
 
-    inner = lambda xs, ys, n: _let(F.array_intersect(anchors(xs, n), anchors(ys, n)), lambda mid: compared(xs, ys, mid))
-    return _let(every, lambda n: _let(words(x), lambda xs: _let(words(y), lambda ys: inner(xs, ys, n))))
+    def anchored(xs: Column, ys: Column, n: Column) -> Column:
+        of = lambda ws: F.filter(ws, lambda w: chosen(w, n))
+        both = lambda ax, ay: _let(F.array_intersect(ax, ay), lambda mid: compared(xs, ys, n, ax, ay, mid))
+        return _let(of(xs), lambda ax: _let(of(ys), lambda ay: both(ax, ay)))
+
+    return _let(every, lambda n: _let(F.split(x, " "), lambda xs: _let(F.split(y, " "), lambda ys: anchored(xs, ys, n))))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -191,7 +196,8 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     met = cut(meetings(cut(fingerprints(lines))))
     starred = cut(to_first(met))
     asked = met.select("k1").distinct()
-    texts = cut(lines.join(asked, "k1", "left_semi").select(F.struct("k1", "k2").alias("key"), F.array_join("words", " ").alias("line")).dropDuplicates(["key"]))
+    spelt = lines.select("k1", "k2", F.array_join("words", " ").alias("line"))  # shorter in a shuffle than its words
+    texts = cut(spelt.join(asked, "k1", "left_semi").dropDuplicates(["k1", "k2"]).select(F.struct("k1", "k2").alias("key"), "line"))
     links = cut(linked(starred, texts, similarity))
     more = linked(cut(across(met, connected_components(links, "a", "b"))), texts, similarity)
     groups = connected_components(links.union(more), "a", "b")
