@@ -130,3 +130,21 @@ def test_layers_that_are_no_clean_text(text):
     text = f"see {text} there"
     found = secrets.secrets(text)[1]
     assert any(k == 0 and 4 <= a < b <= len(text) - 6 for a, k, b in found)
+
+
+def test_all_members_of_a_block_are_opened():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+
+    import zstandard
+
+    from tidewrack.llm import secrets
+
+    plain = b"nothing to see in this first part of the block", b"here is password=abcdefghijkl123 for all"
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        text = "see " + base64.b64encode(b"".join(map(pack, plain))).decode() + " end"
+        assert [s for s in secrets.secrets(text)[1] if s[1] == 0] == [(4, 0, len(text) - 4)], pack
+    cut_off = base64.b64encode(gzip.compress(plain[1]) + gzip.compress(plain[0])[:20]).decode()
+    assert any(k == 0 for _, k, _ in secrets.secrets("see " + cut_off)[1])

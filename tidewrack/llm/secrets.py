@@ -9,8 +9,8 @@ one seen before at the same place is not taken up again, so the worklist ends ev
 Each layer carries, for every character, the span of the original text it came from, and what is found in a layer is
 reported as the span of the original.
 
-Defined results: a null text counts as empty and has no secrets; a run that doesn't decode is left as it is; a
-compressed block that would decompress to more than ``LARGEST`` bytes, a bomb, is not opened, and such blocks are
+Defined results: a null text counts as empty and has no secrets; a run that doesn't decode is left as it is; of
+compressed streams that follow each other all whole ones are opened, up to the first that isn't; a compressed block that would decompress to more than ``LARGEST`` bytes, a bomb, is not opened, and such blocks are
 counted in ``unopened``; equal spans found on several ways count once; repeated rows get equal answers; an empty table
 gives no rows; columns with the names of outputs are replaced.
 """
@@ -65,34 +65,52 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _opened(raw: bytes) -> bytes:
-    """A compressed block's content; ValueError if it isn't whole."""
+def _tool(raw: bytes):
+    """What decompresses one stream, member or frame."""
+    if raw.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    if raw.startswith(b"\xfd7zXZ"):
+        return lzma.LZMADecompressor()
+    if raw.startswith(b"\x28\xb5\x2f\xfd"):
+        import zstandard
+
+        return zstandard.ZstdDecompressor()
+    return zlib.decompressobj(47)  # zlib's or gzip's header
+
+
+def _one(raw: bytes, most: int) -> tuple[bytes, bytes]:
+    """The content of the first stream, ``most`` bytes or more if it is too large, and what follows it; ValueError if it isn't whole."""
+    tool = _tool(raw)
     try:
-        if raw.startswith(b"BZh"):
-            tool = bz2.BZ2Decompressor()
-        elif raw.startswith(b"\xfd7zXZ"):
-            tool = lzma.LZMADecompressor()
-        elif raw.startswith(b"\x28\xb5\x2f\xfd"):
-            import zstandard
-
-            out = zstandard.ZstdDecompressor().stream_reader(raw).read(LARGEST + 1)
-            if len(out) > LARGEST:
-                raise Bomb
-            return out
-        else:
-            tool = zlib.decompressobj(47)  # zlib's or gzip's header
-        out = tool.decompress(raw, LARGEST + 1)
-        if len(out) > LARGEST:
-            raise Bomb
-        if not tool.eof:
-            raise ValueError("cut off")
-        return out
+        if hasattr(tool, "stream_reader"):  # reads on over all frames by itself
+            return tool.stream_reader(raw, read_across_frames=True).read(most), b""
+        out = tool.decompress(raw, most)
     except (zlib.error, OSError, EOFError, lzma.LZMAError) as e:
         raise ValueError(str(e)) from e
     except Exception as e:
         if type(e).__name__ == "ZstdError":
             raise ValueError(str(e)) from e
         raise
+    if len(out) < most and not tool.eof:
+        raise ValueError("cut off")
+    return out, tool.unused_data if len(out) < most else b""
+
+
+def _opened(raw: bytes) -> bytes:
+    """A compressed block's content, all streams that follow each other in it; ValueError if the first isn't whole."""
+    parts, size = [], 0
+    while raw.startswith(_MAGIC):
+        try:
+            out, raw = _one(raw, LARGEST + 1 - size)
+        except ValueError:
+            if not parts:
+                raise
+            break
+        parts.append(out)
+        size += len(out)
+        if size > LARGEST:
+            raise Bomb
+    return b"".join(parts)
 
 
 def _readable(raw: bytes) -> str | None:
