@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,20 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder, so that later reads outlive lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Spark's setting that drops a query's shuffle files as soon as the query ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a compressed table in the shared folder, for what is large; its shuffle files go when it is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,8 @@ block with probability 0.3, and one of the eight with 0.94; nearer lines meet mo
 a line's words alter all blocks, and such pairs are missed, although the edit similarity may allow them.
 
 Candidates are compared if they share ``ALIKE`` of all draws. The edit distance is bounded from above piece by piece
-first; a pair whose bound is more than ``CLEAR`` times the limit is taken as unlike.
+first; a pair whose bound is more than ``CLEAR`` times the limit is taken as unlike. Large tables between the steps are
+written compressed into the shared folder, and a step's shuffle files go when its table is written.
 
 Not all pairs of a block's lines are compared. First each line is compared with the block's first line only; those
 that prove similar make groups. Then lines are compared that share a block and whose groups still differ, at least one
@@ -33,16 +34,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import cut
+from tidewrack.llm.common import stored
 from tidewrack.llm.components import connected_components
 
 SIMILARITY, WORDS = 0.8, 5
 BLOCKS, DRAWS = 8, 3
 #: Draws of the 24 that two lines must share to be compared, and longs that hold eight bits of each draw.
 ALIKE, SKETCH = 12, ["s0", "s1", "s2"]
-#: Characters of words that hold two lines together piece by piece, and how far over the limit the sum of the pieces'
+#: Words in a row that hold two lines together piece by piece, and how far over the limit the sum of the pieces'
 #: distances must be for a pair to be unlike without another look.
-ANCHOR, CLEAR = 5, 1.25
+ANCHOR, CLEAR = 2, 1.25
+#: Characters of a piece beyond which its distance is not taken by itself.
+LARGE = 2000
 #: The lowest bit of each of eight bytes.
 ONES = 0x0101010101010101
 
@@ -53,12 +56,13 @@ def raw_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return split.withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def normalised(lines: DataFrame, least: int = WORDS) -> DataFrame:
-    """``lines`` with words, k1 and k2 (128 bits of hash of them) in place of raw; lines of fewer words than ``least`` are left out."""
+def normalised(lines: DataFrame) -> DataFrame:
+    """``lines`` with line, n_words, k1 and k2 (128 bits of hash of the line) in place of raw; lines without words are left out."""
     words = F.array_remove(F.split(F.lower("raw"), r"[^\p{L}\p{N}]+"), "")
-    # exploded, so that the filter reads the words and doesn't make them once more
-    told = lines.select(*(c for c in lines.columns if c != "raw"), F.explode(F.array(words)).alias("words")).where(F.size("words") >= least)
-    return told.select("*", F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(1)).alias("k2"))
+    # exploded, so that what follows reads the words and doesn't make them once more
+    told = lines.select(*(c for c in lines.columns if c != "raw"), F.explode(F.array(words)).alias("words")).where(F.size("words") > 0)
+    told = told.withColumn("line", F.array_join("words", " ")).withColumn("n_words", F.size("words")).drop("words")
+    return told.select("*", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
 
 
 def _draw(block: int, draw: int) -> Column:
@@ -79,7 +83,7 @@ def _majority(votes: list[Column]) -> Column:
 
 def fingerprints(lines: DataFrame) -> DataFrame:
     """(k1, fp, s0, s1, s2) of each distinct line: its blocks, and eight bits of each draw. Equal lines are one row from here on."""
-    words = lines.select("k1", F.explode("words").alias("word")).select("k1", F.length("word").alias("chars"), F.xxhash64("word").alias("h"))
+    words = lines.select("k1", F.explode(F.split("line", " ")).alias("word")).select("k1", F.length("word").alias("chars"), F.xxhash64("word").alias("h"))
     words = words.select("k1", "chars", *(F.xxhash64("h", F.lit(k)).alias(f"h{k}") for k in range(BLOCKS)))
     drawn = words.groupBy("k1").agg(*(_draw(k, j) for k in range(BLOCKS) for j in range(DRAWS)))
     vote = lambda c: F.when(c.isNotNull(), F.xxhash64(c))
@@ -136,15 +140,20 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
     both = both.join(texts.select(F.col("key.k1").alias("b"), F.col("key").alias("q"), F.col("line").alias("y")), "b")
     longer = F.greatest(F.length("x"), F.length("y"))
     both = both.withColumn("most", F.floor((1 - similarity) * longer + 1e-9).cast("int")).where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
-    # Three upper bounds of the distance, each tried if the one before settles nothing: what lies between the words that
-    # both begin and end with, and the sums over the pieces between many and between few anchors. A sum far over the limit
-    # settles a pair as unlike; what is left open is compared as a whole.
-    few = F.greatest(F.lit(1), F.floor(F.sqrt(longer) / 8)).cast("long")
+    # What both begin and end with doesn't count. Then come upper bounds of the distance, each tried if the one before
+    # settles nothing: the longer of the two rests, and sums over the pieces between many and between few anchors. A sum
+    # far over the limit settles a pair as unlike; of what is left open the whole rests are compared.
+    many = F.greatest(F.lit(2), F.floor(F.sqrt(longer) / 32)).cast("long")
     most = F.col("most")
     sure = lambda bound, other: _let(bound, lambda v: F.when(v <= most, True).when(v > CLEAR * most, False).otherwise(other))
-    near = sure(_apart("x", "y", few), sure(_apart("x", "y", 8 * few), F.expr("levenshtein(x, y, most)") >= 0))
-    near = F.when(_middle("x", "y") <= most, True).otherwise(near)
-    return both.where(near).select(F.col("p").alias("a"), F.col("q").alias("b"))
+
+    def near(x: Column, y: Column) -> Column:
+        whole = F.call_function("levenshtein", x, y, most)
+        pieces = sure(_apart(x, y, many, most), sure(_apart(x, y, 8 * many, most), whole >= 0))
+        return F.when(F.greatest(F.length(x), F.length(y)) <= most, True).otherwise(pieces)
+
+    alike = _let(_rests("x", "y"), lambda r: near(r["x"], r["y"]))
+    return both.where(alike).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
 def _let(value: Column, body) -> Column:
@@ -152,58 +161,83 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _middle(x: str, y: str) -> Column:
-    """An upper bound of the edit distance: the longer of what two lines have between the words both begin and end with."""
+def _rests(x: str | Column, y: str | Column) -> Column:
+    """A struct of two lines without the words that both begin with or end with, but for one at each end, so that the
+    blanks between words stay; the edit distance of the rests is that of the lines."""
 
     def equal(xs: Column, ys: Column) -> Column:  # words that both begin with
         first = F.array_position(F.zip_with(xs, ys, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
         return F.when(first == 0, F.least(F.size(xs), F.size(ys))).otherwise(first - 1).cast("int")
 
-    def chars(ws: Column, skip: Column, end: Column) -> Column:
-        return F.aggregate(F.slice(ws, skip + 1, F.greatest(F.size(ws) - skip - end, F.lit(0))), F.lit(0), lambda s, w: s + F.length(w) + 1)
+    after = lambda ws, n: F.slice(ws, n + 1, F.greatest(F.size(ws) - n, F.lit(0)))
+
+    def rest(ws: Column, n: Column, m: Column) -> Column:
+        skip, end = F.greatest(n - 1, F.lit(0)), F.greatest(m - 1, F.lit(0))
+        return F.array_join(F.slice(ws, skip + 1, F.greatest(F.size(ws) - skip - end, F.lit(0))), " ")
 
     def between(xs: Column, ys: Column) -> Column:
-        rest = lambda ws, n: F.reverse(F.slice(ws, n + 1, F.size(ws)))
-        return _let(equal(xs, ys), lambda n: _let(equal(rest(xs, n), rest(ys, n)), lambda m: F.greatest(chars(xs, n, m), chars(ys, n, m))))
+        back = lambda ws, n: F.reverse(after(ws, n))
+        return _let(equal(xs, ys), lambda n: _let(equal(back(xs, n), back(ys, n)), lambda m: F.struct(rest(xs, n, m).alias("x"), rest(ys, n, m).alias("y"))))
 
     return _let(F.split(x, " "), lambda xs: _let(F.split(y, " "), lambda ys: between(xs, ys)))
 
 
-def _apart(x: str, y: str, every: Column) -> Column:
-    """An upper bound of the edit distance: the sum over the pieces between anchors, words that both have, of ``ANCHOR``
-    characters or more, one of ``every`` by hash; null if there are none or the two have them in another order."""
-    chosen = lambda w, n: (F.length(w) >= ANCHOR) & (F.pmod(F.xxhash64(w), n) == 0)
-
-    def compared(xs: Column, ys: Column, n: Column, ax: Column, ay: Column, mid: Column) -> Column:
-        held = lambda ws: F.filter(ws, lambda w: F.array_contains(mid, w))
-        cut_at = lambda w: F.when(chosen(w, n) & F.array_contains(mid, w), "\n").otherwise(w)
-        pieces = lambda ws: F.split(F.array_join(F.transform(ws, cut_at), " "), "\n")
-        each = F.zip_with(pieces(xs), pieces(ys), lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q)))
-        return F.when((F.size(mid) > 0) & (held(ax) == held(ay)), F.aggregate(each, F.lit(0), lambda s, v: s + v))
+def _apart(x: Column, y: Column, every: Column, most: Column) -> Column:
+    """An upper bound of the edit distance: the sum over the pieces between anchors, the ``ANCHOR`` words in a row that
+    each line has once and both have, of which the hash takes one of ``every``. Null if there are none or the two have them
+    in another order; also if it is over ``most`` and unlike pieces of over ``LARGE`` characters are in it, of which only
+    the lengths of the rests are taken."""
+
+    def anchors(ws: Column, n: Column) -> Column:  # for each word the hash of it and those after it, null unless chosen
+        hashed = F.transform(ws, lambda w: F.xxhash64(w))
+        after = lambda k: F.concat(F.slice(hashed, k + 1, F.greatest(F.size(ws) - k, F.lit(0))), F.array_repeat(F.lit(0).cast("long"), k))
+        row = hashed
+        for k in range(1, ANCHOR):
+            row = F.zip_with(row, after(k), lambda p, q: F.xxhash64(p, q))
+        return F.transform(row, lambda h: F.when(F.pmod(h, n) == 0, h))
+
+    def once(hs: Column) -> Column:
+        again = lambda s: F.array_compact(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda p, q: F.when(p == q, p)))
+        return _let(F.array_compact(hs), lambda own: F.array_except(own, _let(F.array_sort(own), again)))
+
+    def cost(p: Column, q: Column) -> Column:
+        large = _let(_rests(p, q), lambda r: F.greatest(F.length(r["x"]), F.length(r["y"])))
+        return F.when(p == q, 0).when(F.greatest(F.length(p), F.length(q)) > LARGE, large).otherwise(F.levenshtein(p, q))
+
+    def summed(ps: Column, qs: Column) -> Column:
+        rough = F.exists(F.zip_with(ps, qs, lambda p, q: (p != q) & (F.greatest(F.length(p), F.length(q)) > LARGE)), lambda v: v)
+        total = F.aggregate(F.zip_with(ps, qs, cost), F.lit(0), lambda s, v: s + v)
+        return _let(total, lambda v: F.when((v <= most) | ~rough, v))
+
+    def compared(xs: Column, ys: Column, ax: Column, ay: Column, mid: Column) -> Column:
+        held = lambda hs: F.filter(hs, lambda h: h.isNotNull() & F.array_contains(mid, h))
+        cut_at = lambda w, h: F.when(h.isNotNull() & F.array_contains(mid, h), F.concat(F.lit("\n"), w)).otherwise(w)
+        pieces = lambda ws, hs: F.split(F.array_join(F.zip_with(ws, hs, cut_at), " "), "\n")
+        each = _let(pieces(xs, ax), lambda ps: _let(pieces(ys, ay), lambda qs: summed(ps, qs)))
+        return F.when((F.size(mid) > 0) & (held(ax) == held(ay)), each)
 
     def anchored(xs: Column, ys: Column, n: Column) -> Column:
-        of = lambda ws: F.filter(ws, lambda w: chosen(w, n))
-        both = lambda ax, ay: _let(F.array_intersect(ax, ay), lambda mid: compared(xs, ys, n, ax, ay, mid))
-        return _let(of(xs), lambda ax: _let(of(ys), lambda ay: both(ax, ay)))
+        both = lambda ax, ay: _let(F.array_intersect(once(ax), once(ay)), lambda mid: compared(xs, ys, ax, ay, mid))
+        return _let(anchors(xs, n), lambda ax: _let(anchors(ys, n), lambda ay: both(ax, ay)))
 
     return _let(every, lambda n: _let(F.split(x, " "), lambda xs: _let(F.split(y, " "), lambda ys: anchored(xs, ys, n))))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each line that has an equal or similar one: doc_id, line_no, keep_doc_id, keep_line_no, group_size, kept."""
-    seen = cut(normalised(raw_lines(docs), 1).select("doc_id", "line_no", "k1", "k2")).withColumn("key", F.struct("k1", "k2"))
-    lines = normalised(raw_lines(docs))
-    met = cut(meetings(cut(fingerprints(lines))))
-    starred = cut(to_first(met))
+    every = stored(normalised(raw_lines(docs)))
+    seen = every.select("doc_id", "line_no", F.struct("k1", "k2").alias("key"))
+    lines = every.where(F.col("n_words") >= WORDS)
+    met = stored(meetings(stored(fingerprints(lines))))
     asked = met.select("k1").distinct()
-    spelt = lines.select("k1", "k2", F.array_join("words", " ").alias("line"))  # shorter in a shuffle than its words
-    texts = cut(spelt.join(asked, "k1", "left_semi").dropDuplicates(["k1", "k2"]).select(F.struct("k1", "k2").alias("key"), "line"))
-    links = cut(linked(starred, texts, similarity))
-    more = linked(cut(across(met, connected_components(links, "a", "b"))), texts, similarity)
+    texts = lines.select("k1", "k2", "line").join(asked, "k1", "left_semi").distinct()
+    texts = stored(texts.select(F.struct("k1", "k2").alias("key"), "line"))
+    links = stored(linked(stored(to_first(met)), texts, similarity))
+    more = linked(stored(across(met, connected_components(links, "a", "b"))), texts, similarity)
     groups = connected_components(links.union(more), "a", "b")
     distinct = seen.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     rooted = distinct.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("root"), "first", "n")
-    rooted = cut(rooted)
+    rooted = stored(rooted)
     sized = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("group_size")).where(F.col("group_size") > 1)
     named = rooted.join(sized, "root").select("key", "keep", "group_size")
     found = seen.join(named, "key")
