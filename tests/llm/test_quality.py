@@ -59,3 +59,21 @@ def test_documents(spark):
     assert [got[i]["kept"] for i in range(7)] == [False, False, False, True, False, False, False]
     assert not got[6]["base_failed"]
     assert quality.verdicts(docs.limit(0)).collect() == []
+
+
+def test_longest_repeats_of_few_kinds_of_words():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(150):
+        kinds, n = rng.choice([1, 2, 4]), rng.randrange(1, 60)
+        words = [rng.randrange(kinds) for _ in range(n)]
+        want = [0] * n
+        for i in range(n):
+            for j in range(i):
+                k = 0
+                while i + k < n and words[i + k] == words[j + k]:
+                    k += 1
+                want[i], want[j] = max(want[i], k), max(want[j], k)
+        for least in (2, 3, 10):
+            assert quality.longest_repeats(np.array(words, np.int64), least).tolist() == [x if x >= least else 0 for x in want]

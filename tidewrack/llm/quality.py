@@ -57,32 +57,46 @@ def _refined(rank: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, n
     return rank, at[~alone]
 
 
+def _common(words: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
+    """How many words each two neighbours of ``order`` begin with in common; may be less where it is under ``least``.
+
+    Positions are taken as they stand in the text: what one has in common with its neighbour, less a word, the next has
+    with its own, so all words are compared about twice whatever the repeats, and no more than this text is held.
+    """
+    before = np.full(len(words), -1, np.int64)  # each position's neighbour before
+    before[order[1:]] = order[:-1]
+    out, spelt, earlier, n = np.zeros(len(words), np.int64), memoryview(words), memoryview(before), len(words)
+    held, last = 0, -2
+    for p in np.sort(order[1:]).tolist():
+        held = held - 1 if p == last + 1 and held > least else 0
+        q = earlier[p]
+        top = n - max(p, q)
+        while held < top and spelt[p + held] == spelt[q + held]:
+            held += 1
+        out[p] = held
+        last = p
+    return out[order[1:]]
+
+
 def longest_repeats(words: np.ndarray, least: int) -> np.ndarray:
     """For each position, the most words from it on that also begin elsewhere; 0 if fewer than ``least``."""
     best = np.zeros(len(words), np.int64)
     kinds, at, n = np.unique(words, return_inverse=True, return_counts=True)
     rank = (np.cumsum(n) - n)[at]
-    levels, shared, step = [rank], np.flatnonzero(n[at] > 1), 1
+    shared, step = np.flatnonzero(n[at] > 1), 1
     kept = None
     while len(shared):
         rank, shared = _refined(rank, shared, step)
         step *= 2
-        levels.append(rank)
         if step <= least:
             kept = shared  # all whose first ``step`` words occur elsewhere
     if kept is None or not len(kept):
         return best
     order = kept[np.argsort(rank[kept])]  # the suffix array, without those that can't have a repeat of that length
-    a, b = order[:-1], order[1:]
-    common = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        i, j = a + common, b + common
-        inside = np.maximum(i, j) < len(words)
-        same = inside & (levels[k][np.where(inside, i, 0)] == levels[k][np.where(inside, j, 0)])
-        common += np.where(same, 1 << k, 0)
+    common = _common(words, order, least)
     common[common < least] = 0
-    best[a] = common
-    best[b] = np.maximum(best[b], common)
+    best[order[:-1]] = common
+    best[order[1:]] = np.maximum(best[order[1:]], common)
     return best
 
 
