@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: The white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -45,3 +47,18 @@ def stored(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def running_sums(df: DataFrame, key: str, order: Sequence[Column], values: Sequence[str]) -> DataFrame:
+    """``df`` with each of ``values`` replaced by its sum over the key's rows up to this one.
+
+    Rows are dealt to ranges and summed there; ranges go on from the totals before them. So a key of any size is many tasks.
+    """
+    dealt = df.withColumn("tie__", F.monotonically_increasing_id())
+    dealt = stored(dealt.repartitionByRange(key, *order, "tie__").withColumn("run__", F.spark_partition_id()))
+    totals = dealt.groupBy(key, "run__").agg(*(F.sum(v).alias(v) for v in values))
+    before = Window.partitionBy(key).orderBy("run__").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = totals.select(key, "run__", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}__") for v in values))
+    inside = Window.partitionBy(key, "run__").orderBy(*order, "tie__").rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({v: F.sum(v).over(inside) for v in values}).join(starts, [key, "run__"])
+    return summed.select(*(((F.col(c) + F.col(f"{c}__")).alias(c) if c in values else F.col(c)) for c in df.columns))
