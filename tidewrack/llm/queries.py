@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import bpe, conversations, exact, language, lines, manifest, mixing, quality, secrets, simhash, substring, tokencount
+from tidewrack.llm import bpe, conversations, exact, language, lines, manifest, mixing, ngrams, quality, secrets, simhash, substring, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scores(_documents(spark, sf_dir))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(_documents(spark, sf_dir))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_groups": op9_simhash_groups,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_ngram_scores": op12_ngram_scores,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
