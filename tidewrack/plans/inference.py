@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewrack.operators import posthoc, statistics
+from tidewrack.operators import arima, posthoc, statistics
 from tidewrack.plans.base import OBS, SERIES, observations, query, rounded, series
 
 
@@ -72,3 +72,41 @@ def seasonal_parts(spark, d):
 def autoregressive_forecasts(spark, d):
     """T7, T8, by lags of a day and a week."""
     return rounded(posthoc.autoregressive_forecast(series(spark, d), ["kind"], "day", "value"), 4)
+
+
+_MONTHS = f"""{OBS}, monthly AS (SELECT site, (year - 1970) * 12 + month AS month, avg(density) AS y, avg(discount) AS x0, avg(tax) AS x1 FROM obs GROUP BY 1, 2)"""
+
+
+def _monthly(spark, d):
+    """(site, month, y, x0, x1): monthly means of density, discount and tax."""
+    month = (F.col("year") - 1970) * 12 + F.col("month")
+    return observations(spark, d).groupBy("site", month.alias("month")).agg(F.avg("density").alias("y"), F.avg("discount").alias("x0"), F.avg("tax").alias("x1"))
+
+
+@query()
+def sarimax_by_search(spark, d):
+    """Orders by corrected AIC, 80/20 backtest, exogenous columns by models of their own."""
+    return rounded(arima.sarimax(_monthly(spark, d), ["site"], "month", "y", ["x0"], m=12, steps=12))
+
+
+@query()
+def sarimax_of_one_order(spark, d):
+    """(1,1,1)(1,1,1,6) over two-month means of log density, 18 steps, back from the logarithm."""
+    two = F.floor(F.col("month") / 2).alias("two")
+    logs = _monthly(spark, d).groupBy("site", two).agg(F.avg(F.log10(F.col("y") + 1)).alias("y"), F.avg("x0").alias("x0"))
+    order = arima.Order(1, 1, 1, 1, 1, 1, 6, constant=False)
+    got = arima.sarimax(logs, ["site"], "two", "y", ["x0"], m=6, steps=18, order=order)
+    return rounded(got.select("site", "step", *((F.pow(F.lit(10.0), c) - 1).alias(c) for c in ("forecast", "lower", "upper")), "mae", "mape"))
+
+
+@query(f"""WITH {_MONTHS}, e AS (SELECT site, arg_max(x0, month) AS l0, arg_max(x1, month) AS l1, avg(x0) AS m0, avg(x1) AS m1 FROM monthly GROUP BY 1)
+    SELECT site, CAST(step AS INTEGER) AS step, round(l0, 6) AS last0, round(l1, 6) AS last1, round(m0, 6) AS mean0, round(m1, 6) AS mean1 FROM e CROSS JOIN generate_series(1, 4) AS g(step)""")
+def exogenous_projections(spark, d):
+    """The modes ``last`` and ``mean``."""
+    rows = arima.as_rows(_monthly(spark, d), ["site"], "month", "y", ["x0", "x1"]).withColumnRenamed("site", "job")
+    told = None
+    for mode in ("last", "mean"):
+        got = arima.exogenous_ahead(rows, 4, mode, 12).select(F.col("job").alias("site"), F.posexplode(F.arrays_zip(F.col("x_ahead")[0].alias("a"), F.col("x_ahead")[1].alias("b"))).alias("at", "v"))
+        got = got.select("site", (F.col("at") + 1).alias("step"), F.round("v.a", 6).alias(f"{mode}0"), F.round("v.b", 6).alias(f"{mode}1"))
+        told = got if told is None else told.join(got, ["site", "step"])
+    return told
