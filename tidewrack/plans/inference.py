@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewrack.operators import arima, posthoc, statistics
+from tidewrack.operators import arima, posthoc, smoothing, statistics
 from tidewrack.plans.base import OBS, SERIES, observations, query, rounded, series
 
 
@@ -110,3 +110,15 @@ def exogenous_projections(spark, d):
         got = got.select("site", (F.col("at") + 1).alias("step"), F.round("v.a", 6).alias(f"{mode}0"), F.round("v.b", 6).alias(f"{mode}1"))
         told = got if told is None else told.join(got, ["site", "step"])
     return told
+
+
+@query()
+def smoothing_splines(spark, d):
+    """Splines that leave as much as differences of neighbours show as noise."""
+    return rounded(smoothing.splines(series(spark, d).select("kind", "day", "value"), ["kind"], "day", "value", factor=1.0))
+
+
+@query()
+def robust_seasonal_parts(spark, d):
+    """Season, trend and rest of monthly means by robust local regression."""
+    return rounded(smoothing.deseasonalised(_monthly(spark, d).select("site", "month", "y"), ["site"], "month", "y", 12))
