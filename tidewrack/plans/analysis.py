@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidewrack.functions import calendar
-from tidewrack.operators import raster, statistics, tables, timeseries, windows
+from tidewrack.operators import linear, raster, statistics, tables, timeseries, windows
 from tidewrack.plans.base import OBS, PIXELS, SERIES, observations, pixels, query, rounded, series, table
 
 
@@ -57,19 +59,99 @@ def multiple_regression(spark, d):
 
 @query()
 def robust_regression(spark, d):
-    """Q3, Q4: coefficient table with HC3 errors."""
+    """Q3: coefficient table with HC3 errors."""
     fit = statistics.least_squares(observations(spark, d), {"(intercept)": F.lit(1), "discount": F.col("discount"), "size": F.col("size")}, "density", "HC3")
     return spark.createDataFrame(fit.table(), "term string, coefficient double, se double, t double, p double")
 
 
-@query()
+@query("""WITH v AS (
+        SELECT row_number() OVER (ORDER BY event_id) AS t, hour(ts) - avg(hour(ts)) OVER () AS a, user_id - avg(user_id) OVER () AS b, value - avg(value) OVER () AS y FROM events
+    ), s AS (
+        SELECT sum(a * a) AS saa, sum(b * b) AS sbb, sum(a * b) AS sab, sum(a * y) AS say, sum(b * y) AS sby, count(*) AS n FROM v
+    ), k AS (
+        SELECT *, saa * sbb - sab * sab AS det, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS ba, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS bb FROM s
+    ), u AS (
+        SELECT t, a * (y - ba * a - bb * b) AS ua, b * (y - ba * a - bb * b) AS ub FROM v CROSS JOIN k
+    ), rules AS (
+        SELECT 'floored' AS rule, CAST(greatest(1, floor(4 * (n / 100.0) ** (2.0 / 9))) AS BIGINT) AS lags FROM s UNION ALL SELECT 'rounded', CAST(greatest(1, round(4 * (n / 100.0) ** (2.0 / 9))) AS BIGINT) FROM s
+    ), crossed AS (
+        SELECT rule, lags, lag, sum(x.ua * z.ua) AS aa, sum(x.ub * z.ub) AS bb2, sum(x.ua * z.ub + x.ub * z.ua) / 2 AS ab
+        FROM (SELECT rule, lags, unnest(generate_series(0, lags)) AS lag FROM rules) l JOIN u x ON true JOIN u z ON z.t = x.t - l.lag GROUP BY 1, 2, 3
+    ), middle AS (
+        SELECT rule, lags, sum(w * aa) AS maa, sum(w * bb2) AS mbb, sum(w * ab) AS mab FROM (SELECT *, CASE WHEN lag = 0 THEN 1 ELSE 2 * (1 - lag / (lags + 1.0)) END AS w FROM crossed) GROUP BY 1, 2
+    )
+    SELECT rule, lags, 'hour' AS term, round(ba, 6) AS coefficient, round(sqrt(sbb * sbb * maa - 2 * sbb * sab * mab + sab * sab * mbb) / det, 6) AS se FROM middle CROSS JOIN k
+    UNION ALL SELECT rule, lags, 'user', round(bb, 6), round(sqrt(sab * sab * maa - 2 * sab * saa * mab + saa * saa * mbb) / det, 6) FROM middle CROSS JOIN k""")
+def autocorrelated_errors(spark, d):
+    """Q3, Q4: errors for correlation along the events' order, lags by both rules."""
+    events = table(spark, d, "events")
+    terms, rows = {"(intercept)": F.lit(1), "hour": F.hour("ts"), "user": F.col("user_id")}, []
+    n = events.count()
+    for rule, by in (("floored", math.floor), ("rounded", round)):
+        fit = linear.autocorrelated(events, terms, "value", "event_id", rule=by)
+        rows += [(rule, linear.lag_rule(n, by), t, round(b, 6), round(se, 6)) for t, b, se, *_ in fit.table()[1:]]
+    return spark.createDataFrame(rows, "rule string, lags long, term string, coefficient double, se double")
+
+
+def _logs(spark, d):
+    return observations(spark, d).where("density > 0 and biovolume > 0").withColumns({"ld": F.ln("density"), "lb": F.ln("biovolume")})
+
+
+@query(f"""WITH {OBS}, v AS (SELECT site, ln(density) AS y, ln(biovolume) AS x FROM obs WHERE density > 0 AND biovolume > 0
+    ), g AS (
+        SELECT site, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM v GROUP BY 1
+    ), w AS (
+        SELECT count(*) AS k, sum(n) AS n, sum(sxx) AS wxx, sum(sxy) AS wxy, sum(syy) AS wyy, sum(syy - sxy * sxy / sxx) AS full_rss, sum(sxy / sxx) ** 2 / sum(1 / sxx) AS ss3_lb FROM g
+    ), o AS (
+        SELECT regr_syy(y, x) AS tss, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS lb_rss FROM v
+    ), i AS (
+        SELECT my - sxy / sxx * mx AS a, 1 / (1.0 / n + mx * mx / sxx) AS weight FROM g
+    ), h AS (
+        SELECT sum(weight * a * a) - sum(weight * a) ** 2 / sum(weight) AS ss3_site FROM i
+    ), s AS (
+        SELECT *, wyy - wxy * wxy / wxx AS add_rss FROM w CROSS JOIN o CROSS JOIN h
+    ), r AS (
+        SELECT 1 AS kind, 'site' AS term, k - 1 AS df, tss - wyy AS ss, full_rss, n - 2 * k AS left_df FROM s UNION ALL SELECT 1, 'lb', 1, wyy - add_rss, full_rss, n - 2 * k FROM s UNION ALL SELECT 1, 'site:lb', k - 1, add_rss - full_rss, full_rss, n - 2 * k FROM s
+        UNION ALL SELECT 2, 'site', k - 1, lb_rss - add_rss, full_rss, n - 2 * k FROM s UNION ALL SELECT 2, 'lb', 1, wyy - add_rss, full_rss, n - 2 * k FROM s UNION ALL SELECT 2, 'site:lb', k - 1, add_rss - full_rss, full_rss, n - 2 * k FROM s
+        UNION ALL SELECT 3, 'site', k - 1, ss3_site, full_rss, n - 2 * k FROM s UNION ALL SELECT 3, 'lb', 1, ss3_lb, full_rss, n - 2 * k FROM s UNION ALL SELECT 3, 'site:lb', k - 1, add_rss - full_rss, full_rss, n - 2 * k FROM s
+    )
+    SELECT CAST(kind AS INTEGER) AS kind, term, CAST(df AS BIGINT) AS df, round(ss, 5) AS ss, round(ss / df / (full_rss / left_df), 5) AS f, round(ss / (ss + full_rss), 6) AS eta2 FROM r
+    UNION ALL SELECT kind, 'residual', CAST(max(left_df) AS BIGINT), round(max(full_rss), 5), NULL, NULL FROM r GROUP BY kind""")
 def analysis_of_covariance(spark, d):
-    """Q5-Q8, V4-V6: site as factor, size as covariate, and their interaction."""
-    obs = observations(spark, d).where("density > 0 and biovolume > 0").withColumns({"ld": F.ln("density"), "lb": F.ln("biovolume")})
-    sites = ["A.F", "N.F", "N.O", "R.F"]
-    factor = {s: F.when(F.col("site") == s, 1.0).otherwise(0.0) for s in sites[1:]}
-    rows = statistics.anova(obs, {"site": factor, "lb": {"lb": F.col("lb")}, "site_lb": {s: c * F.col("lb") for s, c in factor.items()}}, "ld")
-    return spark.createDataFrame(rows, "term string, df int, ss double, f double, p double, partial_eta2 double")
+    """Q5, Q7, Q8: types I to III of log density on site, log biovolume and their interaction."""
+    data = linear.cells(_logs(spark, d), ["site"], ["lb"], "ld")
+    mains, crossed = linear.terms_of(data)
+    rows = [(kind, e.term, e.df, round(e.ss, 5), *(None if math.isnan(v) else round(v, n) for v, n in ((e.f, 5), (e.eta2, 6)))) for kind in (1, 2, 3) for e in linear.anova(data, [*mains, *crossed], kind)]
+    return spark.createDataFrame(rows, "kind int, term string, df long, ss double, f double, eta2 double")
+
+
+@query()
+def two_way_anova(spark, d):
+    """Q6: two factors and their interaction, type II."""
+    data = linear.cells(observations(spark, d), ["site", "phylum"], [], "density")
+    rows = [(e.term, e.df, round(e.ss, 4), None if math.isnan(e.f) else round(e.f, 5), None if math.isnan(e.p) else round(e.p, 5)) for e in linear.anova(data, [("site",), ("phylum",), ("site", "phylum")], 2)]
+    return spark.createDataFrame(rows, "term string, df int, ss double, f double, p double")
+
+
+@query()
+def chosen_terms(spark, d):
+    """Q11, V4-V6, V8: interactions kept if any is significant, then terms left by p and by both criteria."""
+    obs = linear.scaled(_logs(spark, d), ["lb", "tax"], "zscore")
+    data = linear.cells(obs, ["site", "phylum"], ["lb", "tax"], "ld")
+    mains, crossed = linear.terms_of(data, "fxf")
+    model, found = linear.with_interactions_if_any(data, mains, crossed)
+    rows = [("kept", t) for t in model] + [("by p", t) for t in linear.backward(data, model, found)]
+    for by in ("aic", "bic"):
+        rows += [(f"by {by}", t) for t in linear.backward_by_criterion(data, mains, crossed, by, 10.0)]
+    return spark.createDataFrame([(rule, ":".join(t)) for rule, t in rows], "rule string, term string")
+
+
+@query()
+def forward_selection(spark, d):
+    """Q12: of each step, the covariate of least p."""
+    obs = observations(spark, d).withColumn("y", F.col("biovolume") + 500 * F.col("density"))
+    data = linear.cells(obs.withColumn("size", F.col("size").cast("double")), [], ["discount", "tax", "size", "density"], "y")
+    return spark.createDataFrame([(i + 1, c) for i, (c, _) in enumerate(linear.forward(data, ["discount", "tax", "size", "density"]))], "step int, variable string")
 
 
 @query()
@@ -82,7 +164,7 @@ def variance_inflation(spark, d):
 
 @query()
 def stepwise_selection(spark, d):
-    """Q10-Q12."""
+    """Q10."""
     obs = observations(spark, d).withColumn("y", F.col("biovolume") + 500 * F.col("density"))
     names = ["discount", "tax", "size", "density"]
     return spark.createDataFrame([(how, c) for how in ("p", "aic", "bic") for c in statistics.selected(obs, names, "y", how)], "rule string, variable string")

@@ -24,17 +24,32 @@ def tukey_test(spark, d):
 
 def _fit(spark, d):
     obs = observations(spark, d)
-    sites = ["N.F", "N.O", "R.F"]
+    first, *sites = [r[0] for r in obs.select("site").distinct().orderBy("site").limit(1000).collect()]  # the model's own terms
     terms = {"(intercept)": F.lit(1), "tax": F.col("tax")} | {s: F.when(F.col("site") == s, 1.0).otherwise(0.0) for s in sites}
-    levels = {"A.F": {"(intercept)": 1.0, "tax": 0.04}} | {s: {"(intercept)": 1.0, "tax": 0.04, s: 1.0} for s in sites}
+    levels = {first: {"(intercept)": 1.0, "tax": 0.04}} | {s: {"(intercept)": 1.0, "tax": 0.04, s: 1.0} for s in sites}
     return obs, terms, levels, statistics.least_squares(obs, terms, "density", "HC3")
 
 
-@query()
+@query(f"""WITH {OBS}, g AS (SELECT site, count(*) AS n, avg(tax) AS mx, avg(density) AS my, regr_sxx(density, tax) AS sxx, regr_sxy(density, tax) AS sxy FROM obs GROUP BY 1),
+    w AS (SELECT sum(sxx) AS wxx, sum(sxy) / sum(sxx) AS b FROM g),
+    e AS (SELECT obs.site, tax - mx AS dx, n, (density - my - b * (tax - mx)) / (1 - 1.0 / n - (tax - mx) ** 2 / wxx) AS e FROM obs JOIN g ON obs.site = g.site CROSS JOIN w),
+    p AS (SELECT a.site AS level1, c.site AS level2, a.my - c.my - b * (a.mx - c.mx) AS diff, (a.mx - c.mx) / wxx AS tilt FROM g a JOIN g c ON a.site < c.site CROSS JOIN w),
+    v AS (SELECT level1, level2, max(diff) AS diff, sqrt(sum((e * (CASE WHEN site = level1 THEN 1.0 / n WHEN site = level2 THEN -1.0 / n ELSE 0 END - tilt * dx)) ** 2)) AS se FROM p CROSS JOIN e GROUP BY 1, 2)
+    SELECT level1, level2, round(diff, 5) AS diff, round(se, 5) AS se, round(diff / se, 4) AS t FROM v""")
 def marginal_contrasts(spark, d):
-    """Q13."""
+    """Q13: differences of sites' means at one tax, with HC3 errors."""
+    *_, levels, fit = _fit(spark, d)
+    rows = [(a, b, round(diff, 5), round(se, 5), round(t, 4)) for a, b, diff, se, t, *_ in posthoc.contrasts(fit, levels)]
+    return spark.createDataFrame(rows, "level1 string, level2 string, diff double, se double, t double")
+
+
+@query()
+def marginal_means(spark, d):
+    """Q13: sites' means at one tax with their limits, and p of all contrasts by Holm's rule."""
     *_, levels, fit = _fit(spark, d)
-    return spark.createDataFrame(posthoc.contrasts(fit, levels), "level1 string, level2 string, diff double, se double, t double, p double, p_holm double")
+    rows = [(s, None, m, se, low, high, None) for s, m, se, low, high in posthoc.marginal_means(fit, levels)]
+    rows += [(a, b, diff, se, None, None, p) for a, b, diff, se, _, _, p in posthoc.contrasts(fit, levels)]
+    return rounded(spark.createDataFrame(rows, "level1 string, level2 string, estimate double, se double, low double, high double, p_holm double"))
 
 
 @query()
@@ -45,7 +60,7 @@ def residual_diagnostics(spark, d):
     told = obs.select("site", "ord", "line", (F.col("density") - fitted).alias("e"))
     shape = posthoc.shapiro(told.withColumn("all", F.lit("all")), ["all"], "e", ["ord", "line"]).first()
     order = statistics.residual_tests(told.withColumn("at", F.col("ord") * 10 + F.col("line")), ["site"], "e", "at").agg(F.avg("durbin_watson"), F.sum("jarque_bera")).first()
-    f, _, p = posthoc.wald(fit, ["N.F", "N.O", "R.F"])
+    f, _, p = posthoc.wald(fit, list(terms)[2:])
     lm, lm_p = posthoc.breusch_pagan(obs, terms, "density")
     rows = [("wald", f, p), ("shapiro_wilk", shape["w"], shape["p"]), ("breusch_pagan", lm, lm_p), ("durbin_watson", order[0], None), ("jarque_bera", order[1], None)]
     return spark.createDataFrame([(n, float(s), None if q is None else float(q)) for n, s, q in rows], "test string, statistic double, p double")
