@@ -3,6 +3,7 @@ out by key, and what must walk through one in order does so in a grouped map wit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -58,18 +59,57 @@ def _grouped(df: DataFrame, keys: Sequence[str], order: str, value: str, out: st
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def correct_sequence(values: np.ndarray, threshold: float | None = 1.5) -> np.ndarray:
-    """Each value that is missing, or above ``threshold`` times the corrected one before it, is replaced by the mean of that
-    one and the next acceptable value, or by that one if none follows. The first value stays."""
-    out = values.copy()
-    for i in range(1, len(out)):
-        before = out[i - 1]
+class NextBelow:
+    """Finds the first value at or below a limit from some place on, in a tree of minima."""
+
+    def __init__(self, values: np.ndarray):
+        """Missing values are never found."""
+        self.size = 1 << max(0, len(values) - 1).bit_length()
+        self.low = np.full(2 * self.size, np.inf)
+        self.low[self.size : self.size + len(values)] = np.where(np.isnan(values), np.inf, values)
+        for level in range(self.size.bit_length() - 2, -1, -1):
+            own = slice(1 << level, 2 << level)
+            below = self.low[2 << level : 4 << level]
+            self.low[own] = np.minimum(below[::2], below[1::2])
+
+    def find(self, start: int, limit: float) -> int | None:
+        if start >= self.size or math.isnan(limit):
+            return None
+        found = lambda k: self.low[k] <= limit and self.low[k] < np.inf
+        k = start + self.size
+        while not found(k):  # up, as long as nothing to the right of a node is left
+            while k & 1:
+                k >>= 1
+            if not k:
+                return None
+            k += 1
+        while k < self.size:
+            k = 2 * k if found(2 * k) else 2 * k + 1
+        return k - self.size
+
+
+def corrections(values: np.ndarray, threshold: float | None = 1.5, last: float | None = None) -> tuple[np.ndarray, int]:
+    """Each value that is missing, or above ``threshold`` times the corrected one before it, replaced by the mean of that one
+    and the next acceptable value, or by that one if none follows; and how many are certain whatever follows the values.
+    Without ``last``, the corrected one before them, the first value stays."""
+    out, certain, tree = values.copy(), len(values), None
+    for i in range(len(out)):
+        before = last if i == 0 else out[i - 1]
+        if before is None:
+            continue
         limit = np.inf if threshold is None else threshold * before
         if np.isnan(out[i]) or out[i] > limit:
-            later = values[i + 1 :]
-            good = later[~np.isnan(later) & (later <= limit)]
-            out[i] = (before + good[0]) / 2 if len(good) else before
-    return out
+            tree = tree or NextBelow(values)
+            at = tree.find(i + 1, limit)
+            if at is None:
+                certain = min(certain, i)
+            out[i] = before if at is None else (before + values[at]) / 2
+    return out, certain
+
+
+def correct_sequence(values: np.ndarray, threshold: float | None = 1.5) -> np.ndarray:
+    """``corrections`` of a whole series."""
+    return corrections(values, threshold)[0]
 
 
 def corrected(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, threshold: float | None = 1.5) -> DataFrame:

@@ -125,7 +125,7 @@ def streamed_last_rows(spark, d):
 
 @query()
 def streamed_corrections(spark, d):
-    """Z3: state carried along each type's values."""
+    """Z3: state carried along each type's values; of each place, what is known at the end."""
     rows, state = _folders(spark, "corrections")
     stream.run_to_parquet(stream.corrected(_events(spark, d), "event_type", "ts", "value"), rows, state)
-    return spark.read.parquet(rows)
+    return stream.latest(spark.read.schema(stream.CORRECTED).parquet(rows))

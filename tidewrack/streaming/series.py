@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewrack.operators.timeseries import corrections
+
 
 def tumbling(stream: DataFrame, keys: Sequence[str], time: str, value: str, size: str, late: str, start: str = "0 seconds") -> DataFrame:
     """Count, sum and mean per key and interval; windows begin at ``start`` after the epoch's multiples of ``size``."""
@@ -43,34 +47,50 @@ def last_of_duplicates(stream: DataFrame, keys: Sequence[str], time: str, within
     return got.select(*keys, *(F.col(f"row__.{c}").alias(c) for c in others))
 
 
-def corrected(stream: DataFrame, key: str, time: str, value: str, threshold: float = 1.5) -> DataFrame:
+CORRECTED = "key string, nth long, version long, t timestamp, v double, corrected double, certain boolean"
+
+
+def corrected(stream: DataFrame, key: str, time: str, value: str, threshold: float = 1.5, late: str = "30 days", patience: float | None = None) -> DataFrame:
     """Each key's values in order of time, one that is missing or above ``threshold`` times the corrected one before it
-    replaced by the mean of that one and the next acceptable value. A value waits in the state until what it needs is
-    there, so that batches may end anywhere; rows older than one already given come too late to change it."""
+    replaced by the mean of that one and the next acceptable value.
+
+    A value that waits for a later one is given at once, as if none followed, and again whenever its key gets rows:
+    ``nth`` is its place in its key, ``version`` counts a key's batches, and the last version of each place
+    (``latest``) is what the batch form gives for all rows so far. Rows that wait are held in the state; with
+    ``patience`` (seconds) they wait no longer once the watermark is that far beyond them, which bounds the state. Rows
+    older than a certain one come too late to change it.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = (state.get[0], list(zip(state.get[1], state.get[2]))) if state.exists else (None, [])
+        last, done, version, times, values = state.get if state.exists else (None, 0, 0, [], [])
+        held = list(zip(times, values))
         for rows in frames:
-            held += zip(rows["t"].astype("int64").tolist(), (None if pd.isna(v) else float(v) for v in rows["v"]))
-        held.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0.0))
-        out = []
-        while held:
-            at, v = held[0]
-            fixed = v
-            if last is not None and (v is None or v > threshold * last):
-                later = next((x for _, x in held[1:] if x is not None and x <= threshold * last), None)
-                if later is None:
-                    break
-                fixed = (last + later) / 2
-            out.append((k[0], at, v, fixed))
-            last, held = fixed, held[1:]
-        state.update((last, [at for at, _ in held], [v for _, v in held]))
-        got = pd.DataFrame(out, columns=["key", "t", "v", "corrected"])
-        yield got.assign(t=pd.to_datetime(got["t"]))
-
-    told = stream.select(F.col(key).cast("string").alias("key"), F.col(time).alias("t"), F.col(value).cast("double").alias("v"))
-    held = "last double, times array<long>, values array<double>"
-    return told.groupBy("key").applyInPandasWithState(step, "key string, t timestamp, v double, corrected double", held, "append", GroupStateTimeout.NoTimeout)
+            held += zip(rows["t"].astype("datetime64[us]").astype("int64").tolist(), (math.nan if pd.isna(v) else float(v) for v in rows["v"]))
+        held.sort(key=lambda r: (r[0], math.isnan(r[1]), r[1]))
+        v = np.array([x for _, x in held], float)
+        fixed, certain = corrections(v, threshold, last)
+        if patience is not None:
+            over = state.getCurrentWatermarkMs() * 1000 - int(patience * 1e6)  # times are whole microseconds
+            certain = max(certain, sum(t <= over for t, _ in held))
+        got = pd.DataFrame({"key": k[0], "nth": range(done, done + len(held)), "version": version, "t": [t for t, _ in held], "v": v, "corrected": fixed, "certain": np.arange(len(held)) < certain})
+        if certain:
+            last = float(fixed[certain - 1])
+        rest = held[certain:]
+        state.update((last, done + certain, version + 1, [t for t, _ in rest], [x for _, x in rest]))
+        if patience is not None and rest:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (rest[0][0] + int(patience * 1e6)) // 1000 + 1))
+        yield got.assign(t=pd.to_datetime(got["t"], unit="us"))
+
+    told = stream.withWatermark(time, late).select(F.col(key).cast("string").alias("key"), F.col(time).alias("t"), F.col(value).cast("double").alias("v"))
+    held = "last double, done long, version long, times array<long>, values array<double>"
+    wait = GroupStateTimeout.NoTimeout if patience is None else GroupStateTimeout.EventTimeTimeout
+    return told.groupBy("key").applyInPandasWithState(step, CORRECTED, held, "append", wait)
+
+
+def latest(given: DataFrame) -> DataFrame:
+    """The last version of each place of what ``corrected`` has given."""
+    row = F.max_by(F.struct("t", "v", "corrected", "certain"), "version").alias("row")
+    return given.groupBy("key", "nth").agg(row).select("key", "nth", "row.*")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
