@@ -6,8 +6,13 @@ its own enters through its total. Number of sites squared is the size of the ans
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,53 +83,140 @@ def simper_summary(ranked: DataFrame, most: int = 5) -> DataFrame:
     return pairs.agg(F.avg("top").alias("mean"), F.median("top").alias("median"), F.min("top").alias("min"), F.max("top").alias("max"))
 
 
-def permanova(pairs: DataFrame, groups: DataFrame, n_perm: int = 999) -> DataFrame:
-    """F and p of groups of sites over a distance table (i, j, d), as the workflow defines them.
+#: More sites than these are refused: each task holds their labels for every permutation, a byte for each.
+MOST_SITES = 100_000
 
-    Squares are of deviations of distances from their mean; the within-group mean square of the labels as given also
-    stands in the permutations. Labels are shuffled by a hash of site and permutation, so reruns agree. ``groups``
-    has (site, grp).
+
+@dataclass
+class Design:
+    """Sites by number and their groups; ``codes`` is -1 for sites that have no part in it."""
+
+    name: str
+    groups: list
+    codes: np.ndarray
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.codes[self.codes >= 0], minlength=len(self.groups))
+
+
+def permuted(codes: np.ndarray, n_perm: int, seed: int) -> np.ndarray:
+    """A row for each permutation: the codes as given first, then shuffled among the sites that take part."""
+    own = np.flatnonzero(codes >= 0)
+    told = np.repeat(codes[None], n_perm + 1, axis=0).astype(np.int16)
+    rng = np.random.default_rng(seed)
+    for row in told[1:]:
+        row[own] = rng.permutation(codes[own])
+    return told
+
+
+def _numbered(groups: DataFrame) -> tuple[DataFrame, list, np.ndarray]:
+    """(site, number) of the sites, the groups' names in order, and each site's group by number."""
+    rows = groups.select("site", "grp").where("grp IS NOT NULL").orderBy("site").limit(MOST_SITES + 1).collect()
+    if len(rows) > MOST_SITES:
+        raise ValueError(f"more than {MOST_SITES} sites; aggregate them first")
+    names = sorted({r["grp"] for r in rows})
+    at = {g: k for k, g in enumerate(names)}
+    schema = groups.select("site").schema.add("number", "integer")
+    return groups.sparkSession.createDataFrame([(r["site"], k) for k, r in enumerate(rows)], schema), names, np.array([at[r["grp"]] for r in rows], np.int16)
+
+
+def _inside(pairs: DataFrame, sites: DataFrame, designs: Sequence[Design], n_perm: int, seed: int) -> DataFrame:
+    """(design, perm, grp, sum, n, all_sum, all_squares, all_n): distances within each group under each permutation, and over
+    all of a design's pairs.
+
+    One pass: a task makes the permutations itself from the seed and adds up its own pairs, so that neither pairs nor
+    permutations are shuffled, only sums.
     """
-    sites = groups.select("site", "grp")
-    shuffled = _permuted(sites, n_perm)
-    a, b = shuffled.select("perm", F.col("site").alias("i"), F.col("grp").alias("gi")), shuffled.select("perm", F.col("site").alias("j"), F.col("grp").alias("gj"))
-    inside = pairs.join(a, "i").join(b, ["perm", "j"]).where("gi = gj").groupBy("perm", "gi").agg(F.avg("d").alias("gm"))
-    counts = sites.groupBy("grp").agg(F.count("*").alias("n"))
-    whole = pairs.agg(F.avg("d").alias("grand"))
-    squares = pairs.crossJoin(F.broadcast(whole)).agg(F.sum(F.pow(F.col("d") - F.col("grand"), F.lit(2.0))).alias("half"), F.first("grand").alias("grand"))
-    frame = counts.agg(F.sum("n").alias("n"), F.count("*").alias("k")).crossJoin(F.broadcast(squares))
-    between = inside.join(counts, F.col("gi") == F.col("grp")).where("n > 1").crossJoin(F.broadcast(whole)).groupBy("perm").agg(F.sum(F.col("n") * F.pow(F.col("gm") - F.col("grand"), F.lit(2.0))).alias("ssb"))
-    # the square matrix holds each pair twice and a zero diagonal; its half is summed
-    total = F.col("half") + F.col("n") * F.pow(F.col("grand"), F.lit(2.0)) / 2
-    own = between.where("perm = 0").select(F.col("ssb").alias("ssb0")).crossJoin(F.broadcast(frame)).select(((total - F.col("ssb0")) / (F.col("n") - F.col("k"))).alias("msw"), "k")
-    stats = between.crossJoin(F.broadcast(own)).withColumn("f", F.col("ssb") / (F.col("k") - 1) / F.col("msw"))
-    seen = stats.agg(F.max(F.when(F.col("perm") == 0, F.col("f"))).alias("f"))
-    return stats.where("perm > 0").crossJoin(F.broadcast(seen.withColumnRenamed("f", "f0"))).agg(F.first("f0").alias("f"), ((F.count_if(F.col("f") >= F.col("f0") - 1e-12) + 1) / F.lit(n_perm + 1.0)).alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = [permuted(d.codes, n_perm, seed) for d in designs]
+        sums, counts = ([np.zeros((n_perm + 1, len(d.groups))) for d in designs] for _ in range(2))
+        every = np.zeros((len(designs), 3))
+        for batch in batches:
+            i, j, d = (batch.column(c).to_numpy() for c in ("a", "b", "d"))
+            for k, (design, own) in enumerate(zip(designs, labels)):
+                part = (design.codes[i] >= 0) & (design.codes[j] >= 0)
+                x, y, z = i[part], j[part], d[part]
+                every[k] += z.sum(), (z * z).sum(), len(z)
+                for perm, codes in enumerate(own):
+                    group = codes[x]
+                    same = group == codes[y]
+                    sums[k][perm] += np.bincount(group[same], z[same], len(design.groups))
+                    counts[k][perm] += np.bincount(group[same], minlength=len(design.groups))
+        rows = [(k, perm, g, s, c, *(every[k] if not perm and not g else (0.0, 0.0, 0.0))) for k in range(len(designs)) for perm in range(n_perm + 1) for g, (s, c) in enumerate(zip(sums[k][perm], counts[k][perm]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 5))], names)
+
+    names = ["design", "perm", "grp", "sum", "n", "all_sum", "all_squares", "all_n"]
+    a, b = sites.withColumnsRenamed({"site": "i", "number": "a"}), sites.withColumnsRenamed({"site": "j", "number": "b"})
+    told = pairs.join(a, "i").join(b, "j").select("a", "b", F.col("d").cast("double").alias("d"))
+    made = told.mapInArrow(run, "design int, perm int, grp int, sum double, n double, all_sum double, all_squares double, all_n double")
+    return made.groupBy("design", "perm", "grp").agg(*(F.sum(c).alias(c) for c in names[3:]))
+
+
+def _analysed(pairs: DataFrame, sites: DataFrame, designs: Sequence[Design], n_perm: int, seed: int) -> list[tuple[str, float, float]]:
+    """(design, F, p). Squares are of deviations of distances from their mean; the square matrix holds each pair twice and
+    a zero diagonal, and its half is summed; the within-group mean square of the labels as given also stands in the
+    permutations."""
+    told = _inside(pairs, sites, designs, n_perm, seed).collect()  # sums by permutation and group
+    out = []
+    for k, design in enumerate(designs):
+        sums, counts, every = np.zeros((n_perm + 1, len(design.groups))), np.zeros((n_perm + 1, len(design.groups))), np.zeros(3)
+        for r in told:
+            if r["design"] == k:
+                sums[r["perm"], r["grp"]], counts[r["perm"], r["grp"]] = r["sum"], r["n"]
+                every += r["all_sum"], r["all_squares"], r["all_n"]
+        size, n = design.counts, int(design.counts.sum())
+        if not every[2] or n <= len(size):
+            out.append((design.name, math.nan, math.nan))
+            continue
+        grand = every[0] / every[2]
+        means = np.divide(sums, counts, out=np.full_like(sums, grand), where=counts > 0)
+        between = (np.where((size > 1) & (counts > 0), size, 0) * (means - grand) ** 2).sum(axis=1)
+        total = every[1] - every[0] * grand + n * grand**2 / 2
+        f = between / (len(size) - 1) / ((total - between[0]) / (n - len(size)))
+        out.append((design.name, float(f[0]), float(((f[1:] >= f[0] - 1e-12).sum() + 1) / (n_perm + 1))))
+    return out
+
+
+def permanova(pairs: DataFrame, groups: DataFrame, n_perm: int = 999, seed: int = 0) -> DataFrame:
+    """f and p of groups of sites over a distance table (i, j, d), as the workflow defines them. ``groups`` has (site, grp)."""
+    sites, names, codes = _numbered(groups)
+    rows = _analysed(pairs, sites, [Design("all", names, codes)], n_perm, seed) if len(names) > 1 else []
+    return pairs.sparkSession.createDataFrame([r[1:] for r in rows], "f double, p double")
+
+
+def pairwise_permanova(pairs: DataFrame, groups: DataFrame, n_perm: int = 999, seed: int = 0) -> DataFrame:
+    """(group1, group2, f, p, p_adjusted) of each two groups alone, all in one pass; p times the number of pairs, at most 1."""
+    sites, names, codes = _numbered(groups)
+    two = list(combinations(range(len(names)), 2))
+    designs = [Design("", [names[a], names[b]], np.where(codes == a, 0, np.where(codes == b, 1, -1)).astype(np.int16)) for a, b in two]
+    rows = _analysed(pairs, sites, designs, n_perm, seed) if designs else []
+    told = [(str(names[a]), str(names[b]), f, p, min(1.0, p * len(two))) for (a, b), (_, f, p) in zip(two, rows)]
+    return pairs.sparkSession.createDataFrame(told, "group1 string, group2 string, f double, p double, p_adjusted double")
+
+
+def permdisp(pairs: DataFrame, groups: DataFrame, n_perm: int = 999, seed: int = 0) -> DataFrame:
+    """Variance of the groups' mean distances (diagonal included), and how often a permutation reaches it."""
+    sites, names, codes = _numbered(groups)
+    size = np.bincount(codes, minlength=len(names))
+    means = np.zeros((n_perm + 1, len(names)))
+    for r in _inside(pairs, sites, [Design("all", names, codes)], n_perm, seed).collect():
+        means[r["perm"], r["grp"]] = 2 * r["sum"] / size[r["grp"]] ** 2
+    v = means.var(axis=1)
+    p = ((v[1:] >= v[0] - 1e-15).sum() + 1) / (n_perm + 1)
+    return pairs.sparkSession.createDataFrame([(float(v[0]), float(p))] if len(names) else [], "dispersion double, p double")
 
 
 def _permuted(sites: DataFrame, n_perm: int) -> DataFrame:
-    """(perm, site, grp): labels as given for perm 0, shuffled for the others. Sites are few; permutations are dealt out."""
+    """(perm, site, grp): labels as given for perm 0, shuffled by a hash for the others."""
     perms = sites.sparkSession.range(n_perm + 1).withColumnRenamed("id", "perm")
-    every = perms.crossJoin(F.broadcast(sites)) if sites.count() < 100_000 else perms.crossJoin(sites)
+    every = perms.crossJoin(F.broadcast(sites)) if sites.count() < MOST_SITES else perms.crossJoin(sites)
     by_site, by_hash = Window.partitionBy("perm").orderBy("site"), Window.partitionBy("perm").orderBy(F.when(F.col("perm") == 0, 0).otherwise(F.xxhash64("site", "perm")), "site")
     told = every.select("perm", "site", "grp", F.row_number().over(by_site).alias("place"), F.row_number().over(by_hash).alias("drawn"))
     return told.select("perm", "site", F.col("drawn").alias("nth")).join(told.select("perm", F.col("place").alias("nth"), "grp"), ["perm", "nth"]).select("perm", "site", "grp")
 
 
-def permdisp(pairs: DataFrame, groups: DataFrame, n_perm: int = 999) -> DataFrame:
-    """Variance of the groups' mean distances (diagonal included), and how often a permutation reaches it."""
-    sites = groups.select("site", "grp")
-    shuffled = _permuted(sites, n_perm)
-    a, b = shuffled.select("perm", F.col("site").alias("i"), F.col("grp").alias("gi")), shuffled.select("perm", F.col("site").alias("j"), F.col("grp").alias("gj"))
-    inside = pairs.join(a, "i").join(b, ["perm", "j"]).where("gi = gj").groupBy("perm", F.col("gi").alias("grp")).agg(F.sum("d").alias("sum"))
-    counts = sites.groupBy("grp").agg(F.count("*").alias("n"))
-    full = sites.sparkSession.range(n_perm + 1).withColumnRenamed("id", "perm").crossJoin(F.broadcast(counts))  # a row for each group
-    means = full.join(inside, ["perm", "grp"], "left").withColumn("mean", 2 * F.coalesce("sum", F.lit(0.0)) / (F.col("n") * F.col("n")))
-    stats = means.groupBy("perm").agg(F.var_pop("mean").alias("v"))
-    seen = stats.where("perm = 0").select(F.col("v").alias("v0"))
-    return stats.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.first("v0").alias("dispersion"), ((F.count_if(F.col("v") >= F.col("v0") - 1e-15) + 1) / F.lit(n_perm + 1.0)).alias("p"))
-
-
 def mantel(first: DataFrame, second: DataFrame, n_perm: int = 999) -> DataFrame:
     """Pearson correlation of two distance tables and how often a permutation of sites reaches it (two-sided)."""
     ids = first.select(F.col("i").alias("site")).union(first.select("j")).distinct()

@@ -4,12 +4,15 @@ sites by sites where that is the method's own input, refused above ``MOST_SITES`
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.measures import ratio
+from tidewrack.operators.windows import running_total
 
 MOST_SITES = 3000
 
@@ -49,6 +52,145 @@ def redundancy_analysis(df: DataFrame, ys: Sequence[str], xs: Sequence[str], con
     return {"inertia": total / max(n - 1, 1), "r2": r2, "r2_adjusted": 1 - (1 - r2) * left / max(left - rank, 1), "axes": [float(a) / max(n - 1, 1) for a in axes[: min(p, q)]], "f": (r2 / max(rank, 1)) / ((1 - r2) / max(left - rank, 1)) if r2 < 1 else float("inf")}
 
 
+@dataclass
+class Redundancy:
+    """A fitted analysis: rows of responses less what conditions explain, regressed on predictors likewise."""
+
+    ys: list[str]
+    xs: list[str]
+    conditions: list[str]
+    n: int
+    means: np.ndarray
+    held: np.ndarray
+    syy: np.ndarray
+    sxx: np.ndarray
+    sxy: np.ndarray
+    axes: int
+
+    @property
+    def slopes(self) -> np.ndarray:
+        return np.linalg.pinv(self.sxx) @ self.sxy
+
+    @property
+    def total(self) -> float:
+        return float(np.trace(self.syy)) / (self.n - 1)
+
+    def values(self, sxy: np.ndarray, xs: Sequence[int] | None = None) -> np.ndarray:
+        """Variances along the axes, largest first, for cross products as these and some of the predictors."""
+        own = list(range(len(self.xs))) if xs is None else list(xs)
+        part = sxy[own]
+        fitted = part.T @ np.linalg.pinv(self.sxx[np.ix_(own, own)]) @ part
+        return np.clip(np.linalg.eigvalsh(fitted)[::-1], 0, None)[: self.axes] / (self.n - 1)
+
+    def loadings(self) -> np.ndarray:
+        """Responses by axes; of each axis the largest part is positive."""
+        fitted = self.sxy.T @ self.slopes
+        vectors = np.linalg.eigh(fitted)[1][:, ::-1][:, : self.axes]
+        return vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
+
+    def f(self, values: np.ndarray) -> float:
+        """Of the axes' variances."""
+        left = self.n - len(self.xs) - 1
+        rest = self.total - values.sum()
+        return float(values.sum() / len(self.xs) / (rest / left)) if left > 0 and rest > 0 else float("nan")
+
+    def residuals(self) -> dict[str, Column]:
+        """Responses and predictors, centred and less what conditions explain, as columns."""
+        names = [*self.ys, *self.xs]
+        k = len(names)
+        free = {c: F.col(c) - float(m) for c, m in zip([*names, *self.conditions], self.means)}
+        return {c: free[c] - sum((float(self.held[i, j]) * free[v] for j, v in enumerate(self.conditions)), F.lit(0.0)) for i, c in enumerate(names[:k])}
+
+
+def redundancy(df: DataFrame, ys: Sequence[str], xs: Sequence[str], conditions: Sequence[str] = (), axes: int = 2) -> Redundancy:
+    """One pass for all products; rows with a missing value are left out."""
+    every = [*ys, *xs, *conditions]
+    s, n = _products(df, every)
+    means = df.na.drop(subset=every).agg(*(F.avg(c) for c in every)).first()
+    k = len(ys) + len(xs)
+    held = s[:k, k:] @ np.linalg.pinv(s[k:, k:]) if conditions else np.zeros((k, 0))
+    s = s[:k, :k] - held @ s[k:, :k]
+    p = len(ys)
+    return Redundancy(list(ys), list(xs), list(conditions), n, np.array(means, float), held, s[:p, :p], s[p:, p:], s[p:, :p], min(axes, p, len(xs)))
+
+
+def redundancy_scores(df: DataFrame, fit: Redundancy) -> DataFrame:
+    """``df`` with rda1, rda2...: where each row's fitted responses lie on the axes."""
+    free = fit.residuals()
+    weights = fit.slopes @ fit.loadings()
+    scores = {f"rda{a + 1}": sum((float(weights[i, a]) * free[x] for i, x in enumerate(fit.xs)), F.lit(0.0)) for a in range(fit.axes)}
+    return df.na.drop(subset=[*fit.ys, *fit.xs, *fit.conditions]).withColumns(scores)
+
+
+def biplot(scores: np.ndarray, loadings: np.ndarray, values: np.ndarray, scaling: str = "none", convention: str = "current") -> tuple[np.ndarray, np.ndarray]:
+    """Scores and loadings stretched by the roots of the axes' variances, by either convention."""
+    root = np.sqrt(values)
+    told = {("current", "scaling1"): (scores / root, loadings * root), ("current", "scaling2"): (scores, loadings * root), ("vegan", "scaling1"): (scores, loadings), ("vegan", "scaling2"): (scores / root, loadings * root)}
+    if scaling == "none":
+        return scores, loadings
+    if (convention, scaling) not in told:
+        raise ValueError(f"no biplot of {scaling} by {convention}")
+    return told[convention, scaling]
+
+
+def associations(df: DataFrame, xs: Sequence[str], axes: Sequence[str], method: str = "pearson") -> DataFrame:
+    """(variable, axis, value): correlation of values or of their ranks, or slope of the axis on the variable."""
+    if method == "spearman":
+        for c in dict.fromkeys([*xs, *axes]):
+            df = df.join(middle_ranks(df, c, f"{c}__rank"), c).drop(c).withColumnRenamed(f"{c}__rank", c)
+    elif method not in ("pearson", "regression"):
+        raise ValueError(f"method is pearson, spearman or regression, not {method}")
+    made = [(F.regr_slope(a, x) if method == "regression" else F.corr(x, a)).alias(f"{x}|{a}") for x in xs for a in axes]
+    told = df.agg(*made).withColumn("__", F.lit(0)).unpivot(["__"], [f"{x}|{a}" for x in xs for a in axes], "pair", "value")
+    return told.select(F.split("pair", r"\|")[0].alias("variable"), F.split("pair", r"\|")[1].alias("axis"), "value")
+
+
+def middle_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the mean rank of each distinct value, from running totals over ranges."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n__"))
+    return running_total(counts, column, "n__", "upto__").select(column, (F.col("upto__") - (F.col("n__") - 1) / 2).alias(name))
+
+
+#: Rows that are shuffled among themselves; a smaller table is one such part.
+SWAPPED = 4096
+
+
+def redundancy_permutations(df: DataFrame, fit: Redundancy, ids: Sequence[str], n_perm: int = 999, seed: int = 0) -> dict[str, list]:
+    """Statistics of the responses' rows shuffled against the predictors': ``global`` (F and p), ``axes`` (variance and p of
+    each) and ``terms`` (what each predictor adds to the axes' variance, and p).
+
+    Rows are dealt to parts of about ``SWAPPED`` by a hash of their ids and shuffled within them, so that no row is
+    copied for a permutation; a part's answer is its cross products for every permutation, and parts are added up.
+    """
+    every = [*fit.ys, *fit.xs, *fit.conditions]
+    rows = df.na.drop(subset=every)
+    parts = max(1, -(-fit.n // SWAPPED))
+    free = fit.residuals()
+    told = rows.select(F.pmod(F.xxhash64(*ids), F.lit(parts)).alias("part"), F.xxhash64(F.lit(seed), *ids).alias("at"), *(free[c].alias(f"y{i}") for i, c in enumerate(fit.ys)), *(free[c].alias(f"x{i}") for i, c in enumerate(fit.xs)))
+    p, q = len(fit.ys), len(fit.xs)
+
+    def shuffle(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("at", kind="stable")
+        y, x = own[[f"y{i}" for i in range(p)]].to_numpy(float), own[[f"x{i}" for i in range(q)]].to_numpy(float)
+        rng = np.random.default_rng([seed, int(own["part"].iloc[0])])
+        made = [(k, (x.T @ (y if not k else y[rng.permutation(len(y))])).ravel()) for k in range(n_perm + 1)]
+        return pd.DataFrame({"perm": [k for k, _ in made], **{f"c{i}": [m[i] for _, m in made] for i in range(p * q)}})
+
+    fields = ", ".join(["perm int", *(f"c{i} double" for i in range(p * q))])
+    sums = told.groupBy("part").applyInPandas(shuffle, fields).groupBy("perm").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(p * q)))
+    drawn = {r["perm"]: np.array(r[1:], float).reshape(q, p) for r in sums.collect()}  # predictors by responses, for each permutation
+    share = lambda many, one: float((np.sum(np.asarray(many) >= one - 1e-12 * abs(one)) + 1) / (n_perm + 1))
+    values = [fit.values(drawn[k]) for k in range(n_perm + 1)]
+    fs = [fit.f(v) for v in values]
+    less = [[fit.values(drawn[k], [j for j in range(q) if j != t]).sum() if q > 1 else 0.0 for t in range(q)] for k in range(n_perm + 1)]
+    added = [[values[k].sum() - less[k][t] for t in range(q)] for k in range(n_perm + 1)]
+    return {
+        "global": [(fs[0], share(fs[1:], fs[0]))],
+        "axes": [(float(values[0][a]), share([v[a] for v in values[1:]], values[0][a])) for a in range(fit.axes)],
+        "terms": [(float(added[0][t]), share([r[t] for r in added[1:]], added[0][t])) for t in range(q)],
+    }
+
+
 def correspondence_axes(table: DataFrame, environment: DataFrame, site: str, taxon: str, x: str, xs: Sequence[str]) -> dict[str, float | list[float]]:
     """CCA of a long community table on environment columns of its sites: total and constrained inertia and the axes.
 

@@ -207,10 +207,16 @@ def _groups(spark, d):
 
 @query()
 def permanova(spark, d):
-    """M10, with permutations as rows."""
+    """M10."""
     return rounded(dissimilarity.permanova(dissimilarity.bray_curtis(_logs(spark, d), "sample", "taxon", "x"), _groups(spark, d)))
 
 
+@query()
+def pairwise_permanova(spark, d):
+    """M12."""
+    return rounded(dissimilarity.pairwise_permanova(dissimilarity.bray_curtis(_logs(spark, d), "sample", "taxon", "x"), _groups(spark, d), 199))
+
+
 @query()
 def permdisp(spark, d):
     """M11."""

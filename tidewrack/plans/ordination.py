@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewrack.operators import classes, dissimilarity, diversity, ordination
@@ -41,8 +42,8 @@ def nonmetric_scaling(spark, d):
     """M8, M9: centroids of sites in a plane."""
     logs = diversity.community(observations(spark, d), ["sample"], "taxon", "density").withColumn("x", F.log10(F.col("x") + 1))
     points, stress = ordination.nonmetric_scaling(dissimilarity.bray_curtis(logs, "sample", "taxon", "x"))
-    centres = points.groupBy(F.substring("site", 1, 3).alias("group")).agg(F.count("*").alias("n"))
-    return centres.withColumn("stress", F.lit(stress))
+    centres = points.groupBy(F.substring("site", 1, 3).alias("group")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return rounded(centres.withColumn("stress", F.lit(stress)), 4)
 
 
 @query()
@@ -54,6 +55,50 @@ def redundancy_analysis(spark, d):
     return spark.createDataFrame([(k, i, float(v)) for k, vs in got.items() for i, v in enumerate(vs if isinstance(vs, list) else [vs])], "name string, nth int, value double")
 
 
+def _stations(spark, d):
+    """Monthly sums of the first two phyla and means of the environment by site, and the time."""
+    names = [r[0] for r in table(spark, d, "part").select("p_type").distinct().orderBy("p_type").limit(2).collect()]
+    wide = observations(spark, d).groupBy("site", "year", "month").agg(*(F.sum(F.when(F.col("phylum") == n, F.col("density")).otherwise(0.0)).alias(f"y{i}") for i, n in enumerate(names)), F.avg("discount").alias("e1"), F.avg("tax").alias("e2"))
+    return wide.withColumn("t", F.col("year").cast("double"))
+
+
+@query()
+def redundancy_permutations(spark, d):
+    """Global test, axes and terms, year held."""
+    rows = _stations(spark, d)
+    fit = ordination.redundancy(rows, ["y0", "y1"], ["e1", "e2"], ["t"])
+    told = ordination.redundancy_permutations(rows, fit, ["site", "year", "month"])
+    return spark.createDataFrame([(k, i + 1, round(v, 6), round(p, 6)) for k, own in told.items() for i, (v, p) in enumerate(own)], "test string, nth int, value double, p double")
+
+
+@query(f"""WITH {OBS}, names AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS k FROM (SELECT DISTINCT p_type FROM part)),
+    m AS (SELECT site, year, month, sum(CASE WHEN k = 1 THEN density ELSE 0 END) AS y0, avg(discount) AS e1, avg(tax) AS e2 FROM obs JOIN names ON phylum = p_type GROUP BY 1, 2, 3),
+    r AS (SELECT *, rank() OVER (ORDER BY y0) + (count(*) OVER (PARTITION BY y0) - 1) / 2.0 AS ry, rank() OVER (ORDER BY e1) + (count(*) OVER (PARTITION BY e1) - 1) / 2.0 AS r1, rank() OVER (ORDER BY e2) + (count(*) OVER (PARTITION BY e2) - 1) / 2.0 AS r2 FROM m)
+    SELECT 'pearson' AS method, 'e1' AS variable, round(corr(e1, y0), 5) AS value FROM r UNION ALL SELECT 'pearson', 'e2', round(corr(e2, y0), 5) FROM r
+    UNION ALL SELECT 'spearman', 'e1', round(corr(r1, ry), 5) FROM r UNION ALL SELECT 'spearman', 'e2', round(corr(r2, ry), 5) FROM r
+    UNION ALL SELECT 'regression', 'e1', round(regr_slope(y0, e1), 3) FROM r UNION ALL SELECT 'regression', 'e2', round(regr_slope(y0, e2), 3) FROM r""")
+def environment_associations(spark, d):
+    """Of a response, as of an axis, with the environment."""
+    rows, told = _stations(spark, d).select("y0", "e1", "e2"), None
+    for method, digits in (("pearson", 5), ("spearman", 5), ("regression", 3)):
+        got = ordination.associations(rows, ["e1", "e2"], ["y0"], method).select(F.lit(method).alias("method"), "variable", F.round("value", digits).alias("value"))
+        told = got if told is None else told.unionByName(got)
+    return told
+
+
+@query()
+def constrained_axes(spark, d):
+    """sites' centroids on the axes, species and environment in the same plane."""
+    rows = _stations(spark, d)
+    fit = ordination.redundancy(rows, ["y0", "y1"], ["e1", "e2"], ["t"])
+    scores = ordination.redundancy_scores(rows, fit)
+    centres = scores.groupBy(F.lit("site").alias("kind"), F.col("site").alias("name")).agg(F.avg("rda1").alias("rda1"), F.avg("rda2").alias("rda2"))
+    _, loadings = ordination.biplot(np.zeros((0, fit.axes)), fit.loadings(), fit.values(fit.sxy), "scaling2")
+    species = spark.createDataFrame([("species", y, *map(float, row)) for y, row in zip(fit.ys, loadings)], "kind string, name string, rda1 double, rda2 double")
+    env = ordination.associations(scores, fit.xs, ["rda1", "rda2"]).groupBy(F.lit("environment").alias("kind"), F.col("variable").alias("name")).pivot("axis", ["rda1", "rda2"]).agg(F.first("value"))
+    return rounded(centres.unionByName(species).unionByName(env))
+
+
 @query()
 def constrained_correspondence(spark, d):
     """M22."""
