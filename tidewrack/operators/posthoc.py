@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewrack.functions.measures import box_cox, ratio, yeo_johnson
 from tidewrack.functions.special import chi2_upper, f_upper, studentized_range_upper, t_quantile, t_two_sided
 from tidewrack.operators.statistics import Fit, least_squares
-from tidewrack.operators.windows import running_total
+from tidewrack.operators.windows import running_total, running_totals
 
 
 def mean_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -232,3 +232,56 @@ def autoregressive_forecast(df: DataFrame, keys: Sequence[str], order: str, valu
         return pd.DataFrame([(*key, i + 1, float(f), float(error.mean()), mape) for i, f in enumerate(ahead)], columns=names)
 
     return df.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
+
+
+#: More groups than these are refused: every pair is a sum of the one pass.
+MOST_GROUPS = 50
+#: Below as many values in both groups, and without ties, p is exact.
+EXACT = 50
+
+
+def exact_rank_sums(n: int, m: int) -> np.ndarray:
+    """How likely each value of the rank-sum statistic of two samples is if they are alike."""
+    ways = np.zeros(n * m + 1, dtype=object)  # whole numbers of any size
+    ways[0] = 1
+    for k in range(1, n + 1):  # times (1 - x^(m + k)), over (1 - x^k)
+        ways[m + k :] = ways[m + k :] - ways[: max(0, len(ways) - m - k)]
+        for start in range(k):
+            ways[start::k] = np.cumsum(ways[start::k])
+    total = int(ways.sum())
+    return np.array([int(v) / total for v in ways])
+
+
+def rank_sum_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group1, group2, w, z, p, p_bonferroni) of each two groups by Wilcoxon's rank sums.
+
+    Distinct values are counted by group, and running totals of these counts tell for every pair how often one group's value
+    is above the other's, ties counting half: no pair is ranked on its own. z has a correction for continuity.
+    """
+    told = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"))
+    names = sorted(r["g"] for r in told.select("g").distinct().limit(MOST_GROUPS + 1).collect())
+    if len(names) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    schema = "group1 string, group2 string, w double, z double, p double, p_bonferroni double"
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    counts = told.groupBy("v").agg(*(F.count_if(F.col("g") == name).alias(f"n{i}") for i, name in enumerate(names)))
+    upto = running_totals(counts, "v", {f"n{i}": f"c{i}" for i in range(len(names))})
+    pairs = list(combinations(range(len(names)), 2))
+    above = [F.sum(F.col(f"n{a}") * (F.col(f"c{b}") - F.col(f"n{b}") / 2)) for a, b in pairs]
+    both = lambda a, b: F.col(f"n{a}") + F.col(f"n{b}")
+    ties = [F.sum((F.pow(both(a, b).cast("double"), F.lit(3.0)) - both(a, b))) for a, b in pairs]
+    row = upto.agg(*above, *ties, *(F.sum(f"n{i}") for i in range(len(names)))).first()
+    size, rows = row[2 * len(pairs) :], []
+    for k, (a, b) in enumerate(pairs):
+        n, m, w, t = size[a], size[b], float(row[k]), float(row[len(pairs) + k])
+        off = w - n * m / 2
+        sd = math.sqrt(max(0.0, n * m / 12 * ((n + m + 1) - t / ((n + m) * (n + m - 1)))))
+        z = (off - math.copysign(0.5, off) * (off != 0)) / sd if sd else math.nan
+        if n < EXACT and m < EXACT and not t:
+            chance = exact_rank_sums(n, m)
+            p = min(1.0, 2 * float(chance[: int(w) + 1].sum() if off <= 0 else chance[int(w) :].sum()))
+        else:
+            p = math.erfc(abs(z) / math.sqrt(2)) if not math.isnan(z) else math.nan
+        rows.append((names[a], names[b], w, z, p, min(1.0, p * len(pairs)) if not math.isnan(p) else math.nan))
+    return df.sparkSession.createDataFrame(rows, schema)

@@ -3,7 +3,7 @@ totals over all rows are one-row aggregates that are broadcast."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,15 +177,21 @@ def last_years(df: DataFrame, keys: Sequence[str], date: str, years: int) -> Dat
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str = "upto", parts: int = 200) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows up to each one in the order of distinct values of a column.
+    """``df`` with the sum of ``value`` over all rows up to each one in the order of distinct values of a column."""
+    return running_totals(df, order, {value: name}, parts)
+
+
+def running_totals(df: DataFrame, order: str, names: Mapping[str, str], parts: int = 200) -> DataFrame:
+    """``df`` with sums of some columns over all rows up to each one in the order of distinct values of a column.
 
     No task gets all rows: they are dealt to ranges between approximate quantiles, summed by range, and each range runs on
     from the total of those before it.
     """
     cuts = df.agg(F.percentile_approx(order, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000)).alias("cuts__"))
     dealt = df.crossJoin(F.broadcast(cuts)).withColumn("part__", F.size(F.filter("cuts__", lambda c: c < F.col(order)))).drop("cuts__")  # one row
-    sums = dealt.groupBy("part__").agg(F.sum(value).alias("own__"))
-    before = F.coalesce(F.sum("own__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    inside = F.sum(value).over(Window.partitionBy("part__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    starts = sums.select("part__", before.alias("before__"))
-    return dealt.withColumn(name, inside).join(starts, "part__").withColumn(name, F.col(name) + F.col("before__")).drop("part__", "before__")
+    sums = dealt.groupBy("part__").agg(*(F.sum(value).alias(f"own_{value}__") for value in names))
+    earlier = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sums.select("part__", *(F.coalesce(F.sum(f"own_{value}__").over(earlier), F.lit(0)).alias(f"before_{value}__") for value in names))
+    inside = Window.partitionBy("part__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    told = dealt.withColumns({name: F.sum(value).over(inside) for value, name in names.items()}).join(starts, "part__")
+    return told.withColumns({name: F.col(name) + F.col(f"before_{value}__") for value, name in names.items()}).drop("part__", *(f"before_{value}__" for value in names))

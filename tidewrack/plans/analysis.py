@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewrack.functions import calendar
-from tidewrack.operators import linear, raster, statistics, tables, timeseries, windows
+from tidewrack.operators import linear, posthoc, raster, statistics, tables, timeseries, windows
 from tidewrack.plans.base import OBS, PIXELS, SERIES, observations, pixels, query, rounded, series, table
 
 
@@ -196,6 +196,16 @@ def welch_tests(spark, d):
     return rounded(statistics.welch_pairs(observations(spark, d), "phylum", "density"))
 
 
+@query(f"""WITH {OBS}, p AS (SELECT a.phylum AS group1, b.phylum AS group2 FROM (SELECT DISTINCT phylum FROM obs) a JOIN (SELECT DISTINCT phylum FROM obs) b ON a.phylum < b.phylum),
+    r AS (SELECT group1, group2, phylum, rank() OVER (PARTITION BY group1, group2 ORDER BY density) + (count(*) OVER (PARTITION BY group1, group2, density) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY group1, group2, density) AS t FROM p JOIN obs ON phylum = group1 OR phylum = group2),
+    s AS (SELECT group1, group2, CAST(count_if(phylum = group1) AS DOUBLE) AS n, CAST(count_if(phylum = group2) AS DOUBLE) AS m, sum(CASE WHEN phylum = group1 THEN rk END) AS r1, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY 1, 2),
+    u AS (SELECT *, CAST(r1 AS DOUBLE) - n * (n + 1) / 2 AS w FROM s)
+    SELECT group1, group2, w, round((w - n * m / 2 - 0.5 * sign(w - n * m / 2)) / sqrt(n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1)))), 5) AS z FROM u""")
+def rank_sum_pairs(spark, d):
+    """Q20: Wilcoxon's test of each two phyla."""
+    return posthoc.rank_sum_pairs(observations(spark, d), "phylum", "density").select("group1", "group2", "w", F.round("z", 5).alias("z"))
+
+
 _MONTHS = f"""{SERIES}, mo AS (SELECT kind, date_diff('month', DATE '1970-01-01', day) AS t, avg(value) AS v FROM series GROUP BY 1, 2)"""
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidewrack.operators import learning
+from tidewrack.operators import attributions, learning, recipes
 from tidewrack.plans.base import OBS, observations, query, rounded, table
 from tidewrack.streaming import series as stream
 
@@ -54,6 +54,36 @@ def linear_attributions(spark, d):
     return rounded(learning.linear_attributions(model, data, _X, ["ord", "line"]).groupBy("variable").agg(F.avg(F.abs("attribution")).alias("mean_abs")), 3)
 
 
+@query()
+def tree_attributions(spark, d):
+    """Mean size of each variable's Shapley values in a forest and in boosted trees."""
+    data, told = observations(spark, d).select("ord", "line", "biovolume", *_X), None
+    for name, kind in (("forest", learning.forest("biovolume", 5, 4)), ("boosted", learning.boosted("biovolume", 5, 3))):
+        model = learning.fit(data, _X, kind)
+        got = attributions.importance(attributions.tree_attributions(model, data, _X, ["ord", "line"]), _X).select(F.lit(name).alias("model"), "variable", F.round("mean_abs", 2).alias("mean_abs"))
+        told = got if told is None else told.unionByName(got)
+    return told
+
+
+@query()
+def preprocessed_columns(spark, d):
+    """Power transform, centred, scaled, components of nine tenths of the variance; their means and deviations."""
+    data = observations(spark, d).select("density", "biovolume", "discount", F.col("size").cast("double").alias("size"))
+    recipe = recipes.Recipe(["density", "biovolume", "discount", "size"], ["yeo_johnson", "center", "scale", "pca"]).fit(data)
+    made = recipe.transform(data)
+    return rounded(made.agg(*(f(c).alias(f"{name}_{c}") for c in recipe.columns for name, f in (("mean", F.avg), ("sd", F.stddev)))), 4)
+
+
+@query()
+def independent_components(spark, d):
+    """Independent components of whitened columns, each column's weight in them by correlation."""
+    data = observations(spark, d).select("density", "discount", "tax", (F.col("density") * 2 + F.col("size")).alias("mix"))
+    recipe = recipes.Recipe(["density", "discount", "tax", "mix"], ["center", "scale", "ica"], rounds=60)
+    made = recipe.fit(data).transform(data.select("*", *(F.col(c).alias(f"own_{c}") for c in data.columns)))
+    told = made.agg(*(F.abs(F.corr(f"own_{c}", i)).alias(f"{c}|{i}") for c in data.columns for i in recipe.columns)).withColumn("__", F.lit(0))
+    return rounded(told.unpivot(["__"], [c for c in told.columns if c != "__"], "pair", "r").drop("__"), 2)
+
+
 @query()
 def clusters_by_mean(spark, d):
     """M16, W27, P33."""
