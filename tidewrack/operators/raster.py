@@ -116,21 +116,5 @@ def valid(df: DataFrame, lo: float, hi: float, value: str = "value") -> DataFram
     return df.withColumn(value, in_range(F.col(value), lo, hi))
 
 
-def coast_distance(points: DataFrame, lat: str, lon: str, coast: DataFrame, cell: float = 1.0, rings: int = 2) -> DataFrame:
-    """``points`` with the distance in km to the nearest coast vertex (lat, lon) within ``rings`` grid cells; null beyond.
-
-    Points meet only vertices of cells near theirs.
-    """
-    radius, rad = 6371.0088, F.radians
-    near = coast.select(F.col("lat").alias("clat"), F.col("lon").alias("clon"), F.floor(F.col("lat") / cell).alias("r"), F.floor(F.col("lon") / cell).alias("c"))
-    around = F.explode(F.sequence(F.lit(-rings), F.lit(rings)))
-    told = points.withColumn("row__", F.monotonically_increasing_id())
-    asked = told.select("row__", F.col(lat).alias("plat"), F.col(lon).alias("plon"), around.alias("dr")).select("*", around.alias("dc"))
-    asked = asked.withColumn("r", F.floor(F.col("plat") / cell) + F.col("dr")).withColumn("c", F.floor(F.col("plon") / cell) + F.col("dc"))
-    half = F.pow(F.sin((rad("clat") - rad("plat")) / 2), F.lit(2.0)) + F.cos(rad("plat")) * F.cos(rad("clat")) * F.pow(F.sin((rad("clon") - rad("plon")) / 2), F.lit(2.0))
-    found = asked.join(near, ["r", "c"]).groupBy("row__").agg(F.min(2 * radius * F.asin(F.sqrt(F.least(half, F.lit(1.0))))).alias("distance_km"))
-    return told.join(found, "row__", "left").drop("row__")
-
-
 def normalised_difference(a: Column, b: Column) -> Column:
     return ratio(a - b, a + b)

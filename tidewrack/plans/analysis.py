@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewrack.functions import calendar
-from tidewrack.operators import linear, posthoc, raster, statistics, tables, timeseries, windows
+from tidewrack.operators import geometry, linear, posthoc, raster, statistics, tables, timeseries, windows
 from tidewrack.plans.base import OBS, PIXELS, SERIES, observations, pixels, query, rounded, series, table
 
 
@@ -389,12 +389,45 @@ def point_statistics(spark, d):
     return rounded(raster.point_statistics(points, pixels(spark, d), ["row", "col"], ["id"], ["A"]), 7)
 
 
-@query()
+def _aeqd(lat: str, lon: str) -> str:
+    """SQL for a place in the plane of true distances from (p.lat, p.lon), as a list of x and y in km."""
+    half = f"sin(radians({lat} - p.lat) / 2) ** 2 + cos(radians(p.lat)) * cos(radians({lat})) * sin(radians({lon} - p.lon) / 2) ** 2"
+    k = f"6371.0088 * list_transform([2 * asin(sqrt(least({half}, 1.0)))], lambda c: CASE WHEN sin(c) > 1e-15 THEN c / sin(c) ELSE 1 END)[1]"
+    x, y = f"cos(radians({lat})) * sin(radians({lon} - p.lon))", f"cos(radians(p.lat)) * sin(radians({lat})) - sin(radians(p.lat)) * cos(radians({lat})) * cos(radians({lon} - p.lon))"
+    return f"[{k} * ({x}), {k} * ({y})]"
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_acctbal / 150 AS lat, CAST((c_custkey * 37) % 360 AS DOUBLE) - 180 AS lon FROM customer), s AS (SELECT s_acctbal / 200 AS lat1, CAST((s_suppkey * 53) % 360 AS DOUBLE) - 180 AS lon1 FROM supplier),
+    e AS (SELECT c_custkey, {_aeqd("s.lat1", "s.lon1")} AS a, {_aeqd("(s.lat1 + 0.3)", "(s.lon1 + 0.4)")} AS b FROM p CROSS JOIN s),
+    d AS (SELECT c_custkey, a, [b[1] - a[1], b[2] - a[2]] AS v FROM e), t AS (SELECT *, greatest(0.0, least(1.0, -(a[1] * v[1] + a[2] * v[2]) / (v[1] ** 2 + v[2] ** 2))) AS t FROM d)
+    SELECT c_custkey, round(min(sqrt((a[1] + t * v[1]) ** 2 + (a[2] + t * v[2]) ** 2)), 3) AS distance_km FROM t GROUP BY 1""")
 def nearest_coast(spark, d):
-    """J19, B12."""
-    points = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 500).alias("lat"), (F.col("c_custkey") % 20).cast("double").alias("lon"))
-    coast = table(spark, d, "supplier").select((F.col("s_acctbal") / 500).alias("lat"), (F.col("s_suppkey") % 20).cast("double").alias("lon"))
-    return rounded(raster.coast_distance(points, "lat", "lon", coast), 3)
+    """To the nearest segment, all around the globe."""
+    points = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 150).alias("lat"), ((F.col("c_custkey") * 37) % 360 - 180).cast("double").alias("lon"))
+    coast = table(spark, d, "supplier").select((F.col("s_acctbal") / 200).alias("lat1"), ((F.col("s_suppkey") * 53) % 360 - 180).cast("double").alias("lon1"))
+    coast = coast.withColumns({"lat2": F.col("lat1") + 0.3, "lon2": F.col("lon1") + 0.4})
+    return rounded(geometry.nearest_segment(points, ["c_custkey"], "lat", "lon", coast).select("c_custkey", "distance_km"), 3)
+
+
+_SHAPES = [[[(0.0, 0.0), (40.0, 0.0), (40.0, 60.0), (0.0, 60.0)], [(10.0, 1.0), (30.0, 1.0), (30.0, 50.0), (10.0, 50.0)]], [[(42.0, 0.0), (49.0, 0.0), (49.0, 30.0)]]]
+
+
+@query(f"""WITH {PIXELS} SELECT product, date, row, col, round(value, 7) AS value FROM pixels
+    WHERE (col + 0.5 < 40 AND row + 0.5 < 60 AND NOT (col + 0.5 >= 10 AND col + 0.5 < 30 AND row + 0.5 >= 1 AND row + 0.5 < 50)) OR (col + 0.5 < 49 AND row + 0.5 < 30 AND col + 0.5 >= 42 + (row + 0.5) * 7 / 30)""")
+def clipped_by_parts(spark, d):
+    """A polygon with a hole and a second part, as a table of edges."""
+    shape = spark.createDataFrame([(1, _SHAPES)], "shape int, parts array<array<array<struct<x: double, y: double>>>>")
+    return rounded(geometry.clipped_by(pixels(spark, d), ["row", "col"], F.col("col") + 0.5, F.col("row") + 0.5, geometry.edges(shape, ["shape"], "parts"), 10.0), 7)
+
+
+@query(f"""WITH {PIXELS}, u AS (SELECT product, date, row // 2 AS row, col // 2 AS col, avg(value) AS value FROM pixels GROUP BY 1, 2, 3, 4),
+    g AS (SELECT r AS row, c AS col, (r + 0.5) * 1.5 - 0.5 + 0.2 AS y, (c + 0.5) * 1.5 - 0.5 - 0.1 AS x FROM generate_series(0, 9) a(r) CROSS JOIN generate_series(0, 14) b(c)),
+    n AS (SELECT row, col, floor(y) + i AS sr, floor(x) + j AS sc, abs(1 - i - (y - floor(y))) * abs(1 - j - (x - floor(x))) AS w FROM g CROSS JOIN generate_series(0, 1) k(i) CROSS JOIN generate_series(0, 1) l(j))
+    SELECT product, date, n.row, n.col, round(sum(w * value) / sum(w), 6) AS value FROM n JOIN u ON u.row = sr AND u.col = sc WHERE w > 0 GROUP BY 1, 2, 3, 4""")
+def reprojected_raster(spark, d):
+    """Means of two by two pixels, then a coarser grid that lies askew, from four neighbours."""
+    up = raster.upscaled(pixels(spark, d), ["product", "date"])
+    return rounded(geometry.bilinear(up, ["product", "date"], (0.0, 0.0, 1.0), (-0.2, -0.1, 1.5), (10, 15)))
 
 
 @query(f"""WITH {OBS}, t AS (SELECT site, taxon, sum(density) AS v FROM obs GROUP BY 1, 2) SELECT a.site, a.taxon AS i, b.taxon AS j FROM t a JOIN t b ON a.site = b.site AND a.taxon < b.taxon WHERE a.v > b.v""")
