@@ -121,6 +121,11 @@ def rarefaction(df: DataFrame, sites: Sequence[str], taxon: str, value: str, poi
     return total.crossJoin(F.broadcast(depths)).groupBy(*sites, "depth").agg(F.sum(1 - missed).alias("expected"))  # at most ``points`` + 1 rows
 
 
+def mean_curves(curves: DataFrame, treatment: Sequence[str]) -> DataFrame:
+    """(treatment..., depth, expected, sd, n): mean of the sites' curves at each depth; sd is 0 for one site."""
+    return curves.groupBy(*treatment, "depth").agg(F.avg("expected").alias("expected"), F.coalesce(F.stddev_samp("expected"), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
+
+
 def _ln_factorial(n: Column) -> Column:
     """ln n! by Stirling's series after a shift by 8, exact to about 1e-12."""
     x = n.cast("double") + 9.0

@@ -177,10 +177,46 @@ def one_way_anova(spark, d):
     return rounded(statistics.one_way(observations(spark, d), "phylum", "density").drop("p"), 5)
 
 
-@query()
+@query(f"""WITH {OBS}, m AS (SELECT site, median(biovolume) AS m FROM obs GROUP BY 1), v AS (SELECT obs.site, abs(biovolume - m) AS v FROM obs JOIN m ON obs.site = m.site),
+    g AS (SELECT site, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM v GROUP BY 1), t AS (SELECT sum(n) AS n, count(*) AS k, sum(ss) AS w, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS b FROM g)
+    SELECT round((b / (k - 1)) / (w / (n - k)), 5) AS f, CAST(k - 1 AS DOUBLE) AS df1, CAST(n - k AS DOUBLE) AS df2 FROM t""")
 def levene_test(spark, d):
     """Q18."""
-    return rounded(statistics.levene(observations(spark, d), "site", "biovolume"))
+    return rounded(statistics.levene(observations(spark, d), "site", "biovolume").drop("p"), 5)
+
+
+@query(f"""WITH {OBS}, r AS (SELECT site, biovolume AS v, row_number() OVER (PARTITION BY site ORDER BY biovolume) AS k, count(*) OVER (PARTITION BY site) AS n FROM obs),
+    c AS (SELECT site, avg(v) AS c FROM r WHERE k > floor(0.1 * n) AND k <= n - floor(0.1 * n) GROUP BY 1), v AS (SELECT r.site, abs(v - c) AS v FROM r JOIN c ON r.site = c.site),
+    g AS (SELECT site, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM v GROUP BY 1), t AS (SELECT sum(n) AS n, count(*) AS k, sum(ss) AS w, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS b FROM g)
+    SELECT round((b / (k - 1)) / (w / (n - k)), 5) AS f, CAST(k - 1 AS DOUBLE) AS df1, CAST(n - k AS DOUBLE) AS df2 FROM t""")
+def levene_trimmed(spark, d):
+    """Q18, from means without a tenth at each end."""
+    return rounded(statistics.levene(observations(spark, d), "site", "biovolume", trim=0.1).drop("p"), 5)
+
+
+_RAISED = [("HC0", "e * e"), ("HC1", "e * e * n / (n - 3.0)"), ("HC2", "e * e / (1 - h)"), ("HC3", "(e / (1 - h)) ** 2")]
+
+
+@query(f"""{_NORMAL}, u AS (
+        SELECT a - k.ma AS a, b - k.mb AS b, y - my - ba * (a - k.ma) - bb * (b - k.mb) AS e, n, 1.0 / n + (sbb * (a - k.ma) ** 2 - 2 * sab * (a - k.ma) * (b - k.mb) + saa * (b - k.mb) ** 2) / (saa * sbb - sab * sab) AS h, saa, sbb, sab, ba, bb
+        FROM v CROSS JOIN k CROSS JOIN (SELECT n FROM m)
+    ), w AS ({" UNION ALL ".join(f"SELECT '{name}' AS kind, *, {weight} AS w FROM u" for name, weight in _RAISED)})
+    SELECT kind, 'discount' AS term, round(max(ba), 4) AS coefficient, round(sqrt(sum(w * (sbb * a - sab * b) ** 2)) / max(saa * sbb - sab * sab), 5) AS se FROM w GROUP BY kind
+    UNION ALL SELECT kind, 'tax', round(max(bb), 4), round(sqrt(sum(w * (saa * b - sab * a) ** 2)) / max(saa * sbb - sab * sab), 5) FROM w GROUP BY kind""")
+def robust_errors(spark, d):
+    """Q3: errors of both slopes by four rules."""
+    terms, rows = {"(intercept)": F.lit(1), "discount": F.col("discount"), "tax": F.col("tax")}, []
+    for kind, _ in _RAISED:
+        rows += [(kind, t, round(b, 4), round(se, 5)) for t, b, se, *_ in statistics.least_squares(observations(spark, d), terms, "density", kind).table()[1:]]
+    return spark.createDataFrame(rows, "kind string, term string, coefficient double, se double")
+
+
+@query(f"""WITH {OBS}, r AS (SELECT corr(density, biovolume) AS ab, corr(density, size) AS ac, corr(biovolume, size) AS bc FROM obs), d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM r)
+    SELECT 'density' AS variable, round((1 - bc * bc) / det, 6) AS vif FROM d UNION ALL SELECT 'biovolume', round((1 - ac * ac) / det, 6) FROM d UNION ALL SELECT 'size', round((1 - ab * ab) / det, 6) FROM d""")
+def inflation_of_three(spark, d):
+    """Q9, by the correlation matrix."""
+    got = statistics.vif(observations(spark, d), ["density", "biovolume", "size"])
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in got.items()], "variable string, vif double")
 
 
 @query(f"""WITH {OBS}, r AS (SELECT phylum, rank() OVER (ORDER BY density) + (count(*) OVER (PARTITION BY density) - 1) / 2.0 AS rk FROM obs), s AS (SELECT phylum, sum(rk) AS r, count(*) AS m FROM r GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM obs),
@@ -190,10 +226,11 @@ def kruskal_wallis(spark, d):
     return rounded(statistics.kruskal(observations(spark, d), "phylum", "density").drop("p"), 4)
 
 
-@query()
+@query(f"""WITH {OBS}, m AS (SELECT phylum, count(*) AS n, avg(density) AS m, var_samp(density) / count(*) AS e FROM obs GROUP BY 1)
+    SELECT a.phylum AS group1, b.phylum AS group2, round((a.m - b.m) / sqrt(a.e + b.e), 6) AS t, round((a.e + b.e) ** 2 / (a.e * a.e / (a.n - 1) + b.e * b.e / (b.n - 1)), 3) AS df FROM m a JOIN m b ON a.phylum < b.phylum""")
 def welch_tests(spark, d):
     """Q20."""
-    return rounded(statistics.welch_pairs(observations(spark, d), "phylum", "density"))
+    return statistics.welch_pairs(observations(spark, d), "phylum", "density").select("group1", "group2", F.round("t", 6).alias("t"), F.round("df", 3).alias("df"))
 
 
 @query(f"""WITH {OBS}, p AS (SELECT a.phylum AS group1, b.phylum AS group2 FROM (SELECT DISTINCT phylum FROM obs) a JOIN (SELECT DISTINCT phylum FROM obs) b ON a.phylum < b.phylum),
@@ -225,7 +262,10 @@ def trend_tests(spark, d):
     return statistics.kendall(_weekly(spark, d), ["kind"], "week", "v").select("kind", "n", F.col("s").cast("double").alias("s"), F.round("slope", 5).alias("slope"))
 
 
-@query()
+@query(f"""WITH {_WEEKS}, p AS (SELECT a.kind, sum(sign(b.v - a.v)) AS s, count(*) AS pairs, median((b.v - a.v) / (b.week - a.week)) AS slope FROM wk a JOIN wk b ON a.kind = b.kind AND a.week < b.week GROUP BY 1),
+    t AS (SELECT kind, v, CAST(count(*) AS DOUBLE) AS t FROM wk GROUP BY 1, 2), u AS (SELECT kind, sum(t) AS n, sum(t * (t - 1) * (2 * t + 5)) AS ties, sum(t * (t - 1) / 2) AS tied FROM t GROUP BY 1),
+    w AS (SELECT p.kind, n, s, pairs, slope, tied, (n * (n - 1) * (2 * n + 5) - ties) / 18 AS variance FROM p JOIN u ON p.kind = u.kind)
+    SELECT kind, CAST(n AS BIGINT) AS n, CAST(s AS DOUBLE) AS s, round(s / sqrt((pairs - tied) * pairs), 5) AS tau, round(variance, 5) AS variance, round((s - sign(s)) / sqrt(variance), 5) AS z, round(slope, 5) AS slope FROM w""")
 def mann_kendall(spark, d):
     """Q25 with tau, variance and z."""
     return rounded(statistics.kendall(_weekly(spark, d), ["kind"], "week", "v"), 5)
@@ -273,10 +313,14 @@ def series_noise(spark, d):
     return rounded(windows.difference_variance(series(spark, d), ["kind"], "day", "value"), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES}, v AS (SELECT kind, list(value ORDER BY day) AS own, list(day ORDER BY day) AS days FROM series GROUP BY 1),
+    walk(kind, k, fixed) AS (SELECT kind, 1, own[1] FROM v UNION ALL
+        SELECT v.kind, k + 1, CASE WHEN own[k + 1] <= 1.5 * fixed THEN own[k + 1] ELSE (fixed + coalesce(list_filter(own[k + 2:], lambda x: x <= 1.5 * fixed)[1], fixed)) / 2 END FROM walk JOIN v ON walk.kind = v.kind WHERE k < len(own))
+    SELECT walk.kind, CAST(days[k] AS VARCHAR) AS day, round(own[k], 8) AS value, round(fixed, 8) AS corrected FROM walk JOIN v ON walk.kind = v.kind""")
 def corrected_series(spark, d):
     """A walk along each series."""
-    return timeseries.corrected(series(spark, d), ["kind"], "day", "value", "corrected")
+    got = timeseries.corrected(series(spark, d), ["kind"], "day", "value", "corrected")
+    return rounded(got.select("kind", F.col("day").cast("string").alias("day"), "value", "corrected"), 8)
 
 
 @query()
@@ -285,10 +329,12 @@ def smoothed_series(spark, d):
     return timeseries.smoothed(series(spark, d), ["kind"], "day", "value", "smooth")
 
 
-@query()
+@query(f"""WITH {SERIES}, k AS (SELECT kind, day, value, lead(day) OVER w AS after, lead(value) OVER w AS v1 FROM series WHERE n % 4 != 0 WINDOW w AS (PARTITION BY kind ORDER BY day)), e AS (SELECT * FROM k WHERE after - day > 1)
+    SELECT kind, CAST(CAST(unnest(generate_series(day + 1, after - 1, INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS day, round((value + v1) / 2, 5) AS value FROM e""")
 def series_gaps(spark, d):
-    """W24, J18."""
-    return timeseries.gaps(series(spark, d).where("n % 4 != 0"), ["kind"], "day", "value", 1)
+    """Missing days, each with the mean of the rows around."""
+    got = timeseries.gaps(series(spark, d).where("n % 4 != 0"), ["kind"], "day", "value", 1)
+    return rounded(got.select("kind", F.col("day").cast("string").alias("day"), "value"), 5)
 
 
 def _two(spark, d):
@@ -312,13 +358,16 @@ def ljung_box(spark, d):
     return timeseries.autocorrelations(series(spark, d), ["kind"], "day", "value", 2).select("kind", "lag", F.round("r", 5).alias("r"), F.round("q", 4).alias("q"))
 
 
-@query()
+@query(f"""WITH {SERIES}, r AS (SELECT kind, row_number() OVER w - 1 AS i, [value, lead(value, 1) OVER w, lead(value, 2) OVER w, lead(value, 3) OVER w, lead(value, 4) OVER w] AS v FROM series WINDOW w AS (PARTITION BY kind ORDER BY day)),
+    k AS (SELECT * FROM r WHERE v[5] IS NOT NULL), p AS (SELECT a.kind, a.i, b.i AS j, list_distance(a.v, b.v) AS d FROM k a JOIN k b ON a.kind = b.kind AND a.i < b.i), q AS (SELECT kind, quantile_cont(d, 0.1) AS radius FROM p GROUP BY 1)
+    SELECT p.kind, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(d, 5) AS d, d <= radius AS recurrent FROM p JOIN q ON p.kind = q.kind""")
 def recurrence_matrix(spark, d):
     """T4, C21, C22."""
     return rounded(timeseries.recurrences(series(spark, d), ["kind"], "day", "value"), 5)
 
 
-@query()
+@query(f"""WITH {SERIES}, r AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY day) - 1 AS k, count(*) OVER (PARTITION BY kind) AS n FROM series), p AS (SELECT kind, k % 7 AS place, avg(value) AS f FROM r GROUP BY 1, 2), e AS (SELECT DISTINCT kind, n FROM r)
+    SELECT e.kind, CAST(step AS INTEGER) AS step, round(f, 5) AS forecast FROM e CROSS JOIN generate_series(1, 14) g(step) JOIN p ON p.kind = e.kind AND p.place = (n - 1 + step) % 7""")
 def seasonal_forecasts(spark, d):
     """T10."""
     return rounded(timeseries.seasonal_forecast(series(spark, d), ["kind"], "day", "value", 7, 14), 5)

@@ -60,7 +60,20 @@ def rarefaction_curves(spark, d):
     return rounded(diversity.rarefaction(observations(spark, d), ["site"], "taxon", "density"), 5)
 
 
-@query()
+_DEPTHS = """t AS (SELECT *, CAST(sum(x) OVER (PARTITION BY site) AS BIGINT) AS a FROM x), m AS (SELECT least(min(a), 5000) AS d FROM t), depths AS (SELECT unnest(generate_series(CAST(1 AS BIGINT), (SELECT d FROM m), greatest((SELECT d FROM m) // 100, 1))) AS depth),
+    c AS (SELECT site, depth, sum(1 - CASE WHEN a - x >= depth THEN exp(lgamma(a - x + 1) + lgamma(a - depth + 1) - lgamma(a - x - depth + 1) - lgamma(a + 1)) ELSE 0 END) AS expected FROM t CROSS JOIN depths GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {OBS}, x AS (SELECT sample AS site, taxon, CAST(floor(sum(density)) AS BIGINT) AS x FROM obs GROUP BY 1, 2 HAVING floor(sum(density)) > 0), {_DEPTHS}
+    SELECT left(site, 3) AS treatment, depth, round(avg(expected), 5) AS expected, round(coalesce(stddev_samp(expected), 0), 5) AS sd, count(*) AS n FROM c GROUP BY 1, 2""")
+def rarefaction_means(spark, d):
+    """Mean curves of a treatment's samples."""
+    curves = diversity.rarefaction(observations(spark, d), ["sample"], "taxon", "density")
+    return rounded(diversity.mean_curves(curves.withColumn("treatment", F.substring("sample", 1, 3)), ["treatment"]), 5)
+
+
+@query(f"""WITH {OBS}, x AS (SELECT split_part(site, '.', 2) AS site, taxon, CAST(floor(sum(density)) AS BIGINT) AS x FROM obs GROUP BY 1, 2), {_DEPTHS}
+    SELECT site AS pool, depth, round(expected, 5) AS expected FROM c""")
 def rarefaction_pooled(spark, d):
     """Curves of pooled communities (all sites of a status together)."""
     pooled = observations(spark, d).withColumn("pool", F.split("site", r"\.")[1])
@@ -87,7 +100,15 @@ def functional_diversity(spark, d):
     return found.select("site", "richness", F.round("fdis", 5).alias("fdis"), F.round("rao_q", 6).alias("rao_q"))
 
 
-@query()
+@query(f"""WITH {OBS}, {_TRAITS}, x AS (SELECT sample AS site, taxon, sum(density) AS x FROM obs GROUP BY 1, 2), p AS (SELECT site, taxon, x / sum(x) OVER (PARTITION BY site) AS p FROM x WHERE x > 0),
+    g AS (SELECT max(t1) - min(t1) AS r1, max(t2) - min(t2) AS r2 FROM tr), h AS (SELECT p.site, p.taxon, p.p, t1, t2 FROM p JOIN tr USING (taxon)),
+    rao AS (SELECT a.site, sum(a.p * b.p * (abs(a.t1 - b.t1) / r1 + abs(a.t2 - b.t2) / r2) / 2) AS rao_q FROM h a JOIN h b ON a.site = b.site CROSS JOIN g GROUP BY 1),
+    c AS (SELECT site, sum(p * t1) AS c1, sum(p * t2) AS c2 FROM h GROUP BY 1),
+    f AS (SELECT h.site, count(*) AS richness, sum(p * sqrt((t1 - c1) * (t1 - c1) + (t2 - c2) * (t2 - c2))) AS fdis FROM h JOIN c ON h.site = c.site GROUP BY 1),
+    y AS (SELECT f.site AS sample, richness, fdis, rao_q, split_part(f.site, '.', 3) AS year FROM f JOIN rao ON f.site = rao.site)
+    SELECT sample, richness, round(fdis, 5) AS fdis, round(rao_q, 5) AS rao_q, year, round(
+        CASE WHEN max(richness) OVER w > min(richness) OVER w THEN (richness - min(richness) OVER w) / (max(richness) OVER w - min(richness) OVER w) ELSE 0 END
+        - CASE WHEN max(rao_q) OVER w > min(rao_q) OVER w THEN (rao_q - min(rao_q) OVER w) / (max(rao_q) OVER w - min(rao_q) OVER w) ELSE 0 END, 5) AS redundancy FROM y WINDOW w AS (PARTITION BY year)""")
 def functional_redundancy(spark, d):
     """G23, W10."""
     weights = diversity.community(observations(spark, d), ["sample"], "taxon", "density")

@@ -123,10 +123,11 @@ def streamed_intervals(spark, d):
     return got.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("start"), "n", F.round("sum", 4).alias("sum"))
 
 
-@query()
+@query("""SELECT event_type, strftime(CAST(CAST(ts AS DATE) + CAST(k AS INTEGER) AS DATE), '%Y-%m-%d') AS end, round(avg(value), 6) AS mean, count(*) AS n FROM events CROSS JOIN generate_series(1, 3) g(k) GROUP BY 1, 2""")
 def streamed_trailing_means(spark, d):
-    """Z2."""
-    return stream.run_once(stream.trailing(_events(spark, d), ["event_type"], "ts", "value", "3 days", "1 day", "30 days"), *_folders(spark, "trailing"))
+    """Means of three days up to each."""
+    got = stream.run_once(stream.trailing(_events(spark, d), ["event_type"], "ts", "value", "3 days", "1 day", "30 days"), *_folders(spark, "trailing"))
+    return got.select("event_type", F.date_format("end", "yyyy-MM-dd").alias("end"), F.round("mean", 6).alias("mean"), "n")
 
 
 @query("""
@@ -153,9 +154,13 @@ def streamed_last_rows(spark, d):
     return got.select("user_id", "event_type", F.to_date("ts").cast("string").alias("day"), "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT event_type AS key, list(value ORDER BY ts, value) AS own FROM events GROUP BY 1),
+    walk(key, k, fixed) AS (SELECT key, 1, own[1] FROM v UNION ALL
+        SELECT v.key, k + 1, CASE WHEN own[k + 1] <= 1.5 * fixed THEN own[k + 1] ELSE (fixed + coalesce(list_filter(own[k + 2:], lambda x: x <= 1.5 * fixed)[1], fixed)) / 2 END FROM walk JOIN v ON walk.key = v.key WHERE k < len(own))
+    SELECT walk.key, CAST(k - 1 AS BIGINT) AS nth, own[k] AS v, fixed AS corrected FROM walk JOIN v ON walk.key = v.key""")
 def streamed_corrections(spark, d):
     """Z3: state carried along each type's values; of each place, what is known at the end."""
     rows, state = _folders(spark, "corrections")
     stream.run_to_parquet(stream.corrected(_events(spark, d), "event_type", "ts", "value"), rows, state)
-    return stream.latest(spark.read.schema(stream.CORRECTED).parquet(rows))
+    got = stream.latest(spark.read.schema(stream.CORRECTED).parquet(rows))
+    return got.select("key", "nth", "v", "corrected")
