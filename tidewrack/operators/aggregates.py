@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tidewrack.functions.measures import size_class
+from tidewrack.operators.windows import quantiles, with_key
 
 
 def numeric_columns(df: DataFrame, but: Sequence[str] = ()) -> list[str]:
@@ -60,14 +61,15 @@ def mode_of(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def quartiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact quartiles by linear interpolation, and the interquartile range."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(df, keys, value, [0.25, 0.5, 0.75])
     return q.select(*keys, *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("iqr"))
 
 
 def mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median and median absolute deviation per key; the median is joined, not windowed, so that no key needs one task."""
-    centre = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    return df.join(centre, list(keys)).groupBy(*keys).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    """Median and median absolute deviation per key, both from dealt counts, so that no key needs one task."""
+    centre = quantiles(df, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("median"))
+    away = with_key(df.select(*keys, value), centre, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("away__"))
+    return with_key(centre, quantiles(away, keys, "away__", [0.5]).select(*keys, F.col("q")[0].alias("mad")), keys)
 
 
 def shape(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.measures import ratio
 from tidewrack.functions.special import chi2_p_value, f_p_value, t_p_value, t_two_sided
-from tidewrack.operators.windows import running_total
+from tidewrack.operators.windows import counted_upto, quantiles, running_total
 
 
 def simple_regression(df: DataFrame, keys: Sequence[str], x: str, y: str, p_values: bool = True) -> DataFrame:
@@ -230,29 +230,13 @@ def levene(df: DataFrame, group: str, value: str, trim: float | None = None) ->
     return one_way(v.join(centres, group).select(group, F.abs(F.col(value) - F.col("m__")).alias("deviation")), group, "deviation")
 
 
-def _upto(v: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value, t, upto, n): rows of each distinct value, rows up to it in its group, and the group's rows. Ranges of
-    values are dealt out, so that no group has to fit into a task."""
-    counted = v.groupBy(group, value).agg(F.count("*").alias("t"))
-    cuts = v.agg(F.percentile_approx(value, F.array(*(F.lit(i / 200) for i in range(1, 200))), F.lit(10_000)).alias("cuts__"))
-    dealt = counted.crossJoin(F.broadcast(cuts)).withColumn("part__", F.size(F.filter("cuts__", lambda c: c < F.col(value)))).drop("cuts__")  # one row
-    sums = dealt.groupBy(group, "part__").agg(F.sum("t").alias("own__"))
-    ahead = Window.partitionBy(group).orderBy("part__")  # a row for each range
-    starts = sums.select(group, "part__", (F.sum("own__").over(ahead) - F.col("own__")).alias("before__"), F.sum("own__").over(Window.partitionBy(group)).alias("n"))
-    inside = F.sum("t").over(Window.partitionBy(group, "part__").orderBy(value))
-    return dealt.withColumn("upto", inside).join(starts, [group, "part__"]).withColumn("upto", F.col("upto") + F.col("before__")).drop("part__", "before__")
-
-
 def group_medians(v: DataFrame, group: str, value: str) -> DataFrame:
     """(group, m__): exact medians from counts of distinct values."""
-    told = _upto(v, group, value)
-    first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("t") < k)
-    return told.groupBy(group).agg(((F.max(F.when(holds(first), F.col(value))) + F.max(F.when(holds(second), F.col(value)))) / 2).alias("m__"))
+    return quantiles(v, [group], value, [0.5]).select(group, F.col("q")[0].alias("m__"))
 
 
 def _trimmed_means(v: DataFrame, group: str, value: str, trim: float) -> DataFrame:
-    told = _upto(v, group, value)
+    told = counted_upto(v, [group], value)
     k = F.floor(F.col("n") * trim)
     kept = F.greatest(F.lit(0), F.least("upto", F.col("n") - k) - F.greatest(F.col("upto") - F.col("t"), k))
     return told.groupBy(group).agg((F.sum(kept * F.col(value)) / F.sum(kept)).alias("m__"))

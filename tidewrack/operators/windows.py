@@ -3,8 +3,10 @@ totals over all rows are one-row aggregates that are broadcast."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,27 +79,97 @@ def z_score(value: str, keys: Sequence[str], constant: float | None = 0.0) -> Co
     return z if constant is None else F.when(F.col(value).isNotNull(), F.coalesce(z, F.lit(constant)))
 
 
+def counted_upto(df: DataFrame, keys: Sequence[str], value: str, parts: int = 200) -> DataFrame:
+    """(keys..., value, t, upto, n): rows of each distinct value of a key, rows up to it, and all of the key's rows.
+
+    Values are dealt to ranges and counted there; ranges go on from those before. So a key of any size is many tasks.
+    """
+    v = df.where(F.col(value).isNotNull()).select(*keys, value)
+    cuts = v.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(1000))).first()[0] or []  # a number for each range
+    counted = v.groupBy(*keys, value).agg(F.count("*").alias("t"))
+    splits = [-math.inf, *sorted({c for c in cuts if math.isfinite(c)}), math.inf]
+    dealt = Bucketizer(splits=splits, inputCol="at__", outputCol="part__").transform(counted.withColumn("at__", F.col(value).cast("double"))).drop("at__")
+    names = [f"key{i}__" for i in range(len(keys))]  # null keys meet too
+    sums = dealt.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("part__").alias("at__")).agg(F.sum("t").alias("own__"))
+    ahead = Window.partitionBy(*names).orderBy("at__")  # a row for each range
+    starts = sums.select(*names, "at__", (F.sum("own__").over(ahead) - F.col("own__")).alias("before__"), F.sum("own__").over(Window.partitionBy(*names)).alias("n"))
+    inside = F.sum("t").over(Window.partitionBy(*keys, "part__").orderBy(value))
+    same = F.col("part__") == F.col("at__")
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return dealt.withColumn("upto", inside).join(starts, same).withColumn("upto", F.col("upto") + F.col("before__")).select(*keys, value, "t", "upto", "n")
+
+
+#: Rank error of the sketch that tells where a quantile lies, as a share of a key's rows.
+SKETCH = 1 / 5000
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], name: str = "q") -> DataFrame:
+    """(keys..., name): exact quantiles of each key by linear interpolation, as an array.
+
+    A sketch with a bound on its error tells between which values each quantile lies. A second pass counts what is below
+    and keeps only distinct values in between, a few ten-thousandths of a key's rows, whose ranks are then exact.
+    """
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("own__"))
+    near = [min(1.0, max(0.0, share + off)) for share in shares for off in (-2 * SKETCH, 2 * SKETCH)]
+    ends = v.groupBy(*keys).agg(F.percentile_approx("own__", F.array(*(F.lit(p) for p in near)), F.lit(round(1 / SKETCH))).alias("ends__"), F.count("*").alias("n__"))
+    told = with_key(v, ends, keys)
+    # a row goes with a quantile as itself if it is in between, as a count if it is below
+    few = F.col("n__") < round(10 / SKETCH)  # all values of a small key are kept: its ranks are closer than the sketch's error
+    ways = F.array(*(F.when(few | (F.col("own__") <= F.col("ends__")[2 * i + 1]), F.struct(F.lit(i).alias("of"), F.when(few | (F.col("own__") >= F.col("ends__")[2 * i]), F.col("own__")).alias("v"))) for i in range(len(shares))))
+    rows = told.select(*keys, "n__", F.explode(F.array_compact(ways)).alias("w__")).groupBy(*keys, "n__", F.col("w__.of").alias("which__"), F.col("w__.v").alias("own__")).agg(F.count("*").alias("t__"))
+    ahead = Window.partitionBy(*keys, "which__").orderBy(F.col("own__").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("upto__", F.sum("t__").over(ahead)).where(F.col("own__").isNotNull())
+    made = []
+    for i, share in enumerate(shares):
+        place = share * (F.col("n__") - 1)
+        holds = lambda k, i=i: (F.col("which__") == i) & (F.col("upto__") > k) & (F.col("upto__") - F.col("t__") <= k)
+        low, high = (F.max(F.when(holds(f(place)), F.col("own__"))) for f in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        made.append(F.when(part == 0, low).otherwise(low + (high - low) * part))
+    return ranked.groupBy(*keys).agg(F.array(*made).alias(name))
+
+
+def with_key(df: DataFrame, told: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with what is told of its key; null keys meet, and without keys the one row meets all."""
+    if not keys:
+        return df.crossJoin(F.broadcast(told))  # one row
+    renamed = told.withColumnsRenamed({k: f"{k}__key" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__key"))
+    return df.join(renamed, same, "left").drop(*(f"{k}__key" for k in keys))
+
+
 def outlier_scores(df: DataFrame, keys: Sequence[str], values: Sequence[str], method: str) -> DataFrame:
     """``df`` with a score z_<value> for each value: robust z by the median deviation, z, or distance in interquartile
     ranges beyond the quartiles. Keys with fewer than three values score 0."""
-    centre = df.groupBy(*keys).agg(
-        *(F.median(v).alias(f"{v}__m") for v in values), *(F.avg(v).alias(f"{v}__a") for v in values), *(F.stddev_pop(v).alias(f"{v}__s") for v in values),
-        *(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{v}__q") for v in values), *(F.count(v).alias(f"{v}__n") for v in values),
-    )
-    told = df.join(centre, list(keys))
+    moments = df.groupBy(*keys).agg(*(F.avg(v).alias(f"{v}__a") for v in values), *(F.stddev_pop(v).alias(f"{v}__s") for v in values), *(F.count(v).alias(f"{v}__n") for v in values))
+    centre = moments
+    long = [*keys, "of__"]
+
+    def wide(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
+        return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("of__") == v, c)).alias(f"{v}__{n}") for v in values for n, c in made.items()))
+
+    if method != "zscore":  # all columns below each other, so that one pass has all of their quantiles
+        stacked = df.select(*keys, *(F.col(v).cast("double").alias(v) for v in values)).unpivot(list(keys), list(values), "of__", "v__")
+        shares = [0.5] if method == "mad" else [0.25, 0.75]
+        found = quantiles(stacked, long, "v__", shares)
+        centre = with_key(centre, wide(found, {"m": F.col("q")[0]} if method == "mad" else {"lo": F.col("q")[0], "hi": F.col("q")[1]}), keys)
     if method == "mad":
-        spread = told.groupBy(*keys).agg(*(F.median(F.abs(F.col(v) - F.col(f"{v}__m"))).alias(f"{v}__d") for v in values))
-        told = told.join(spread, list(keys))
+        away = with_key(stacked, found, long).select(*long, F.abs(F.col("v__") - F.col("q")[0]).alias("v__"))
+        centre = with_key(centre, wide(quantiles(away, long, "v__", [0.5]), {"d": F.col("q")[0]}), keys)
+    told = with_key(df, centre, keys)
     out = []
     for v in values:
-        c, m, s = F.col(v), F.col(f"{v}__m"), F.col(f"{v}__s")
+        c, s = F.col(v), F.col(f"{v}__s")
         if method == "mad":
             d = F.col(f"{v}__d")
-            z = 0.6745 * ratio(c - m, F.when(d > 0, d).otherwise(s))
+            z = 0.6745 * ratio(c - F.col(f"{v}__m"), F.when(d > 0, d).otherwise(s))
         elif method == "zscore":
             z = ratio(c - F.col(f"{v}__a"), s)
         else:
-            lo, hi = F.get(f"{v}__q", F.lit(0)), F.get(f"{v}__q", F.lit(1))
+            lo, hi = F.col(f"{v}__lo"), F.col(f"{v}__hi")
             z = ratio(F.greatest(lo - c, c - hi, F.lit(0.0)), hi - lo)
         out.append(F.when(F.col(f"{v}__n") < 3, 0.0).otherwise(F.coalesce(F.abs(z), F.lit(0.0))).alias(f"z_{v}"))
     return told.select(*df.columns, *out)
@@ -114,8 +186,9 @@ def flagged(df: DataFrame, values: Sequence[str], threshold: float, rule: str =
 
 def iqr_report(df: DataFrame, values: Sequence[str], k: float = 1.5) -> DataFrame:
     """``df`` with the names of the columns that lie beyond k interquartile ranges, for the whole table."""
-    q = df.agg(*(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{v}__q") for v in values))
-    told = df.crossJoin(F.broadcast(q))  # one row
+    told = df
+    for v in values:
+        told = with_key(told, quantiles(df, [], v, [0.25, 0.75], f"{v}__q"), [])
     names = []
     for v in values:
         lo, hi = F.get(f"{v}__q", F.lit(0)), F.get(f"{v}__q", F.lit(1))
@@ -131,7 +204,7 @@ def within_sds(df: DataFrame, value: str, k: float = 3.0) -> DataFrame:
 
 def clipped(df: DataFrame, value: str, q: float) -> DataFrame:
     """Values above a quantile of all rows set to it."""
-    top = df.agg(F.percentile(value, F.lit(q)).alias("q__"))
+    top = quantiles(df, [], value, [q]).select(F.col("q")[0].alias("q__"))
     return df.crossJoin(F.broadcast(top)).withColumn(value, F.least(value, "q__")).drop("q__")  # one row
 
 
