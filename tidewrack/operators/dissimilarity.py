@@ -45,6 +45,28 @@ def morisita_horn(table: DataFrame, site: str, taxon: str, x: str, empty: float
     return t.select("i", "j", (c if empty is None else F.coalesce(c, F.lit(empty))).alias("similarity"))
 
 
+def by_name(table: DataFrame, site: str, taxon: str, x: str, metric: str) -> DataFrame:
+    """(i, j, d) for i < j by a metric's name: braycurtis, manhattan, canberra, jaccard and sorensen (of presences), cosine
+    or euclidean. Pairs meet on shared taxa; what one of them has alone comes from its totals. Null where it isn't defined."""
+    own = table.where(F.col(x) != 0).groupBy(site, taxon).agg(F.sum(x).alias("x__"))
+    a = own.select(F.col(site).alias("i"), taxon, F.col("x__").alias("xi"))
+    b = own.select(F.col(site).alias("j"), taxon, F.col("x__").alias("xj"))
+    gap = F.abs(F.col("xi") - F.col("xj"))
+    shared = a.join(b, taxon).where("i < j").groupBy("i", "j").agg(F.sum(F.least("xi", "xj")).alias("least"), F.sum(F.col("xi") * F.col("xj")).alias("product"), F.count("*").alias("both"), F.sum(ratio(gap, F.col("xi") + F.col("xj"))).alias("gaps"))
+    totals = own.groupBy(site).agg(F.sum("x__").alias("s__"), F.sum(F.col("x__") * F.col("x__")).alias("q__"), F.count("*").alias("n__"))
+    one, two = (totals.select(F.col(site).alias(k), *(F.col(f"{c}__").alias(f"{c}{k}") for c in "sqn")) for k in "ij")
+    pairs = one.join(two, F.col("i") < F.col("j")).join(shared, ["i", "j"], "left").na.fill(0, ["least", "product", "both", "gaps"])
+    c = F.col
+    told = {
+        "braycurtis": 1 - ratio(2 * c("least"), c("si") + c("sj")), "manhattan": c("si") + c("sj") - 2 * c("least"), "canberra": c("gaps") + c("ni") + c("nj") - 2 * c("both"),
+        "jaccard": 1 - ratio(c("both"), c("ni") + c("nj") - c("both")), "sorensen": 1 - ratio(2 * c("both"), c("ni") + c("nj")),
+        "cosine": 1 - ratio(c("product"), F.sqrt(c("qi") * c("qj"))), "euclidean": F.sqrt(F.greatest(F.lit(0.0), c("qi") + c("qj") - 2 * c("product"))),
+    }
+    if metric not in told:
+        raise ValueError(f"no metric {metric}")
+    return pairs.select("i", "j", told[metric].cast("double").alias("d"))
+
+
 def euclidean(table: DataFrame, site: str, values: Sequence[str]) -> DataFrame:
     """(i, j, d) for i < j over wide rows of one site each."""
     a = table.select(F.col(site).alias("i"), *(F.col(v).alias(f"{v}_i") for v in values))

@@ -110,3 +110,21 @@ def varying(df: DataFrame, factors: Sequence[str]) -> list[str]:
 
 def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
+
+
+def known_depth(depth: str, least: float = -999_999_999) -> Column:
+    """Rows with a depth: any at or above the least, which null isn't."""
+    return F.coalesce(F.col(depth) >= least, F.lit(False))
+
+
+def convertible_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, share): of each column's values that aren't null, how many are numbers; null for a column without any."""
+    names = list(df.columns if columns is None else columns)
+    made = df.agg(*((F.try_divide(F.count(to_number(F.col(c).cast("string"))), F.count(c))).alias(c) for c in names)).withColumn("__", F.lit(0))
+    return made.unpivot(["__"], names, "column", "share").drop("__")
+
+
+def mostly_numbers(df: DataFrame, least: float = 0.5) -> list[str]:
+    """Columns of which at least that share is convertible."""
+    told = {r["column"]: r["share"] for r in convertible_shares(df).collect()}
+    return [c for c in df.columns if told[c] is not None and told[c] >= least]

@@ -8,9 +8,11 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,23 @@ def cross_validated(df: DataFrame, columns: Sequence[str], models: dict[str, obj
     return out
 
 
+def grid_search(df: DataFrame, columns: Sequence[str], model, grid: dict[str, Sequence], target: str, k: int = 5, metric: str = "rmse") -> tuple[PipelineModel, list[tuple[dict, float]]]:
+    """(the best model fitted to all rows, each setting with its mean over folds). ``grid`` has the model's parameters by name;
+    folds are the column ``fold`` (``folds``), so that all settings see the same ones and reruns agree."""
+    builder = ParamGridBuilder()
+    for name, values in grid.items():
+        builder = builder.addGrid(model.getParam(name), list(values))
+    settings = builder.build()
+    search = CrossValidator(estimator=_pipeline(columns, model), estimatorParamMaps=settings, evaluator=RegressionEvaluator(labelCol=target, metricName=metric), numFolds=k, foldCol="fold", parallelism=4)
+    found = search.fit(df)
+    return found.bestModel, [({p.name: v for p, v in s.items()}, float(m)) for s, m in zip(settings, found.avgMetrics)]
+
+
+def forest_importance(model: PipelineModel, columns: Sequence[str]) -> list[tuple[str, float]]:
+    """(variable, importance) of a fitted forest, how much its splits lower the variance, largest first."""
+    return sorted(zip(columns, map(float, model.stages[-1].featureImportances.toArray())), key=lambda r: (-r[1], r[0]))
+
+
 def observed_and_predicted(model: PipelineModel, df: DataFrame, ids: Sequence[str], target: str) -> DataFrame:
     """(ids..., kind, value), observed and predicted values one below the other."""
     told = model.transform(df).select(*ids, F.col(target).cast("double").alias("observed"), F.col("prediction").alias("predicted"))

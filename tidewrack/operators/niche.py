@@ -123,3 +123,14 @@ def null_model(df: DataFrame, site: str, taxon: str, x: str, y: str, runs: int =
     told = made.agg(seen.alias("observed"), F.avg(null).alias("mean"), F.stddev_samp(null).alias("sd"), F.sort_array(F.collect_list(null)).alias("all"))  # one number for each run
     left, right = F.size(F.filter("all", lambda v: v <= F.col("observed"))), F.size(F.filter("all", lambda v: v >= F.col("observed")))
     return told.select("observed", "mean", "sd", ratio(F.col("observed") - F.col("mean"), F.col("sd")).alias("ses"), ((left + 1) / (runs + 1)).alias("p_left"), ((right + 1) / (runs + 1)).alias("p_right"), F.size("all").alias("runs"))
+
+
+def taxa_in_classes(curves: DataFrame, counts: DataFrame, taxon: str, size_class: str, density: str, least: int = 3) -> DataFrame:
+    """(taxon, size_class, xmin, xmax, log_density) of taxa with an interval (optimum -/+ half a tolerance, not empty) and a
+    density, in classes of at least ``least`` taxa. ``curves`` has optimum and tolerance."""
+    half = F.col("tolerance") / 2
+    told = curves.select(taxon, F.col(size_class).cast("string").alias(size_class), (F.col("optimum") - half).alias("xmin"), (F.col("optimum") + half).alias("xmax")).where("xmax > xmin")
+    totals = counts.groupBy(taxon).agg(F.ln(F.sum(density) + 1).alias("log_density")).where(F.col("log_density").isNotNull())
+    met = told.join(totals, taxon)
+    large = met.groupBy(size_class).agg(F.count_distinct(taxon).alias("n__")).where(F.col("n__") >= least).select(size_class)
+    return met.join(large, size_class, "left_semi").select(taxon, size_class, "xmin", "xmax", "log_density")

@@ -216,6 +216,35 @@ def correspondence_axes(table: DataFrame, environment: DataFrame, site: str, tax
     return {"inertia": float(inertia), "constrained": float(axes.sum()), "axes": [float(a) for a in axes]}
 
 
+def correspondence_scores(table: DataFrame, environment: DataFrame, site: str, taxon: str, x: str, xs: Sequence[str], axes: int = 2) -> tuple[DataFrame, DataFrame, list[float], list[tuple]]:
+    """(site scores, taxon scores, the axes' inertia, loadings) of a CCA. Site scores are weighted sums of the environment
+    (linear constraints), of unit variance under the sites' weights; a taxon's are in proportion to the mean of those
+    of its sites; loadings are weighted correlations of variables with the axes. Of each axis the largest loading is positive.
+    """
+    cells = table.groupBy(site, taxon).agg(F.sum(x).alias("x")).where("x > 0")
+    env = environment.select(site, *(F.col(v).cast("double").alias(f"e{i}") for i, v in enumerate(xs))).na.drop()
+    k, total = len(xs), cells.join(env, site, "left_semi").agg(F.sum("x")).first()[0]
+    sites = cells.groupBy(site).agg((F.sum("x") / total).alias("r")).join(env, site)
+    row = sites.agg(*(F.sum(F.col("r") * F.col(f"e{i}")) for i in range(k)), *(F.sum(F.col("r") * F.col(f"e{i}") * F.col(f"e{j}")) for i in range(k) for j in range(k))).first()
+    mean = np.array(row[:k], float)
+    sxx = np.array(row[k:], float).reshape(k, k) - np.outer(mean, mean)
+    told = cells.join(env, site)
+    taxa = told.groupBy(taxon).agg((F.sum("x") / total).alias("c"), *(F.sum(F.col("x") / total * (F.col(f"e{i}") - float(mean[i]))).alias(f"s{i}") for i in range(k)))
+    flat = taxa.agg(*(F.sum(F.col(f"s{i}") * F.col(f"s{j}") / F.col("c")) for i in range(k) for j in range(k))).first()
+    values, vectors = np.linalg.eigh(sxx)
+    good = values > 1e-12 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good]) @ vectors[:, good].T
+    inertia, turned = np.linalg.eigh(root @ np.array(flat, float).reshape(k, k) @ root)
+    inertia, turned = np.clip(inertia[::-1], 0, None)[:axes], turned[:, ::-1][:, :axes]
+    weights = root @ turned
+    loadings = np.diag(1 / np.sqrt(np.maximum(np.diag(sxx), 1e-300))) @ sxx @ weights
+    sign = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
+    weights, loadings = weights * sign, loadings * sign
+    lc = [sum((float(w) * (F.col(f"e{i}") - float(mean[i])) for i, w in enumerate(weights[:, a])), F.lit(0.0)).alias(f"cca{a + 1}") for a in range(weights.shape[1])]
+    species = [(sum((float(w) * F.col(f"s{i}") for i, w in enumerate(weights[:, a])), F.lit(0.0)) / F.col("c") / float(max(np.sqrt(inertia[a]), 1e-150))).alias(f"cca{a + 1}") for a in range(weights.shape[1])]
+    return sites.select(site, "r", *lc), taxa.select(taxon, "c", *species), [float(v) for v in inertia], [(v, *map(float, row)) for v, row in zip(xs, loadings)]
+
+
 def _square(pairs: DataFrame) -> tuple[list, np.ndarray]:
     """A distance table as names and matrix."""
     many = pairs.select(F.col("i").alias("s")).union(pairs.select("j")).distinct()

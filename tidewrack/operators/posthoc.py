@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.functions.measures import box_cox, ratio, yeo_johnson
+from tidewrack.functions.measures import box_cox, ratio, shifted_log, yeo_johnson
 from tidewrack.functions.special import chi2_upper, f_upper, studentized_range_upper, t_quantile, t_two_sided
 from tidewrack.operators.statistics import Fit, least_squares
 from tidewrack.operators.windows import running_total, running_totals
@@ -183,6 +183,30 @@ def least_skewed(df: DataFrame, value: str) -> list[tuple[str, float]]:
     return sorted(((k, float(row[k])) for k in made if row[k] is not None), key=lambda r: (r[1], r[0]))
 
 
+def candidates(df: DataFrame, value: str) -> dict[str, Column]:
+    """Transforms to choose from: as it is, logarithms shifted or of one more, roots, Box and Cox's power, and z."""
+    x = F.col(value).cast("double")
+    low, mean, sd = df.agg(F.min(x), F.avg(x), F.stddev_samp(x)).first()
+    more = F.when(x > -1, F.log1p(x))
+    told = {"raw": x, "log_shift": shifted_log(x, F.lit(low)), "log1p": more, "log10_shift": shifted_log(x, F.lit(low)) / math.log(10), "log10p": more / math.log(10), "sqrt": F.when(x >= 0, F.sqrt(x)), "sqrt_shift": F.sqrt(x if low is not None and low >= 0 else x - (low or 0.0)), "cube_root": F.cbrt(x)}
+    if low is not None and low > 0:
+        told["box_cox"] = box_cox(x, box_cox_lambda(df, value))
+    if sd:
+        told["z"] = (x - mean) / sd
+    return told
+
+
+def most_normal(df: DataFrame, value: str, ids: Sequence[str]) -> DataFrame:
+    """(transform, p, skewness, nth): candidates by the p of Shapiro and Wilk's test, the largest first, then by the size of
+    their skewness. The test is of at most 5000 rows, the same for all, chosen by a hash of ``ids``."""
+    made = candidates(df, value)
+    long = df.select(*ids, *(c.alias(k) for k, c in made.items())).unpivot(list(ids), list(made), "transform", "v")
+    skew = long.groupBy("transform").agg(F.abs(F.skewness("v")).alias("skewness"), F.count("v").alias("n"))
+    told = shapiro(long, ["transform"], "v", ids).select("transform", "p").join(skew, "transform")
+    told = told.select("transform", F.when((F.col("n") < 5) | F.isnan("p"), 0.0).otherwise(F.col("p")).alias("p"), F.coalesce("skewness", F.lit(math.inf)).alias("skewness"))
+    return told.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("p"), "skewness", "transform")))  # a row for each candidate
+
+
 def decomposed(df: DataFrame, keys: Sequence[str], order: str, value: str, period: int) -> DataFrame:
     """``df`` with trend (centred moving average over a period), season (mean departure at each place in it) and rest."""
     w = Window.partitionBy(*keys).orderBy(order)

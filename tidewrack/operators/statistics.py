@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.measures import ratio
-from tidewrack.functions.special import chi2_p_value, f_p_value, t_p_value, t_two_sided
+from tidewrack.functions.special import chi2_p_value, f_p_value, t_p_value, t_quantile, t_two_sided
 from tidewrack.operators.windows import counted_upto, quantiles, running_total
 
 
@@ -35,6 +36,26 @@ def power_law(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return fit.withColumn("se_slope", F.sqrt(ratio(F.col("variance"), F.col("sxx")))).drop("syy")
 
 
+def power_band(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int = 101, alpha: float = 0.05) -> DataFrame:
+    """(keys..., x, fit, se, low, high): ``power_law`` at equal steps from the least to the largest x, the error of its mean
+    (of the logarithm) and the limits of the mean."""
+    fit = power_law(df, keys, x, y)
+    ends = df.where((F.col(x) > 0) & (F.col(y) > 0)).groupBy(*keys).agg(F.min(x).alias("lo__"), F.max(x).alias("hi__"))
+    told = fit.join(ends, list(keys)) if keys else fit.crossJoin(F.broadcast(ends))  # one row
+    told = told.withColumn("at__", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    told = told.withColumn("x", F.col("lo__") + (F.col("hi__") - F.col("lo__")) * F.col("at__") / (points - 1))
+    mean = F.col("intercept") + F.col("slope") * F.ln("x")
+    se = F.sqrt(F.col("variance") * (1 / F.col("n") + F.pow(F.ln("x") - F.col("mean_lx"), F.lit(2.0)) / F.col("sxx")))
+
+    @F.pandas_udf("double")
+    def quantile(df: pd.Series) -> pd.Series:
+        told = {int(v): t_quantile(1 - alpha / 2, int(v)) for v in df.unique() if v > 0}
+        return df.map(lambda v: told.get(int(v), math.nan))
+
+    t = quantile(F.col("n") - 2)
+    return told.select(*keys, "x", F.exp(mean).alias("fit"), se.alias("se"), F.exp(mean - t * se).alias("low"), F.exp(mean + t * se).alias("high"))
+
+
 def correlations(df: DataFrame, keys: Sequence[str], xs: Sequence[str], ys: Sequence[str], p_values: bool = False) -> DataFrame:
     """(keys..., x, y, r, n) of each pair of columns, over rows that have both; one pass over the table."""
     pairs = [(x, y) for x in xs for y in ys if x != y]
@@ -213,6 +234,33 @@ def selected(df: DataFrame, columns: Sequence[str], y: str, by: str = "aic", p_o
     return [columns[i - 1] for i in left]
 
 
+def penalised(df: DataFrame, columns: Sequence[str], y: str, alpha: float, kind: str = "ridge", standardise: bool = True, rounds: int = 10_000) -> dict[str, float]:
+    """Coefficients with a penalty: ``ridge`` adds alpha times their squares to the sum of squares, ``lasso`` alpha times their
+    sizes to half the mean of squares. Columns are centred, and scaled by their population deviation if asked. One pass
+    over the rows; the rest is on the columns' products."""
+    xx, xy, n, _, sy = _gram(df, {c: F.col(c) for c in columns} | {"(intercept)": F.lit(1)}, y)
+    k = len(columns)
+    means = xx[:k, k] / max(n, 1)
+    m, v = xx[:k, :k] - n * np.outer(means, means), xy[:k] - means * sy
+    sd = np.sqrt(np.maximum(np.diag(m) / max(n, 1), 0)) if standardise else np.ones(k)
+    sd = np.where(sd > 0, sd, 1.0)
+    m, v = m / np.outer(sd, sd), v / sd
+    if kind == "ridge":
+        return dict(zip(columns, map(float, np.linalg.solve(m + alpha * np.eye(k), v))))
+    if kind != "lasso":
+        raise ValueError(f"kind is ridge or lasso, not {kind}")
+    b = np.zeros(k)
+    for _ in range(rounds):
+        before = b.copy()
+        for j in range(k):
+            if m[j, j] > 0:
+                free = v[j] - m[j] @ b + m[j, j] * b[j]
+                b[j] = np.sign(free) * max(0.0, abs(free) - n * alpha) / m[j, j]
+        if np.abs(b - before).max() <= 1e-12 * max(1.0, np.abs(b).max()):
+            break
+    return dict(zip(columns, map(float, b)))
+
+
 def one_way(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row (f, df1, df2, p) of a one-way analysis of variance, from each group's moments."""
     g = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count("*")).alias("ss"))

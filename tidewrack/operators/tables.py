@@ -165,3 +165,11 @@ def powers(names: Sequence[str], degree: int) -> list[Column]:
 def one_hot(c: str, levels: Sequence[str]) -> list[Column]:
     """0/1 columns for all levels but the first."""
     return [F.when(F.col(c) == level, 1).otherwise(0).alias(f"{c}_{level}") for level in levels[1:]]
+
+
+def matched_by_part(files: DataFrame, name: str, others: DataFrame, other: str, pattern: str, must_contain: str = "") -> DataFrame:
+    """(name, other): for each name the first other, in order, that has the same part (the pattern's first group) and
+    contains a text; null where none does. Parts are taken out of both, so that names meet by an equi-join."""
+    part = lambda c: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    found = others.where(F.col(other).contains(must_contain)).groupBy(part(other).alias("part__")).agg(F.min(other).alias(other))
+    return files.select(name, part(name).alias("part__")).join(found, "part__", "left").select(name, other)

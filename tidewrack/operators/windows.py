@@ -141,6 +141,12 @@ def with_key(df: DataFrame, told: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(renamed, same, "left").drop(*(f"{k}__key" for k in keys))
 
 
+def robust_scaled(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """``df`` with each value less its key's median, over the interquartile range; null where that is zero."""
+    told = with_key(df, quantiles(df, keys, value, [0.25, 0.5, 0.75], "q__"), keys)
+    return told.withColumn(name, ratio(F.col(value) - F.col("q__")[1], F.col("q__")[2] - F.col("q__")[0])).drop("q__")
+
+
 def outlier_scores(df: DataFrame, keys: Sequence[str], values: Sequence[str], method: str) -> DataFrame:
     """``df`` with a score z_<value> for each value: robust z by the median deviation, z, or distance in interquartile
     ranges beyond the quartiles. Keys with fewer than three values score 0."""

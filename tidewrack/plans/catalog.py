@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewrack.plans import analysis, ecology, inference, library, models, ordination, relational  # noqa: F401  they register their queries
+from tidewrack.plans import analysis, ecology, inference, library, models, ordination, relational, selection  # noqa: F401  they register their queries
 from tidewrack.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "diversity_indices"

@@ -101,6 +101,18 @@ def roles(spark: SparkSession, path: str, row: int) -> dict[str, str]:
     return {c.strip(): r.strip() for c, r in zip(lines[0].split(sep), lines[row].split(sep)) if r.strip()}
 
 
+def columns_with_role(table: DataFrame, role: str, skip: Sequence[int] = (), index: str = "row") -> list[str]:
+    """Columns that have a role in the first row of a role table, in order of ``index``, that has it at all; rows in ``skip`` are
+    not looked at. Case and blanks don't matter."""
+    names = [c for c in table.columns if c != index]
+    has = [F.upper(F.trim(F.col(c).cast("string"))) == role.upper() for c in names]
+    some = F.lit(False)
+    for c in has:
+        some = some | F.coalesce(c, F.lit(False))
+    first = table.where(some & ~F.col(index).isin(list(skip))).orderBy(index).select(*(F.coalesce(c, F.lit(False)).alias(n) for c, n in zip(has, names))).limit(1).collect()
+    return [n for n in names if first[0][n]] if first else []
+
+
 def routed(manifest: DataFrame, route: str, keys: Sequence[str]) -> dict[str, list[str]]:
     """A manifest's rows by route, each row as its keys joined by ``||``."""
     rows = manifest.groupBy(route).agg(F.sort_array(F.collect_list(F.concat_ws("||", *keys))).alias("items"))  # a manifest is small
