@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.measures import ratio
+from tidewrack.lineage import settled
 
-#: Sites times taxa of a community that a null model may be asked for.
-MOST_CELLS = 1_000_000
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float, float]:
@@ -91,34 +90,36 @@ def top_two_overlap(df: DataFrame, taxon: str, weight: str, keys: Sequence[str])
     return overlaps(two, taxon, keys).groupBy(*keys).agg(F.avg("overlap").alias("overlap"))
 
 
+def null_intervals(df: DataFrame, site: str, taxon: str, x: str, y: str, runs: int, seed: int = 0, least: int = 5) -> DataFrame:
+    """(run, taxon, xmin, xmax): the interval of each taxon's curve over its values as they are (run 0) and shuffled over its
+    sites. A taxon is a group, as large as its sites; taxa of fewer than ``least`` sites and curves without a top are left out."""
+    community = df.groupBy(site, taxon).agg(F.first(x).cast("double").alias("x__"), F.sum(y).cast("double").alias("y__"))
+    kind = df.schema[taxon].dataType.simpleString()
+
+    def shuffle(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(site)
+        xs, ys, rows = own["x__"].to_numpy(float), own["y__"].to_numpy(float), []
+        if len(own) >= least:
+            draw = np.random.default_rng([seed, *str(key[0]).encode()])
+            for run in range(runs + 1):
+                _, b, c = fit_curve(xs, draw.permutation(ys) if run else ys, 25)
+                top, width, _ = optimum(b, c)
+                if not np.isnan(top):
+                    rows.append((run, key[0], top - width / 2, top + width / 2))
+        return pd.DataFrame(rows, columns=["run", taxon, "xmin", "xmax"])
+
+    return community.groupBy(taxon).applyInPandas(shuffle, f"run long, `{taxon}` {kind}, xmin double, xmax double")
+
+
 def null_model(df: DataFrame, site: str, taxon: str, x: str, y: str, runs: int = 500, seed: int = 0) -> DataFrame:
     """One row (observed, mean, sd, ses, p_left, p_right, runs): mean overlap of the taxa's intervals against shuffles of each
-    taxon's values over sites. Runs are dealt out; each gets the community, which is bounded by sites times taxa."""
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
-
-    community = df.groupBy(site, taxon).agg(F.first(x).alias(x), F.sum(y).alias(y))
-    table = community.limit(MOST_CELLS + 1).toPandas()
-    if len(table) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} sites times taxa; aggregate them first")
-    table = table.sort_values([taxon, site])
-    groups = [(g[x].to_numpy(float), g[y].to_numpy(float)) for _, g in table.groupby(taxon) if len(g) >= 5]
-
-    def mean_overlap(draw: np.random.Generator | None) -> float:
-        spans = []
-        for xs, ys in groups:
-            _, b, c = fit_curve(xs, draw.permutation(ys) if draw else ys, 25)
-            top, width, _ = optimum(b, c)
-            if not np.isnan(top):
-                spans.append((top - width / 2, top + width / 2))
-        got = [max(0.0, min(p[1], q[1]) - max(p[0], q[0])) / (p[1] - p[0]) for p in spans for q in spans if p is not q and p[1] > p[0]]
-        return float(np.mean(got)) if got else 0.0
-
-    def run(frames):
-        for pdf in frames:
-            yield pd.DataFrame({"run": pdf["id"], "overlap": [mean_overlap(np.random.default_rng([seed, int(i)]) if i else None) for i in pdf["id"]]})
-
-    spark = df.sparkSession
-    made = spark.range(0, runs + 1, 1, max(1, min(runs + 1, spark.sparkContext.defaultParallelism))).mapInPandas(run, StructType([StructField("run", LongType()), StructField("overlap", DoubleType())]))
+    taxon's values over its sites. Taxa of a run meet by a join on the run; a run without any overlap counts as 0."""
+    spans = settled(null_intervals(df, site, taxon, x, y, runs, seed))
+    a = spans.select("run", F.col(taxon).alias("i"), F.col("xmin").alias("a1"), F.col("xmax").alias("a2")).where("a2 > a1")
+    b = spans.select("run", F.col(taxon).alias("j"), F.col("xmin").alias("b1"), F.col("xmax").alias("b2"))
+    shared = F.greatest(F.lit(0.0), F.least("a2", "b2") - F.greatest("a1", "b1")) / (F.col("a2") - F.col("a1"))
+    found = a.join(b, "run").where("i != j").groupBy("run").agg(F.avg(shared).alias("overlap"))
+    made = df.sparkSession.range(runs + 1).withColumnRenamed("id", "run").join(found, "run", "left").na.fill(0.0, ["overlap"])
     seen, null = F.max(F.when(F.col("run") == 0, F.col("overlap"))), F.when(F.col("run") > 0, F.col("overlap"))
     told = made.agg(seen.alias("observed"), F.avg(null).alias("mean"), F.stddev_samp(null).alias("sd"), F.sort_array(F.collect_list(null)).alias("all"))  # one number for each run
     left, right = F.size(F.filter("all", lambda v: v <= F.col("observed"))), F.size(F.filter("all", lambda v: v >= F.col("observed")))
