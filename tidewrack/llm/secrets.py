@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -303,14 +304,15 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer | None]:
 def secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """Secrets in plain sight; all secrets, those of deeper layers at their place in the original; layers; unopened."""
     base = scan(text)
-    found, seen, unopened = set(base), {(text, 0, len(text))}, 0
+    digest = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()  # noqa: E731  layers needn't be kept
+    found, seen, unopened = set(base), {(digest(text), 0, len(text))}, 0
     work = deque([_Layer(text, None, None)])
     while work:
         layer = work.popleft()
         for below in _unwrapped(layer):
             if below is None:
                 unopened += 1
-            elif below.text and (at := (below.text, *below.span(0, len(below.text)))) not in seen:
+            elif below.text and (at := (digest(below.text), *below.span(0, len(below.text)))) not in seen:
                 seen.add(at)
                 found.update((a, k, b) for start, k, end in scan(below.text) for a, b in [below.span(start, end)])
                 work.append(below)
@@ -347,9 +349,9 @@ def _joined(spans: str):
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and unopened: blocks too large to be opened."""
     found = find_secrets(docs.select("doc_id", "text"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [F.size(F.array_remove(F.array_remove(kinds, a), b)).cast("long") for a, b in (("access", "hex"), ("assign", "hex"), ("assign", "access"))]
     counts = [n.alias(f"n_{kind}") for n, kind in zip(counts, KINDS, strict=True)]
-    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"), "unopened")
