@@ -318,16 +318,69 @@ def welch_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
     return told.withColumn("p", F.least(t_p_value("t", "df") * F.lit(float(many)), F.lit(1.0)))
 
 
+def ordered_pairs_rising(values: np.ndarray) -> tuple[int, int]:
+    """(pairs of which the later value is larger, pairs of which it is smaller), in time n log² n.
+
+    Values are ranked; from the highest bit of the ranks down, pairs are told apart at the bit at which they differ first.
+    """
+    distinct, rank = np.unique(values, return_inverse=True)
+    n, rising = len(values), 0
+    same = np.bincount(rank)
+    for bit in range(max(1, len(distinct) - 1).bit_length() - 1, -1, -1):
+        order = np.argsort(rank >> (bit + 1), kind="stable")  # rows of one prefix together, in order of time
+        group, high = (rank >> (bit + 1))[order], (rank >> bit & 1)[order]
+        zeros = np.cumsum(1 - high)
+        first = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+        before = np.repeat(zeros[first] - (1 - high[first]), np.diff(np.append(first, n)))
+        rising += int(((zeros - before) * high).sum())
+    return rising, n * (n - 1) // 2 - int((same * (same - 1) // 2).sum()) - rising
+
+
+#: Values of a series up to which its slopes are listed; the median slope of a longer one is closed in on.
+LISTED = 2000
+
+
+def median_slope(t: np.ndarray, y: np.ndarray) -> float:
+    """The median slope of all pairs of points, for rising ``t``. How many slopes are below one is how many pairs fall once
+    that slope is taken out, so that halving an interval finds the middle ones without listing them."""
+    n = len(y)
+    if n < 2:
+        return math.nan
+    if n <= LISTED:
+        i, j = np.triu_indices(n, 1)
+        return float(np.median((y[j] - y[i]) / (t[j] - t[i])))
+    pairs = n * (n - 1) // 2
+    steps = np.diff(y) / np.diff(t)  # no slope of a pair is beyond those of neighbours
+
+    def kth(k: int) -> float:
+        lo, hi = float(steps.min()), float(steps.max())
+        for _ in range(200):
+            middle = (lo + hi) / 2
+            if middle in (lo, hi):
+                break
+            rising, _ = ordered_pairs_rising(y - middle * t)
+            lo, hi = (lo, middle) if pairs - rising > k else (middle, hi)  # slopes at or below the middle
+        return hi
+
+    return (kth((pairs - 1) // 2) + kth(pairs // 2)) / 2
+
+
 def kendall(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """Per series: Kendall's S and tau, variance, z and p of the trend test (Mann-Kendall) and the Theil-Sen slope.
 
-    Pairs of a series meet by a join on its key; series are short beside their number.
+    A series is walked through in one task; its pairs are counted, not made.
     """
-    v = df.where(F.col(value).isNotNull())
-    a = v.select(*keys, F.col(order).alias("t1"), F.col(value).alias("y1"))
-    b = v.select(*keys, F.col(order).alias("t2"), F.col(value).alias("y2"))
-    pairs = a.join(b, list(keys)).where("t1 < t2")
-    sums = pairs.groupBy(*keys).agg(F.sum(F.signum(F.col("y2") - F.col("y1"))).alias("s"), F.count("*").alias("n_pairs"), F.median((F.col("y2") - F.col("y1")) / (F.col("t2") - F.col("t1"))).alias("slope"))
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(order).cast("double").alias("t__"), F.col(value).cast("double").alias("y__"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def walk(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("t__", kind="stable")
+        t, y = own["t__"].to_numpy(float), own["y__"].to_numpy(float)
+        rising, falling = ordered_pairs_rising(y)
+        return pd.DataFrame([(*key, float(rising - falling), len(y) * (len(y) - 1) // 2, median_slope(t, y))], columns=[*keys, "s", "n_pairs", "slope"])
+
+    sums = v.groupBy(*keys).applyInPandas(walk, f"{kinds}, s double, n_pairs long, slope double").where("n_pairs > 0")
+    v = v.withColumnRenamed("y__", value)
     t = F.col("t").cast("double")
     ties = v.groupBy(*keys, value).agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(t * (t - 1) * (2 * t + 5)).alias("ties"), F.sum(t * (t - 1) / 2).alias("tied"))
     n = F.col("n").cast("double")
