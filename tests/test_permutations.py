@@ -1,4 +1,5 @@
 import math
+import random
 from itertools import combinations
 
 import numpy as np
@@ -139,3 +140,11 @@ def test_scores_lie_on_the_axes(spark):
     scores, loadings, values = rows[["rda1", "rda2"]].to_numpy(), fit.loadings(), fit.values(fit.sxy)
     assert np.allclose(ordination.biplot(scores, loadings, values, "scaling1")[0] ** 2, scores**2 / values)
     assert np.allclose(ordination.biplot(scores, loadings, values, "scaling1", "vegan")[0], scores)
+
+
+def test_ranks_are_of_the_values_that_are_correlated(spark):
+    """A value that comes out otherwise each time it is worked out, as sums of doubles may, keeps all its rows."""
+    draw = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    rows = spark.range(200).select(draw("id").alias("x")).withColumn("y", F.col("x") * 3)
+    got = ordination.associations(rows, ["x"], ["y"], "spearman").first()
+    assert got["value"] is not None and math.isclose(got["value"], 1.0)

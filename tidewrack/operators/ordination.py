@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.measures import ratio
+from tidewrack.lineage import settled
 from tidewrack.operators.windows import running_total
 
 MOST_SITES = 3000
@@ -136,7 +137,8 @@ def biplot(scores: np.ndarray, loadings: np.ndarray, values: np.ndarray, scaling
 def associations(df: DataFrame, xs: Sequence[str], axes: Sequence[str], method: str = "pearson") -> DataFrame:
     """(variable, axis, value): correlation of values or of their ranks, or slope of the axis on the variable."""
     if method == "spearman":
-        for c in dict.fromkeys([*xs, *axes]):
+        df = settled(df.select(*dict.fromkeys([*xs, *axes])))  # rows meet their ranks by value: both must see the same one
+        for c in df.columns:
             df = df.join(middle_ranks(df, c, f"{c}__rank"), c).drop(c).withColumnRenamed(f"{c}__rank", c)
     elif method not in ("pearson", "regression"):
         raise ValueError(f"method is pearson, spearman or regression, not {method}")
