@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,15 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder, so that a lost executor costs no earlier round."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows of a file of ``written``. A scan's task takes at most 32 files, so that it never holds more than some four million rows.
+FILE = 1 << 17
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once into a compressed table in the shared folder, for what is large and read over and over."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", FILE).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

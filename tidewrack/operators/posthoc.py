@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.measures import box_cox, ratio, shifted_log, yeo_johnson
 from tidewrack.functions.special import chi2_upper, f_upper, studentized_range_upper, t_quantile, t_two_sided
+from tidewrack.lineage import written
+from tidewrack.operators import powers
 from tidewrack.operators.statistics import Fit, least_squares
 from tidewrack.operators.windows import running_total, running_totals
 
@@ -157,12 +159,13 @@ def shapiro(df: DataFrame, keys: Sequence[str], value: str, ids: Sequence[str],
 
 
 def box_cox_lambda(df: DataFrame, value: str, lo: float = -2.0, hi: float = 2.0, rounds: int = 3, points: int = 21) -> float:
-    """The lambda of the largest likelihood, by grids that narrow; each grid is one pass over the rows."""
-    x = F.col(value)
+    """The lambda of the largest likelihood, by grids that narrow; each grid is one pass over the value alone."""
+    own = written(df.select(F.col(value).cast("double").alias("x")).where("x > 0"))
+    n, mean, logs = own.agg(F.count("*"), F.avg("x"), F.sum(F.ln("x"))).first()
     for _ in range(rounds):
         grid = np.linspace(lo, hi, points)
-        row = df.where(x > 0).agg(F.count("*"), F.sum(F.ln(x)), *(F.var_pop(box_cox(x, float(g))) for g in grid)).first()
-        score = [-row[0] / 2 * math.log(v) + (g - 1) * row[1] if v else -math.inf for g, v in zip(grid, row[2:])]
+        spread = powers.variances(own, powers.box_cox, {"x": grid}, {"x": mean})["x"] if n else [None] * points
+        score = [-n / 2 * math.log(v) + (g - 1) * logs if v and v > 0 else -math.inf for g, v in zip(grid, spread)]
         k = int(np.argmax(score))
         lo, hi = grid[max(0, k - 1)], grid[min(points - 1, k + 1)]
     return float((lo + hi) / 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.lineage import written
 from tidewrack.operators import arima, posthoc, smoothing, statistics
 from tidewrack.plans.base import OBS, SERIES, observations, query, rounded, series
 
@@ -69,7 +70,7 @@ def residual_diagnostics(spark, d):
 @query()
 def transform_choice(spark, d):
     """Candidates by skewness, and the lambda of Box and Cox."""
-    obs = observations(spark, d)
+    obs = written(observations(spark, d).select("biovolume"))
     rows = posthoc.least_skewed(obs, "biovolume") + [("box_cox_lambda", posthoc.box_cox_lambda(obs, "biovolume"))]
     return spark.createDataFrame([(k, round(v, 4)) for k, v in rows], "transform string, value double")
 
