@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.measures import yeo_johnson
+from tidewrack.lineage import written
+from tidewrack.operators import powers
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -27,7 +29,7 @@ class Recipe:
         self.learned: dict[str, object] = {}
 
     def fit(self, df: DataFrame) -> Recipe:
-        now = df.na.drop(subset=self.columns)
+        now = written(df.na.drop(subset=self.columns).select(*self.columns))  # each step is a pass or more
         for step in self.steps:
             if step not in ("range", "center", "scale", "yeo_johnson", "pca", "ica"):
                 raise ValueError(f"no step {step}")
@@ -61,13 +63,13 @@ class Recipe:
         """Each column's power of the largest likelihood, by grids that narrow; a grid is one pass for all columns."""
         ends = {c: (-3.0, 3.0) for c in self.columns}
         power = dict.fromkeys(self.columns, 1.0)
-        for _ in range(4):
+        row = df.agg(F.count("*"), *(F.avg(c) for c in self.columns), *(F.sum(F.signum(F.col(c)) * F.log1p(F.abs(F.col(c)))) for c in self.columns)).first()
+        n, means, logs = row[0], row[1 : 1 + len(self.columns)], row[1 + len(self.columns) :]
+        for _ in range(4 if n else 0):
             grids = {c: np.linspace(*ends[c], 13) for c in self.columns}
-            logs = [F.sum(F.signum(F.col(c)) * F.log1p(F.abs(F.col(c)))) for c in self.columns]
-            row = df.agg(F.count("*"), *logs, *(F.var_pop(yeo_johnson(F.col(c), float(g))) for c in self.columns for g in grids[c])).first()
-            n, at = row[0], 1 + len(self.columns)
+            spread = powers.variances(df, powers.yeo_johnson, grids, dict(zip(self.columns, map(float, means))))
             for i, c in enumerate(self.columns):
-                score = [-n / 2 * math.log(max(row[at + 13 * i + j] or 0.0, 1e-300)) + (g - 1) * (row[1 + i] or 0.0) for j, g in enumerate(grids[c])]
+                score = [-n / 2 * math.log(max(v or 0.0, 1e-300)) + (g - 1) * (logs[i] or 0.0) for v, g in zip(spread[c], grids[c])]
                 best = int(np.argmax(score))
                 power[c], ends[c] = float(grids[c][best]), (float(grids[c][max(0, best - 1)]), float(grids[c][min(12, best + 1)]))
         self.learned["powers"] = power
