@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewrack.operators.timeseries import NextBelow, correct_sequence
@@ -75,3 +77,28 @@ def test_query_gives_every_event(spark):
     want = timeseries.corrected(events, ["event_type"], "ts", "value", "fixed").toPandas()
     got, want = got.sort_values(["key", "nth"]), want.sort_values(["event_type", "ts", "value"])
     assert len(got) == len(want) == events.count() and np.allclose(got["corrected"], want["fixed"], equal_nan=True, atol=1e-6)
+
+
+def test_a_key_of_many_rows_takes_tens_of_bytes_each():
+    """Rows are held as arrays and handed on in pieces."""
+
+    class State:
+        exists = False
+
+        def update(self, new):
+            self.now = new
+
+    n, state = 200_000, State()
+    rng = np.random.default_rng(1)
+    t, v = rng.permutation(n) * 1_000_000, rng.uniform(1, 1.4, n)
+    frames = [pd.DataFrame({"t": pd.to_datetime(t[a : a + 10_000], unit="us"), "v": v[a : a + 10_000]}) for a in range(0, n, 10_000)]
+    tracemalloc.start()
+    at, sizes = 0, []
+    for part in stream.correcting(1.5, None)(("a",), iter(frames), state):
+        assert (part["nth"].to_numpy() == np.arange(at, at + len(part))).all() and part["t"].is_monotonic_increasing
+        at += len(part)
+        sizes.append(len(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n and max(sizes) <= stream.GIVEN and peak < 150 * n
+    assert state.now[1] == n and state.now[3] == []

@@ -47,44 +47,59 @@ def last_of_duplicates(stream: DataFrame, keys: Sequence[str], time: str, within
     return got.select(*keys, *(F.col(f"row__.{c}").alias(c) for c in others))
 
 
+#: Rows that ``corrected`` hands on at once.
+GIVEN = 1 << 15
+
 CORRECTED = "key string, nth long, version long, t timestamp, v double, corrected double, certain boolean"
 
 
-def corrected(stream: DataFrame, key: str, time: str, value: str, threshold: float = 1.5, late: str = "30 days", patience: float | None = None) -> DataFrame:
-    """Each key's values in order of time, one that is missing or above ``threshold`` times the corrected one before it
-    replaced by the mean of that one and the next acceptable value.
-
-    A value that waits for a later one is given at once, as if none followed, and again whenever its key gets rows:
-    ``nth`` is its place in its key, ``version`` counts a key's batches, and the last version of each place
-    (``latest``) is what the batch form gives for all rows so far. Rows that wait are held in the state; with
-    ``patience`` (seconds) they wait no longer once the watermark is that far beyond them, which bounds the state. Rows
-    older than a certain one come too late to change it.
-    """
+def correcting(threshold: float, patience: float | None):
+    """What ``corrected`` does with a key's rows of a batch."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, done, version, times, values = state.get if state.exists else (None, 0, 0, [], [])
-        held = list(zip(times, values))
+        ts, vs = [np.array(times, np.int64)], [np.array([math.nan if x is None else x for x in values], float)]
         for rows in frames:
-            held += zip(rows["t"].astype("datetime64[us]").astype("int64").tolist(), (math.nan if pd.isna(v) else float(v) for v in rows["v"]))
-        held.sort(key=lambda r: (r[0], math.isnan(r[1]), r[1]))
-        v = np.array([x for _, x in held], float)
+            ts.append(rows["t"].to_numpy("datetime64[us]").astype(np.int64))
+            vs.append(rows["v"].to_numpy(float))
+        t, v = np.concatenate(ts), np.concatenate(vs)
+        ts, vs = [], []
+        order = np.lexsort((v, t))  # missing ones are last of their time
+        t, v = t[order], v[order]
+        del order
         fixed, certain = corrections(v, threshold, last)
         if patience is not None:
             over = state.getCurrentWatermarkMs() * 1000 - int(patience * 1e6)  # times are whole microseconds
-            certain = max(certain, sum(t <= over for t, _ in held))
-        got = pd.DataFrame({"key": k[0], "nth": range(done, done + len(held)), "version": version, "t": [t for t, _ in held], "v": v, "corrected": fixed, "certain": np.arange(len(held)) < certain})
+            certain = max(certain, int(np.searchsorted(t, over, "right")))
         if certain:
             last = float(fixed[certain - 1])
-        rest = held[certain:]
-        state.update((last, done + certain, version + 1, [t for t, _ in rest], [x for _, x in rest]))
-        if patience is not None and rest:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (rest[0][0] + int(patience * 1e6)) // 1000 + 1))
-        yield got.assign(t=pd.to_datetime(got["t"], unit="us"))
+        state.update((last, done + certain, version + 1, t[certain:].tolist(), v[certain:].tolist()))
+        if patience is not None and certain < len(t):
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (int(t[certain]) + int(patience * 1e6)) // 1000 + 1))
+        for a in range(0, max(1, len(t)), GIVEN):
+            own = slice(a, a + GIVEN)
+            n = len(t[own])
+            yield pd.DataFrame({"key": [k[0]] * n, "nth": np.arange(done + a, done + a + n), "version": version, "t": pd.to_datetime(t[own], unit="us"), "v": v[own], "corrected": fixed[own], "certain": np.arange(a, a + n) < certain})
+
+    return step
+
+
+def corrected(stream: DataFrame, key: str, time: str, value: str, threshold: float = 1.5, late: str = "30 days", patience: float | None = None) -> DataFrame:
+    """Each key's values in order of time, one that is missing or above ``threshold`` times the corrected one before it
+    replaced by the mean of that one and the next acceptable value.
+
+    A value that waits for a later one is given at once, as if none followed, and again whenever its key gets rows:
+    ``nth`` is its place in its key, ``version`` counts a key's batches, and the last version of each place
+    (``latest``) is what the batch form gives for all rows so far. A key's rows of a batch are held as two arrays, some tens
+    of bytes a row, and handed on in pieces. Rows that wait are held in the state; with
+    ``patience`` (seconds) they wait no longer once the watermark is that far beyond them, which bounds the state. Rows
+    older than a certain one come too late to change it.
+    """
 
     told = stream.withWatermark(time, late).select(F.col(key).cast("string").alias("key"), F.col(time).alias("t"), F.col(value).cast("double").alias("v"))
     held = "last double, done long, version long, times array<long>, values array<double>"
     wait = GroupStateTimeout.NoTimeout if patience is None else GroupStateTimeout.EventTimeTimeout
-    return told.groupBy("key").applyInPandasWithState(step, CORRECTED, held, "append", wait)
+    return told.groupBy("key").applyInPandasWithState(correcting(threshold, patience), CORRECTED, held, "append", wait)
 
 
 def latest(given: DataFrame) -> DataFrame:
