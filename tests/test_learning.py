@@ -120,3 +120,57 @@ def test_rank_sums_of_pairs(spark):
 
 def test_one_group_has_no_pairs(spark):
     assert posthoc.rank_sum_pairs(spark.createDataFrame([("a", 1.0)], "g string, v double"), "g", "v").count() == 0
+
+
+@pytest.mark.parametrize("name,times", [("transform_choice", 1), ("preprocessed_columns", 2), ("variable_importance", 1), ("tree_attributions", 1), ("cross_validated_models", 1), ("grid_of_settings", 1)])
+def test_observations_are_joined_once(spark, monkeypatch, name, times):
+    """What is read over and over is a table, not the join again. Preprocessed columns are read once to learn and once to be told."""
+    import importlib
+
+    from tidewrack.plans import base, catalog
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(v):
+        seen.add(1)
+        return v
+
+    def counted(spark, d):
+        return base.observations(spark, d).withColumn("biovolume", F.udf(told, "double").asNondeterministic()("biovolume"))
+
+    monkeypatch.setattr(importlib.import_module(catalog.QUERIES[name].__module__), "observations", counted)
+    sf = "/root/testdata/sf0.001"
+    assert catalog.QUERIES[name](spark, sf).count()
+    assert 0 < seen.value <= times * spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_dealt_values(spark):
+    """Ranks of two hashes inside buckets; rows that share their ids are told apart by their values, so that reruns agree."""
+    rng = np.random.default_rng(6)
+    data = [(i // 2, float(a), float(b), float(2 * a + b)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    df = spark.createDataFrame(data, "id int, a double, b double, y double")
+    model = learning.fit(df, ["a", "b"], learning.linear("y"))
+    told = [dict(learning.permutation_importance(model, d, ["a", "b"], "y", ["id"])) for d in (df, df.orderBy(F.desc("a")), df.repartition(7))]
+    assert all(math.isclose(told[0][c], t[c], rel_tol=1e-9) for t in told for c in "ab")
+    hashed = df.select("*", F.pmod(F.xxhash64("id"), F.lit(64)).alias("k"), F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit("a")).alias("ha")).toPandas()
+    off = []
+    for _, own in hashed.groupby("k"):
+        to, of = own.sort_values(["h", "y", "b", "a"])["a"].to_numpy(), own.sort_values(["ha", "y", "b", "a"])["a"].to_numpy()
+        off += (2 * (of - to)).tolist()
+    assert math.isclose(told[0]["a"], math.sqrt(np.mean(np.square(off))), rel_tol=1e-6)
+
+
+def test_variances_of_powers(spark):
+    from tidewrack.operators import powers
+
+    rng = np.random.default_rng(7)
+    x = [*map(float, np.round(rng.normal(3, 4, 3000), 1)), None]
+    df = spark.createDataFrame([(v, 7.0) for v in x], "x double, flat double").repartition(3)
+    grid = [-3.0, -1e-3, 0.0, 0.5, 2.0, 3.0]
+    got = powers.variances(df, powers.yeo_johnson, {"x": grid, "flat": grid}, {"x": float(np.mean(x[:-1])), "flat": 7.0})
+    values = np.array(x[:-1])
+    for g, v in zip(grid, got["x"]):
+        up = np.log1p(np.abs(values)) if g == 0 else ((np.abs(values) + 1) ** g - 1) / g
+        down = -np.log1p(np.abs(values)) if g == 2 else -((np.abs(values) + 1) ** (2 - g) - 1) / (2 - g)
+        assert math.isclose(v, np.var(np.where(values >= 0, up, down)), rel_tol=1e-8)
+    assert got["flat"] == [0.0] * len(grid)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidewrack.lineage import written
 from tidewrack.operators import attributions, learning, recipes
 from tidewrack.plans.base import OBS, observations, query, rounded, table
 from tidewrack.streaming import series as stream
@@ -41,7 +42,7 @@ def observed_and_predicted(spark, d):
 @query()
 def variable_importance(spark, d):
     """L3."""
-    data = observations(spark, d).select("ord", "line", "biovolume", *_X)
+    data = written(observations(spark, d).select("ord", "line", "biovolume", *_X))
     model = learning.fit(data, _X, learning.linear("biovolume"))
     return spark.createDataFrame(learning.permutation_importance(model, data, _X, "biovolume", ["ord", "line"]), "variable string, importance double")
 
