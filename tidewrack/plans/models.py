@@ -58,7 +58,7 @@ def linear_attributions(spark, d):
 @query()
 def tree_attributions(spark, d):
     """Mean size of each variable's Shapley values in a forest and in boosted trees."""
-    data, told = observations(spark, d).select("ord", "line", "biovolume", *_X), None
+    data, told = written(observations(spark, d).select("ord", "line", "biovolume", *_X)), None
     for name, kind in (("forest", learning.forest("biovolume", 5, 4)), ("boosted", learning.boosted("biovolume", 5, 3))):
         model = learning.fit(data, _X, kind)
         got = attributions.importance(attributions.tree_attributions(model, data, _X, ["ord", "line"]), _X).select(F.lit(name).alias("model"), "variable", F.round("mean_abs", 2).alias("mean_abs"))
