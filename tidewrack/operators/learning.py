@@ -78,14 +78,20 @@ def cross_validated(df: DataFrame, columns: Sequence[str], models: dict[str, obj
 
 def grid_search(df: DataFrame, columns: Sequence[str], model, grid: dict[str, Sequence], target: str, k: int = 5, metric: str = "rmse") -> tuple[PipelineModel, list[tuple[dict, float]]]:
     """(the best model fitted to all rows, each setting with its mean over folds). ``grid`` has the model's parameters by name;
-    folds are the column ``fold`` (``folds``), so that all settings see the same ones and reruns agree."""
+    folds are the column ``fold`` (``folds``), so that all settings see the same ones and reruns agree. Fits follow each
+    other, so that the rows of one of them are in memory; ``df`` is read for each and should be a table."""
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(model.getParam(name), list(values))
     settings = builder.build()
-    search = CrossValidator(estimator=_pipeline(columns, model), estimatorParamMaps=settings, evaluator=RegressionEvaluator(labelCol=target, metricName=metric), numFolds=k, foldCol="fold", parallelism=4)
-    found = search.fit(df)
-    return found.bestModel, [({p.name: v for p, v in s.items()}, float(m)) for s, m in zip(settings, found.avgMetrics)]
+    pipeline, judge = _pipeline(columns, model), RegressionEvaluator(labelCol=target, metricName=metric)
+    told = [0.0] * len(settings)
+    for fold in range(k):
+        seen, unseen = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
+        for i, setting in enumerate(settings):
+            told[i] += float(judge.evaluate(pipeline.fit(seen, setting).transform(unseen))) / k
+    best = (max if judge.isLargerBetter() else min)(range(len(settings)), key=lambda i: told[i])
+    return pipeline.fit(df, settings[best]), [({p.name: v for p, v in s.items()}, m) for s, m in zip(settings, told)]
 
 
 def forest_importance(model: PipelineModel, columns: Sequence[str]) -> list[tuple[str, float]]:

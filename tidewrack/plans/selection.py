@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.lineage import written
 from tidewrack.operators import dissimilarity, diversity, filters, learning, niche, ordination, posthoc, statistics, tables, windows
 from tidewrack.plans.base import OBS, observations, query, rounded, table
 
@@ -117,7 +118,7 @@ def correspondence_scores(spark, d):
 def grid_of_settings(spark, d):
     """Settings of a forest and of a penalised line by cross validation."""
     x = ["density", "discount", "tax", "size"]
-    data = learning.folds(observations(spark, d).select("ord", "line", "biovolume", *x), ["ord", "line"], 3)
+    data = written(learning.folds(observations(spark, d), ["ord", "line"], 3).select("fold", "biovolume", *x))
     rows = []
     for name, model, grid in (("forest", learning.forest("biovolume", 5, 3), {"maxDepth": [2, 4], "featureSubsetStrategy": ["onethird", "all"]}), ("penalised", learning.linear("biovolume"), {"regParam": [0.0, 100.0], "elasticNetParam": [0.0, 1.0]})):
         _, told = learning.grid_search(data, x, model, grid, "biovolume", 3)
