@@ -83,3 +83,17 @@ def test_bilinear(spark):
             assert (i, j) in got and math.isclose(got[i, j], sum(v * w for v, w in near) / sum(w for _, w in near))
     same = geometry.bilinear(df, ["product"], (50.0, 10.0, 2.0), (50.0, 10.0, 2.0), (5, 6))
     assert {(r["row"], r["col"]): r["value"] for r in same.collect()} == {(r, c): v for _, r, c, v in rows if v is not None}
+
+
+def test_far_points_meet_few_segments(spark):
+    """Points far from any coast are compared with what is nearest to them, not with all that is within a wide cell."""
+    rng = np.random.default_rng(5)
+    coast = np.column_stack([rng.uniform(0, 10, 3000), rng.uniform(-179, 179, 3000)])
+    ends = [(int((a + 90) // (360 / 512)), int((b + 180) // (360 / 512)), float(a), float(b)) for a, b in coast]
+    places = spark.createDataFrame([(70.0, float(k)) for k in range(-170, 180, 10)], "lat__ double, lon__ double")
+    cells = geometry.near_cells(places, spark.createDataFrame(ends, "r long, c long, lat double, lon double"), 10.0)
+    assert places.count() <= cells.count() <= 0.02 * 3000 * places.count()
+    segments = spark.createDataFrame([(float(a), float(b), float(a), float(b) + 0.05) for a, b in coast], "lat1 double, lon1 double, lat2 double, lon2 double")
+    got = {r["lon"]: r["distance_km"] for r in geometry.nearest_segment(places.toDF("lat", "lon"), ["lon"], "lat", "lon", segments).collect()}
+    for lon, told in got.items():
+        assert math.isclose(told, plain(70.0, lon, [(a, b, a, b + 0.05) for a, b in coast]), rel_tol=1e-9)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.lineage import settled
-
 #: Mean radius of the earth in km.
 RADIUS = 6371.0088
-#: The finest grid has 2**FINEST cells around the equator; each round of a search halves that.
+#: The finest grid has 2**FINEST cells around the equator, and at most half as many squared; each level above has half that.
 FINEST = 9
 
 
@@ -39,48 +39,100 @@ def _cell(lat: Column, lon: Column, around: int) -> tuple[Column, Column]:
     return F.floor((lat + 90) / size).cast("long"), F.pmod(F.floor((lon + 180) / size).cast("long"), F.lit(around))
 
 
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    f, g = np.radians(lat), np.radians(lon)
+    return np.column_stack([np.cos(f) * np.cos(g), np.cos(f) * np.sin(g), np.sin(f)])
+
+
+def _angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 2 * np.arcsin(np.minimum(1.0, np.sqrt(((a - b) ** 2).sum(axis=1)) / 2))
+
+
+class Pyramid:
+    """Cells that hold ends of segments, and those that hold such cells: each with one of its ends and the angle within
+    which all of them are from it. There are no more of them than the grid has cells."""
+
+    def __init__(self, r: np.ndarray, c: np.ndarray, at: np.ndarray, reach: np.ndarray):
+        self.levels = [(r, c, at, reach, None)]
+        for _ in range(FINEST - 1):
+            r, c, at, reach, _ = self.levels[-1]
+            key = (r >> 1) * (1 << FINEST) + (c >> 1)
+            _, first, above = np.unique(key, return_index=True, return_inverse=True)
+            wide = np.zeros(len(first))
+            np.maximum.at(wide, above, _angle(at, at[first][above]) + reach)
+            below = np.argsort(above, kind="stable")
+            starts = np.searchsorted(above[below], np.arange(len(first) + 1))
+            self.levels.append((r[first] >> 1, c[first] >> 1, at[first], wide, (below, starts)))
+
+    def near(self, spots: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a spot's and a finest cell's number: all cells that may hold an end of the spot's nearest segment.
+
+        An end is as far in the spot's plane as on the globe. Within a quarter of the globe lengths are at most pi / 2 times
+        as long there, so that a segment nearer than ``best``, the nearest end so far, has an end within the root of the
+        squares of ``best`` and half that length. Elsewhere a segment is nearer than its nearer end by at most the cosine
+        of half the angle that the spot sees it under, which is small but around the spot's antipode.
+        """
+        _, _, top, _, _ = self.levels[-1]
+        spot, cell = np.repeat(np.arange(len(spots)), len(top)), np.tile(np.arange(len(top)), len(spots))
+        best = np.full(len(spots), np.inf)
+        for level in range(len(self.levels) - 1, -1, -1):
+            _, _, at, reach, below = self.levels[level]
+            away = _angle(spots[spot], at[cell])
+            np.minimum.at(best, spot, away)
+            limit, low, high = best[spot], away - reach[cell] - longest, away + reach[cell] + longest
+            ends = away - reach[cell] <= np.sqrt(limit * limit + (math.pi / 4 * longest) ** 2) + 1e-9
+            narrow = np.where((low > 0) & (high < math.pi), np.minimum(np.sin(low), np.sin(high)), 0.0)
+            share = np.minimum(1.0, math.sin(min(longest, math.pi) / 2) / np.maximum(narrow, 1e-300))
+            kept = np.where(high <= math.pi / 2, ends, low * np.sqrt(1 - share * share) <= limit + 1e-9)
+            spot, cell = spot[kept], cell[kept]
+            if below is not None:
+                order, starts = below
+                n = starts[cell + 1] - starts[cell]
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                spot, cell = np.repeat(spot, n), order[np.repeat(starts[cell], n) + inner]
+        return spot, cell
+
+
+def near_cells(places: DataFrame, ends: DataFrame, longest: float) -> DataFrame:
+    """(lat__, lon__, r, c): for each place the cells of ``ends`` (r, c, lat, lon) in which its nearest segment may end."""
+    cells = ends.groupBy("r", "c").agg(F.min(F.struct("lat", "lon")).alias("one"), *(f(x).alias(f"{n}_{x}") for x in ("lat", "lon") for n, f in (("low", F.min), ("high", F.max))))
+    held = cells.select("r", "c", "one.lat", "one.lon", "low_lat", "high_lat", "low_lon", "high_lon").toPandas()
+    reach = np.hypot(*(np.maximum(held[x] - held[f"low_{x}"], held[f"high_{x}"] - held[x]) for x in ("lat", "lon")))
+    tree = Pyramid(held["r"].to_numpy(), held["c"].to_numpy(), _unit(held["lat"].to_numpy(), held["lon"].to_numpy()), np.radians(reach.to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, c, *_ = tree.levels[0]
+        for batch in batches:
+            lat, lon = batch.column("lat__").to_numpy(), batch.column("lon__").to_numpy()
+            for a in range(0, len(lat), 1024):
+                spot, cell = tree.near(_unit(lat[a : a + 1024], lon[a : a + 1024]), longest / RADIUS)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lat[a + spot], lon[a + spot], r[cell], c[cell])], ["lat__", "lon__", "r", "c"])
+
+    return places.mapInArrow(run, "lat__ double, lon__ double, r long, c long")
+
+
 def nearest_segment(points: DataFrame, ids: Sequence[str], lat: str, lon: str, segments: DataFrame) -> DataFrame:
     """``points`` with distance_km to the nearest of ``segments`` (lat1, lon1, lat2, lon2); null only if there are none, or
     for points without a place. ``ids`` tell points apart.
 
-    A round compares points with the segments that end in the nine cells around theirs. What ends elsewhere is at least a
-    cell's side away in latitude, or beyond a meridian as far in longitude, and half a segment may reach back from
-    there: points whose best is within that bound leave, the others go on with cells twice as wide. The last round's
-    cells are the whole globe.
+    Segments are held by the cells in which they end. Each place is asked for once: from the whole globe down to the
+    finest cells, those stay that may hold an end of its nearest segment, and the segments in these are compared.
     """
     names = ["lat1", "lon1", "lat2", "lon2"]
-    coast = segments.select(*(F.col(c).cast("double").alias(c) for c in names)).na.drop()
+    coast = segments.select(*(F.col(c).cast("double").alias(c) for c in names)).na.drop().distinct()
     x, y = _plane(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     longest = coast.agg(F.max(F.sqrt(x * x + y * y))).first()[0]
-    asked = points.select(*ids, F.col(lat).cast("double").alias("plat"), F.col(lon).cast("double").alias("plon"))
     if longest is None:
         return points.withColumn("distance_km", F.lit(None).cast("double"))
-    left, done = asked.na.drop(subset=["plat", "plon"]).withColumn("best", F.lit(None).cast("double")), None
-    for level in range(FINEST, 0, -1):
-        around = 1 << level
-        ends = [coast.select(*names, *(c.alias(n) for c, n in zip(_cell(F.col(a), F.col(b), around), ("r", "c")))) for a, b in (("lat1", "lon1"), ("lat2", "lon2"))]
-        held = ends[0].unionByName(ends[1]).distinct()
-        r, c = _cell(F.col("plat"), F.col("plon"), around)
-        near = F.explode(F.array(*(F.struct((r + i).alias("r"), F.pmod(c + j, F.lit(around)).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        met = left.select(*ids, "plat", "plon", near.alias("cell")).select(*ids, "plat", "plon", "cell.r", "cell.c").distinct().join(held, ["r", "c"])
-        found = met.groupBy(*ids).agg(F.min(segment_distance(F.col("plat"), F.col("plon"), [F.col(n) for n in names])).alias("seen"))
-        told = left.join(found, list(ids), "left").withColumn("best", F.least("best", "seen")).drop("seen")
-        if level > 1:
-            side = math.radians(360.0 / around)
-            meridian = F.asin(F.cos(F.radians("plat")) * math.sin(min(side, math.pi / 2)))
-            away = RADIUS * F.least(F.lit(side), meridian)
-            # ends are at least ``away`` from the point; in its plane a segment is up to pi / 2 times as long as it is
-            bound = F.sqrt(F.greatest(F.lit(0.0), away * away - (math.pi / 4 * longest) ** 2))
-            close = F.coalesce(F.col("best") <= bound, F.lit(False))
-        else:
-            close = F.lit(True)
-        told = settled(told.withColumn("close", close))
-        gone = told.where("close").select(*ids, F.col("best").alias("distance_km"))
-        done = gone if done is None else done.unionByName(gone)
-        left = told.where(~F.col("close")).drop("close")
-        if left.isEmpty():
-            break
-    return points.join(done, list(ids), "left")
+    cells = [tuple(c.alias(n) for c, n in zip(_cell(F.col(a), F.col(b), 1 << FINEST), ("r", "c"))) for a, b in (("lat1", "lon1"), ("lat2", "lon2"))]
+    wrapped = lambda a: (F.pmod(F.col(a) + 180.0, F.lit(360.0)) - 180.0).alias("lon")
+    ends = [coast.select(*own, F.col(a).alias("lat"), wrapped(b)) for own, (a, b) in zip(cells, (("lat1", "lon1"), ("lat2", "lon2")))]
+    held = coast.select(*cells[0], *names).unionByName(coast.select(*cells[1], *names)).distinct()
+    asked = points.select("*", F.col(lat).cast("double").alias("lat__"), F.col(lon).cast("double").alias("lon__"))
+    places = asked.select("lat__", "lon__").na.drop().distinct()
+    met = near_cells(places, ends[0].unionByName(ends[1]), float(longest)).join(held, ["r", "c"])
+    found = met.groupBy("lat__", "lon__").agg(F.min(segment_distance(F.col("lat__"), F.col("lon__"), [F.col(n) for n in names])).alias("distance_km"))
+    return asked.join(found, ["lat__", "lon__"], "left").select(*points.columns, "distance_km")
 
 
 def edges(df: DataFrame, ids: Sequence[str], geometry: str) -> DataFrame:
