@@ -198,3 +198,45 @@ def test_production_finds_what_edit_similarity_alone_finds(spark):
     assert links == {(2 * k, 2 * k + 1) for k in range(len(pairs))}
     want = [(d, 0, k, 0, 2, d == k) for k, j in sorted(links) for d in (k, j)] + [(d, 0, k, 0, 2, d == k) for k in (900, 902) for d in (k, k + 1)]
     assert got == sorted(want)
+
+
+def test_similar_lines_whose_only_anchor_moved_are_linked(spark):
+    """Two words at a line's start and at the other's end, the only ones that each has once: an alignment that holds on to them
+    is far over the limit, the edit distance is not."""
+    rest = " ".join(["ab cde"] * 15)
+    rows = [(2 * k, f"p{k} q{k} {rest}", f"{rest} p{k} q{k}") for k in range(16)]
+    assert all(distance(x, y) <= 0.2 * len(x) for _, x, y in rows)
+    pairs = spark.createDataFrame([(k, k + 1) for k, _, _ in rows], "a long, b long")
+    texts = spark.createDataFrame([((k + i, 0), line) for k, *both in rows for i, line in enumerate(both)], "key struct<k1: long, k2: long>, line string")
+    got = {(r["a"]["k1"], r["b"]["k1"]) for r in lines.linked(pairs, texts).collect()}
+    assert got == {(k, k + 1) for k, _, _ in rows}
+
+
+def test_the_bound_is_never_under_the_distance(spark):
+    rng = random.Random(4)
+    rows = [("", ""), ("", "a b"), ("é" * 60, "è" * 60), ("de " * 50 + "é", "la " + "de " * 40)]
+    for _ in range(60):
+        x = [rng.choice(["de", "la", "thé", "onou", "stannt", "x"]) for _ in range(rng.randrange(1, 60))]
+        rows.append((" ".join(x), " ".join(edited(rng, x, rng.uniform(0, 0.6)))))
+    df = spark.createDataFrame(rows, "x string, y string")
+    got = df.select("x", "y", lines._apart(F.col("x"), F.col("y"), F.lit(10**6)).alias("bound")).collect()
+    assert all(r["bound"] >= distance(r["x"], r["y"]) for r in got)
+    assert any(0 < r["bound"] == distance(r["x"], r["y"]) for r in got)
+
+
+def test_pairs_of_groups_that_met_are_not_tried_again(spark):
+    apart = spark.createDataFrame([(1, 3, 1, 3, 20), (2, 3, 1, 3, 15), (1, 4, 1, 4, 20), (2, 4, 1, 4, 15)], "a long, b long, ga long, gb long, shared int")
+    best = lines.best_between(apart)
+    assert {tuple(r) for r in best.collect()} == {(1, 3), (1, 4)}
+    links = spark.sql("SELECT named_struct('k1', 1L, 'k2', 0L) AS a, named_struct('k1', 3L, 'k2', 0L) AS b")
+    assert [tuple(r) for r in lines.still_apart(apart, best, links).collect()] == [(2, 4)]
+
+
+def test_across_leaves_out_only_pairs_whose_lengths_forbid_the_similarity(spark):
+    docs = spark.createDataFrame(corpus(6), "doc_id long, text string")
+    told = lines.normalised(lines.raw_lines(docs))
+    met = lines.meetings(lines.fingerprints(told)).cache()
+    none = spark.createDataFrame([], "node struct<k1: long, k2: long>, component struct<k1: long, k2: long>")
+    size = {r["k1"]: len(r["line"]) for r in told.collect()}
+    every, may = ({(r["a"], r["b"]) for r in lines.across(met, none, s).collect()} for s in (0.0, 0.99))
+    assert may == {p for p in every if abs(size[p[0]] - size[p[1]]) <= int((1 - 0.99) * max(size[p[0]], size[p[1]]) + 1e-9)} < every

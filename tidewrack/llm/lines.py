@@ -12,14 +12,16 @@ Where changed words make up a fifth of a line's characters, two lines share abou
 block with probability 0.3, and one of the eight with 0.94; nearer lines meet more surely. Changes strewn over most of
 a line's words alter all blocks, and such pairs are missed, although the edit similarity may allow them.
 
-Candidates are compared if they share ``ALIKE`` of all draws. The edit distance is bounded from above piece by piece
-first; a pair whose bound is more than ``CLEAR`` times the limit is taken as unlike. Large tables between the steps are
-written compressed into the shared folder, and a step's shuffle files go when its table is written.
+Candidates are compared if they share ``ALIKE`` of all draws and their lengths allow the similarity. An upper bound of the
+edit distance, taken piece by piece, settles most similar pairs; of the others the distance itself is taken, so that no
+bound decides that two lines are unlike. Large tables between the steps are written compressed into the shared folder,
+and a step's shuffle files go when its table is written.
 
 Not all pairs of a block's lines are compared. First each line is compared with the block's first line only; those
-that prove similar make groups. Then lines are compared that share a block and whose groups still differ, at least one
-of them outside the group of the block's first line. So a template of n variants costs about n comparisons, and no
-link between different groups is lost.
+that prove similar make groups. Then come lines that share a block and whose groups still differ, at least one of them
+outside the group of the block's first line: of the pairs between two groups the one that shares the most draws, and
+then all others whose groups are still apart. So a template of n variants costs about n comparisons, and no link between
+different groups is lost.
 
 Defined results: a null text counts as empty and has one empty line; lines of fewer than ``WORDS`` words (whole lines
 of scripts without blanks too) are matched when equal alone; lines without words are left alone; lines that repeat in
@@ -41,10 +43,11 @@ SIMILARITY, WORDS = 0.8, 5
 BLOCKS, DRAWS = 8, 3
 #: Draws of the 24 that two lines must share to be compared, and longs that hold eight bits of each draw.
 ALIKE, SKETCH = 12, ["s0", "s1", "s2"]
-#: Words in a row that hold two lines together piece by piece, and how far over the limit the sum of the pieces'
-#: distances must be for a pair to be unlike without another look.
-ANCHOR, CLEAR = 2, 1.25
-#: Characters of a piece beyond which its distance is not taken by itself.
+#: Characters between the places of a line that are looked up in the other, how many are looked up there, and how far
+#: from where they are expected at least.
+STEP, ANCHOR, AROUND = 24, 12, 8
+#: Characters of a piece beyond which its distance is not taken by itself (a quarter of the line's if that is more), and of
+#: a line beyond which what both begin and end with is taken off first.
 LARGE = 2000
 #: The lowest bit of each of eight bytes.
 ONES = 0x0101010101010101
@@ -65,13 +68,18 @@ def normalised(lines: DataFrame) -> DataFrame:
     return told.select("*", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
 
 
-def _draw(block: int, draw: int) -> Column:
-    """The word that a block draws, as one number: words are dealt to the draws by hash, and of those of a draw the one
-    with the least hash for its length is taken."""
-    h = f"shiftrightunsigned(h{block}, 34)"
-    clock = F.expr(f"{h} div chars")
-    one = F.shiftleft(clock, 32).bitwiseOR(F.col(f"h{block}").bitwiseAND(F.lit((1 << 32) - 1)))
-    return F.min(F.when(F.expr(f"{h} % {DRAWS} = {draw}"), one)).alias(f"d{block}_{draw}")
+def _draws(words: DataFrame) -> DataFrame:
+    """(k1, short, long, d0_0, d0_1 ...): the word that each draw takes, as one number. Words are dealt to a block's draws
+    by hash, and of those of a draw the one with the least hash for its length is taken."""
+    hashed = words.select("k1", "size", "chars", *(F.xxhash64("h", F.lit(k)).alias(f"h{k}") for k in range(BLOCKS)))
+    high = [f"shiftrightunsigned(h{k}, 34)" for k in range(BLOCKS)]
+    low = lambda k: F.col(f"h{k}").bitwiseAND(F.lit((1 << 32) - 1))
+    ones = [F.shiftleft(F.expr(f"{high[k]} div chars"), 32).bitwiseOR(low(k)).alias(f"one{k}") for k in range(BLOCKS)]
+    dealt = hashed.select("k1", "size", *ones, *(F.expr(f"cast({high[k]} as int) % {DRAWS}").alias(f"j{k}") for k in range(BLOCKS)))
+    none = F.lit((1 << 63) - 1)  # over all numbers of words; minima without nulls take half the time
+    least = lambda k, j: F.nullif(F.min(F.when(F.col(f"j{k}") == j, F.col(f"one{k}")).otherwise(none)), none)
+    draws = [least(k, j).alias(f"d{k}_{j}") for k in range(BLOCKS) for j in range(DRAWS)]
+    return dealt.groupBy("k1").agg(F.min("size").alias("short"), F.max("size").alias("long"), *draws)
 
 
 def _majority(votes: list[Column]) -> Column:
@@ -82,16 +90,16 @@ def _majority(votes: list[Column]) -> Column:
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(k1, fp, s0, s1, s2) of each distinct line: its blocks, and eight bits of each draw. Equal lines are one row from here on."""
-    words = lines.select("k1", F.explode(F.split("line", " ")).alias("word")).select("k1", F.length("word").alias("chars"), F.xxhash64("word").alias("h"))
-    words = words.select("k1", "chars", *(F.xxhash64("h", F.lit(k)).alias(f"h{k}") for k in range(BLOCKS)))
-    drawn = words.groupBy("k1").agg(*(_draw(k, j) for k in range(BLOCKS) for j in range(DRAWS)))
+    """(k1, short, long, fp, s0, s1, s2) of each distinct line: its characters (least and most of the lines that share the
+    hash, as a rule one line), its blocks, and eight bits of each draw. Equal lines are one row from here on."""
+    words = lines.select("k1", F.length("line").alias("size"), F.explode(F.split("line", " ")).alias("word"))
+    drawn = _draws(words.select("k1", "size", F.length("word").alias("chars"), F.xxhash64("word").alias("h")))
     vote = lambda c: F.when(c.isNotNull(), F.xxhash64(c))
     blocks = [_majority([vote(F.col(f"d{k}_{j}")) for j in range(DRAWS)]) for k in range(BLOCKS)]
     every = [f"d{k}_{j}" for k in range(BLOCKS) for j in range(DRAWS)]
     byte = lambda c, i: F.shiftleft(F.coalesce(F.col(c), F.lit(0)).bitwiseAND(F.lit(255)), 8 * i)
     sketch = [reduce(Column.bitwiseOR, [byte(c, i) for i, c in enumerate(every[8 * k : 8 * k + 8])]).alias(name) for k, name in enumerate(SKETCH)]
-    return drawn.select("k1", F.array(*blocks).alias("fp"), *sketch)
+    return drawn.select("k1", "short", "long", F.array(*blocks).alias("fp"), *sketch)
 
 
 def _alike(x: str, y: str) -> Column:
@@ -105,30 +113,62 @@ def _alike(x: str, y: str) -> Column:
     return F.lit(BLOCKS * DRAWS) - differ
 
 
+def _most(longer: Column, similarity: float) -> Column:
+    """The edit distance up to which lines are similar, the longer of which has so many characters."""
+    return F.floor((1 - similarity) * longer + 1e-9).cast("int")
+
+
+def _may(similarity: float) -> Column:
+    """Whether x and y have enough draws in common, and lengths that allow the similarity."""
+    apart = F.greatest(F.col("x.short") - F.col("y.long"), F.col("y.short") - F.col("x.long"))
+    return (apart <= _most(F.greatest("x.long", "y.long"), similarity)) & (_alike("x", "y") >= ALIKE)
+
+
 def meetings(prints: DataFrame) -> DataFrame:
-    """(at, k1, first, s0, s1, s2): lines that agree with another on a block, and the least of those that do."""
-    rows = prints.select("k1", F.explode(F.transform("fp", lambda v, k: F.xxhash64(k, v))).alias("at"))
+    """(at, k1, first, short, long, s0, s1, s2): lines that agree with another on a block, and the least of those that do."""
+    rows = prints.select("k1", F.explode(F.transform("fp", lambda v, k: F.xxhash64(k, v))).alias("at")).repartition("at")
     several = rows.groupBy("at").agg(F.count("*").alias("n"), F.min("k1").alias("first")).where("n > 1").select("at", "first")
     met = rows.join(several, "at").select("at", "k1", "first")
-    return met.join(prints.select("k1", *SKETCH), "k1").select("at", "k1", "first", *SKETCH)
+    return met.join(prints.drop("fp"), "k1").select("at", "k1", "first", "short", "long", *SKETCH)
 
 
-def to_first(met: DataFrame) -> DataFrame:
-    """(a, b): a block's first line with each of its others that has enough draws in common with it."""
+def to_first(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): a block's first line with each of its others that may be similar and has enough draws in common with it."""
     first, other = met.where(F.col("k1") == F.col("first")).alias("x"), met.where(F.col("k1") != F.col("first")).alias("y")
-    pairs = first.join(other, (F.col("x.at") == F.col("y.at")) & (_alike("x", "y") >= ALIKE))
+    pairs = first.join(other, (F.col("x.at") == F.col("y.at")) & _may(similarity))
     return pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
 
 
-def across(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b), a < b, of lines that share a block and enough draws, but no group, one of them outside that of the block's first."""
+def across(met: DataFrame, groups: DataFrame, similarity: float = 0.0) -> DataFrame:
+    """(a, b, ga, gb, shared), a < b, of lines that share a block and enough draws, but no group, one of them outside that
+    of the block's first, if their lengths allow the similarity; their groups and how many draws they share."""
     own = groups.select(F.col("node.k1").alias("k1"), F.col("component.k1").alias("own"))
     main = own.select(F.col("k1").alias("first"), F.col("own").alias("main"))
     told = met.join(own, "k1", "left").join(main, "first", "left")
-    told = told.select("at", "k1", *SKETCH, F.coalesce("own", "k1").alias("own"), F.coalesce("main", "first").alias("main"))
+    told = told.select("at", "k1", "short", "long", *SKETCH, F.coalesce("own", "k1").alias("own"), F.coalesce("main", "first").alias("main"))
     out = told.where(F.col("own") != F.col("main"))
-    pairs = out.alias("x").join(told.alias("y"), (F.col("x.at") == F.col("y.at")) & (F.col("x.own") != F.col("y.own")) & (_alike("x", "y") >= ALIKE))
-    return pairs.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
+    met_in = (F.col("x.at") == F.col("y.at")) & (F.col("x.own") != F.col("y.own"))
+    pairs = out.alias("x").join(told.alias("y"), met_in & _may(similarity))
+    swap = lambda c: (F.when(F.col("x.k1") < F.col("y.k1"), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(F.col("x.k1") < F.col("y.k1"), F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    (a, b), (ga, gb) = swap("k1"), swap("own")
+    return pairs.select(a.alias("a"), b.alias("b"), ga.alias("ga"), gb.alias("gb"), _alike("x", "y").alias("shared")).distinct()
+
+
+def best_between(apart: DataFrame) -> DataFrame:
+    """(a, b): of the pairs between two groups the one that shares the most draws."""
+    one = apart.groupBy(F.least("ga", "gb"), F.greatest("ga", "gb")).agg(F.max(F.struct("shared", "a", "b")).alias("best"))
+    return one.select("best.a", "best.b")
+
+
+def still_apart(apart: DataFrame, tried: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b) of ``apart`` that haven't been tried and whose groups the links found meanwhile don't join."""
+    at = apart.select("a", "b", "ga", "gb")
+    found = links.select(F.col("a.k1").alias("a"), F.col("b.k1").alias("b")).join(at, ["a", "b"]).select("ga", "gb")
+    joined = stored(connected_components(found, "ga", "gb"))
+    for g in ("ga", "gb"):
+        at = at.join(joined.select(F.col("node").alias(g), F.col("component").alias(f"{g}_now")), g, "left")
+    differ = F.coalesce("ga_now", "ga") != F.coalesce("gb_now", "gb")
+    return at.where(differ).select("a", "b").join(tried, ["a", "b"], "left_anti")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -139,20 +179,13 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
     both = pairs.join(texts.select(F.col("key.k1").alias("a"), F.col("key").alias("p"), F.col("line").alias("x")), "a")
     both = both.join(texts.select(F.col("key.k1").alias("b"), F.col("key").alias("q"), F.col("line").alias("y")), "b")
     longer = F.greatest(F.length("x"), F.length("y"))
-    both = both.withColumn("most", F.floor((1 - similarity) * longer + 1e-9).cast("int")).where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
-    # What both begin and end with doesn't count. Then come upper bounds of the distance, each tried if the one before
-    # settles nothing: the longer of the two rests, and sums over the pieces between many and between few anchors. A sum
-    # far over the limit settles a pair as unlike; of what is left open the whole rests are compared.
-    many = F.greatest(F.lit(2), F.floor(F.sqrt(longer) / 32)).cast("long")
+    both = both.withColumn("most", _most(longer, similarity)).where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
+    # An upper bound first, piece by piece; the distance itself where that is over the limit.
     most = F.col("most")
-    sure = lambda bound, other: _let(bound, lambda v: F.when(v <= most, True).when(v > CLEAR * most, False).otherwise(other))
-
-    def near(x: Column, y: Column) -> Column:
-        whole = F.call_function("levenshtein", x, y, most)
-        pieces = sure(_apart(x, y, many, most), sure(_apart(x, y, 8 * many, most), whole >= 0))
-        return F.when(F.greatest(F.length(x), F.length(y)) <= most, True).otherwise(pieces)
-
-    alike = _let(_rests("x", "y"), lambda r: near(r["x"], r["y"]))
+    whole = lambda x, y: F.call_function("levenshtein", x, y, most) >= 0
+    rests = _let(_rests("x", "y"), lambda r: (F.greatest(F.length(r["x"]), F.length(r["y"])) <= most) | whole(r["x"], r["y"]))
+    exact = F.when(longer > LARGE, rests).otherwise(whole(F.col("x"), F.col("y")))
+    alike = F.when(_apart(F.col("x"), F.col("y"), most) <= most, True).otherwise(exact)
     return both.where(alike).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
@@ -182,45 +215,40 @@ def _rests(x: str | Column, y: str | Column) -> Column:
     return _let(F.split(x, " "), lambda xs: _let(F.split(y, " "), lambda ys: between(xs, ys)))
 
 
-def _apart(x: Column, y: Column, every: Column, most: Column) -> Column:
-    """An upper bound of the edit distance: the sum over the pieces between anchors, the ``ANCHOR`` words in a row that
-    each line has once and both have, of which the hash takes one of ``every``. Null if there are none or the two have them
-    in another order; also if it is over ``most`` and unlike pieces of over ``LARGE`` characters are in it, of which only
-    the lengths of the rests are taken."""
+def _apart(x: Column, y: Column, most: Column) -> Column:
+    """An upper bound of the edit distance: the sum over the pieces between places of ``x``, every ``STEP`` characters, whose
+    ``ANCHOR`` characters ``y`` has near the same distance from the place before. Where it has not, the piece goes on to
+    the next place. Of large pieces (``LARGE``) only the length is taken, and over ``most`` no more is added."""
+    length, part = F.length, F.substring
+    large = F.greatest(F.lit(LARGE), F.floor(length(x) / 4))
 
-    def anchors(ws: Column, n: Column) -> Column:  # for each word the hash of it and those after it, null unless chosen
-        hashed = F.transform(ws, lambda w: F.xxhash64(w))
-        after = lambda k: F.concat(F.slice(hashed, k + 1, F.greatest(F.size(ws) - k, F.lit(0))), F.array_repeat(F.lit(0).cast("long"), k))
-        row = hashed
-        for k in range(1, ANCHOR):
-            row = F.zip_with(row, after(k), lambda p, q: F.xxhash64(p, q))
-        return F.transform(row, lambda h: F.when(F.pmod(h, n) == 0, h))
+    def cost(p: Column, q: Column) -> Column:
+        longer = F.greatest(length(p), length(q))
+        return F.when(p == q, 0).when(longer > large, longer).otherwise(F.levenshtein(p, q))
 
-    def once(hs: Column) -> Column:
-        again = lambda s: F.array_compact(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda p, q: F.when(p == q, p)))
-        return _let(F.array_compact(hs), lambda own: F.array_except(own, _let(F.array_sort(own), again)))
+    def place(s: Column, p: Column) -> Column:  # characters of y before the anchor at p, null if it isn't found near by
+        mark, straight = part(x, p + 1, F.lit(ANCHOR)), s["j"] + p - s["i"]
+        around = F.floor((p - s["i"]) / 2).cast("int") + AROUND
+        start = F.greatest(s["j"], straight - around)
+        found = F.call_function("locate", mark, part(y, start + 1, straight - start + around + ANCHOR))
+        return F.when(part(y, straight + 1, F.lit(ANCHOR)) == mark, straight).when(found > 0, start + found - 1)
 
-    def cost(p: Column, q: Column) -> Column:
-        large = _let(_rests(p, q), lambda r: F.greatest(F.length(r["x"]), F.length(r["y"])))
-        return F.when(p == q, 0).when(F.greatest(F.length(p), F.length(q)) > LARGE, large).otherwise(F.levenshtein(p, q))
+    def state(i: Column, j: Column, far: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), far.cast("int").alias("far"))
 
-    def summed(ps: Column, qs: Column) -> Column:
-        rough = F.exists(F.zip_with(ps, qs, lambda p, q: (p != q) & (F.greatest(F.length(p), F.length(q)) > LARGE)), lambda v: v)
-        total = F.aggregate(F.zip_with(ps, qs, cost), F.lit(0), lambda s, v: s + v)
-        return _let(total, lambda v: F.when((v <= most) | ~rough, v))
+    def onward(s: Column, p: Column) -> Column:
+        def upto(q: Column) -> Column:
+            piece = cost(part(x, s["i"] + 1, p - s["i"]), part(y, s["j"] + 1, q - s["j"]))
+            return F.when(q.isNull(), s).otherwise(state(p, q, s["far"] + piece))
 
-    def compared(xs: Column, ys: Column, ax: Column, ay: Column, mid: Column) -> Column:
-        held = lambda hs: F.filter(hs, lambda h: h.isNotNull() & F.array_contains(mid, h))
-        cut_at = lambda w, h: F.when(h.isNotNull() & F.array_contains(mid, h), F.concat(F.lit("\n"), w)).otherwise(w)
-        pieces = lambda ws, hs: F.split(F.array_join(F.zip_with(ws, hs, cut_at), " "), "\n")
-        each = _let(pieces(xs, ax), lambda ps: _let(pieces(ys, ay), lambda qs: summed(ps, qs)))
-        return F.when((F.size(mid) > 0) & (held(ax) == held(ay)), each)
+        return F.when(s["far"] > most, s).otherwise(_let(place(s, p), upto))
 
-    def anchored(xs: Column, ys: Column, n: Column) -> Column:
-        both = lambda ax, ay: _let(F.array_intersect(once(ax), once(ay)), lambda mid: compared(xs, ys, ax, ay, mid))
-        return _let(anchors(xs, n), lambda ax: _let(anchors(ys, n), lambda ay: both(ax, ay)))
+    def last(s: Column) -> Column:
+        rest = cost(part(x, s["i"] + 1, length(x)), part(y, s["j"] + 1, length(y)))
+        return F.when(s["far"] > most, s["far"]).otherwise(s["far"] + rest)
 
-    return _let(every, lambda n: _let(F.split(x, " "), lambda xs: _let(F.split(y, " "), lambda ys: anchored(xs, ys, n))))
+    places = F.when(length(x) < STEP + ANCHOR, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(STEP), length(x) - ANCHOR, F.lit(STEP)))
+    return F.aggregate(places, state(F.lit(0), F.lit(0), F.lit(0)), onward, last)
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -232,9 +260,13 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     asked = met.select("k1").distinct()
     texts = lines.select("k1", "k2", "line").join(asked, "k1", "left_semi").distinct()
     texts = stored(texts.select(F.struct("k1", "k2").alias("key"), "line"))
-    links = stored(linked(stored(to_first(met)), texts, similarity))
-    more = linked(stored(across(met, connected_components(links, "a", "b"))), texts, similarity)
-    groups = connected_components(links.union(more), "a", "b")
+    firsts = stored(to_first(met, similarity))
+    links = stored(linked(firsts, texts, similarity))
+    apart = stored(across(met, connected_components(links, "a", "b"), similarity).join(firsts, ["a", "b"], "left_anti"))
+    best = stored(best_between(apart))
+    more = stored(linked(best, texts, similarity))
+    rest = stored(linked(stored(still_apart(apart, best, more)), texts, similarity))
+    groups = connected_components(links.union(more).union(rest), "a", "b")
     distinct = seen.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     rooted = distinct.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("root"), "first", "n")
     rooted = stored(rooted)
