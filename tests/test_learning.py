@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tidewrack.operators import attributions, learning, posthoc, recipes
@@ -174,3 +175,112 @@ def test_variances_of_powers(spark):
         down = -np.log1p(np.abs(values)) if g == 2 else -((np.abs(values) + 1) ** (2 - g) - 1) / (2 - g)
         assert math.isclose(v, np.var(np.where(values >= 0, up, down)), rel_tol=1e-8)
     assert got["flat"] == [0.0] * len(grid)
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """6000 rows of 60 kinds; one of the kinds has a tenth of them."""
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 5, 6000), rng.integers(0, 4, 6000)
+    a[:600], b[:600] = 2, 3
+    y = np.where(a > 2, 5.0, 1.0) + b * (a < 2) - 0.5 * b + rng.normal(0, 2, 6000)
+    df = learning.folds(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(a, b, y))], "id int, a double, b double, y double"), ["id"], 3)
+    path = str(tmp_path_factory.mktemp("repeated") / "t")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _trees(model):
+    return [t.toDebugString.split("\n", 1)[1] for t in model.stages[-1].trees]
+
+
+def test_fits_to_counted_rows_are_fits_to_rows(repeated):
+    ridge, lasso = learning.linear("y", ridge=0.7), learning.linear("y", 0.1, 0.2)
+    whole = learning.forest("y", 3, 3).setBootstrap(False).setFeatureSubsetStrategy("onethird")
+    boosted = learning.boosted("y", 4, 2)
+    models = [learning.linear("y"), ridge, lasso, whole, boosted]
+    counted = learning.Counted(repeated, ["a", "b"], "y", models, ["id"], 50.0)
+    assert counted.rows.count() < 400 and counted.rows.agg(F.max("n__")).first()[0] <= 25 and math.isclose(counted.rows.agg(F.sum("n__")).first()[0], 6000)
+    for fold in (None, 1):
+        seen = repeated if fold is None else repeated.where(F.col("fold") != fold)
+        for model in models:
+            got, want = counted.fit(model, fold), learning.fit(seen, ["a", "b"], model)
+            said = [[r["prediction"] for r in m.transform(repeated.orderBy("id")).collect()] for m in (got, want)]
+            assert np.allclose(*said, rtol=1e-9)
+            if model in (ridge, lasso):
+                assert np.allclose(got.stages[-1].coefficients, want.stages[-1].coefficients, rtol=1e-9) and np.abs(want.stages[-1].coefficients).max() > 0.1
+
+
+def test_forests_of_counted_rows(repeated, tmp_path):
+    """Each tree is the one that Spark grows from the rows that its bootstrap drew."""
+    model = learning.forest("y", 4, 3)
+    counted = learning.Counted(repeated, ["a", "b"], "y", [model], ["id"], 50.0)
+    got = counted.fit(model, 0)
+    assert len(_trees(got)) == 4 == len(set(_trees(got))) and got.stages[-1].getNumTrees == 4 and got.stages[-1].numFeatures == 2
+    one = learning.forest("y", 1, 3).setBootstrap(False).setFeatureSubsetStrategy("onethird")
+    drawn = repeated.select("*", *(F.xxhash64("id", "fold", "a", "b", "y", F.lit(0), F.lit(t)).alias(f"h{t}") for t in range(4)))
+    seeds = np.random.default_rng(0).integers(1 << 62, size=4).tolist()
+    for t, seed in enumerate(seeds):
+        rows = drawn.withColumn("times", learning._drawn(f"h{t}", 1.0)).where("fold != 0").withColumn("again", F.explode(F.expr("CASE WHEN times > 0 THEN sequence(1, times) END")))
+        said = [[r["prediction"] for r in m.transform(repeated.orderBy("id")).collect()] for m in (learning.fit(rows, ["a", "b"], one.copy({one.seed: seed})), learning.PipelineModel([got.stages[0], got.stages[-1].trees[t]]))]
+        assert np.allclose(*said, rtol=1e-9)
+    learning.save(got, str(tmp_path / "m"))
+    again = learning.load(str(tmp_path / "m"))
+    assert _trees(again) == _trees(got) and dict(learning.forest_importance(again, ["a", "b"])).keys() == {"a", "b"}
+    assert np.allclose(attributions.tree_attributions(got, repeated, ["a", "b"], ["id"]).orderBy("id").toPandas()["prediction"], [r["prediction"] for r in got.transform(repeated.orderBy("id")).collect()])
+
+
+def test_draws_follow_poissons_law(spark):
+    for rate in (1.0, 0.3):
+        n = 200000
+        got = dict(spark.range(n).select(F.xxhash64("id").alias("h")).groupBy(learning._drawn("h", rate).alias("k")).count().collect())
+        for k in range(5):
+            p = math.exp(-rate) * rate**k / math.factorial(k)
+            assert abs(got.get(k, 0) / n - p) < 5 * math.sqrt(p / n) + 1e-5
+
+
+def _read(df, y):
+    """``df`` with a count of how often ``y`` is asked for."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def told(v):
+        seen.add(1)
+        return v
+
+    return df.withColumn(y, F.udf(told, "double").asNondeterministic()(y)), seen
+
+
+@pytest.mark.parametrize("kind", ["forest", "line"])
+def test_rows_that_repeat_are_read_once_for_a_grid(repeated, monkeypatch, kind):
+    """One pass for all settings, folds and bootstraps; a line that is the best is fitted once more, to the rows (it reads them twice)."""
+    model, grid = (learning.forest("y", 3, 2), {"maxDepth": [1, 3], "featureSubsetStrategy": ["all", "onethird"]}) if kind == "forest" else (learning.linear("y"), {"regParam": [0.0, 0.5], "elasticNetParam": [0.0, 1.0]})
+    df, seen = _read(repeated, "y")
+    best, told = learning.grid_search(df, ["a", "b"], model, grid, "y", 3, ids=["id"])
+    assert 6000 <= seen.value <= (1 if kind == "forest" else 3) * 6000
+    monkeypatch.setattr(learning, "REPEATS", math.inf)
+    own, want = learning.grid_search(repeated, ["a", "b"], model, grid, "y", 3)
+    assert [s for s, _ in told] == [s for s, _ in want]
+    for (setting, g), (_, w) in zip(told, want):  # a few trees of one column each are as it was drawn
+        assert math.isclose(g, w, rel_tol={"all": 0.005, "onethird": 0.15}.get(setting.get("featureSubsetStrategy"), 1e-9))
+    if kind == "line":
+        assert np.allclose(best.stages[-1].coefficients, own.stages[-1].coefficients) and best.stages[-1].summary.numInstances == 6000
+
+
+def test_what_needs_single_rows_gets_them(repeated):
+    """Settings that count or draw rows, and measures that aren't squares."""
+    assert not any(map(learning._needs_counts, (learning.forest("y").setMinInstancesPerNode(5), learning.boosted("y").setSubsamplingRate(0.5), learning.boosted("y").setLossType("absolute"), LinearRegression(labelCol="y", loss="huber"), learning.linear("y").setWeightCol("b"))))
+    grid = {"minInstancesPerNode": [1, 3000]}
+    model = learning.forest("y", 1, 2).setBootstrap(False).setFeatureSubsetStrategy("all")
+    for metric in ("rmse", "mae"):
+        _, told = learning.grid_search(repeated, ["a", "b"], model, grid, "y", 3, metric)
+        for (setting, m), least in zip(told, grid["minInstancesPerNode"]):
+            own = [learning.scores(learning.fit(repeated.where(F.col("fold") != f), ["a", "b"], model.copy({model.minInstancesPerNode: least})).transform(repeated.where(F.col("fold") == f)), "y")[metric] for f in range(3)]
+            assert setting == {"minInstancesPerNode": least} and math.isclose(m, np.mean(own), rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["forest", "line"])
+def test_a_missing_target_is_refused(repeated, kind):
+    df = repeated.withColumn("y", F.when(F.col("id") != 5, F.col("y")))
+    model = learning.forest("y", 2, 2) if kind == "forest" else learning.linear("y")
+    with pytest.raises(Exception):
+        learning.grid_search(df, ["a", "b"], model, {"maxDepth": [1]} if kind == "forest" else {"regParam": [0.0]}, "y", 3)

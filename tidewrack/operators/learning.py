@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.lineage import written
@@ -24,6 +26,12 @@ from tidewrack.operators.windows import imputed
 #: Rows that a column's values are dealt among.
 BUCKET = 1 << 16
 
+#: Rows that agree in all columns are counted once for all fits where there are more than so many of each kind on average.
+REPEATS = 4
+
+#: Bootstraps that are drawn in one pass, and trees that are grown at a time.
+BAGS, GROWN = 16, 4
+
 
 def features(df: DataFrame, key: str, order: str, target: str, numbers: Sequence[str]) -> DataFrame:
     """Lag of the target, calendar columns and means in place of nulls."""
@@ -36,8 +44,12 @@ def folds(df: DataFrame, ids: Sequence[str], k: int) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(*ids), F.lit(k)).cast("int"))
 
 
+def _assembler(columns: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip")
+
+
 def _pipeline(columns: Sequence[str], model) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip"), model])
+    return Pipeline(stages=[_assembler(columns), model])
 
 
 def linear(target: str, ridge: float = 0.0, lasso: float = 0.0) -> LinearRegression:
@@ -65,6 +77,120 @@ def scores(predicted: DataFrame, target: str) -> dict[str, float]:
     return {"r2": 1 - row[0] / row[2] if row[2] else math.nan, "rmse": math.sqrt(row[0]), "mae": row[1]} if row[0] is not None else dict.fromkeys(("r2", "rmse", "mae"), math.nan)
 
 
+def _bags(model) -> list[tuple[int, float, int]]:
+    """(seed, rate, tree) of each bootstrap that ``model`` draws of its rows."""
+    return [(model.getSeed(), model.getSubsamplingRate(), t) for t in range(model.getNumTrees())] if isinstance(model, RandomForestRegressor) and model.getBootstrap() else []
+
+
+def _drawn(h: str, rate: float) -> Column:
+    """How often a row is drawn, by Poisson's law, from a hash of 64 bits."""
+    chance, below, told, k = math.exp(-rate), 0.0, None, 0
+    while below + chance < 1 - 1e-15:
+        below += chance
+        at = F.col(h) < F.lit(int((below - 0.5) * 2.0**64))
+        told = F.when(at, k) if told is None else told.when(at, k)
+        k += 1
+        chance *= rate / k
+    return told.otherwise(k)
+
+
+def _needs_counts(model) -> bool:
+    """Whether equal rows bear upon ``model`` by their number, mean and variance alone: least squares, and trees that don't count
+    or draw single rows in another way than by bootstraps."""
+    if not isinstance(model, (LinearRegression, RandomForestRegressor, GBTRegressor)) or model.isSet("weightCol"):
+        return False
+    if isinstance(model, LinearRegression):
+        return model.getLoss() == "squaredError" and model.getSolver() != "l-bfgs"
+    if model.getMinInstancesPerNode() > 1 or model.getMinWeightFractionPerNode() > 0:
+        return False
+    if isinstance(model, RandomForestRegressor):
+        return model.getBootstrap() or model.getSubsamplingRate() == 1
+    return model.getLossType() == "squared" and model.getSubsamplingRate() == 1 and not model.isSet("validationIndicatorCol")
+
+
+class Counted:
+    """Rows that agree in ``fold`` and ``columns``, as one with their number, mean and deviation, and for each bootstrap of a
+    forest how many of them were drawn and their mean. Made in a pass for every ``BAGS`` bootstraps; fits read these tables,
+    (fold, features, target, n__).
+
+    Draws go by a hash of ``ids`` and the row's values, so that reruns agree; without ``ids``, by the row's place. What weighs over
+    ``heavy`` is dealt to several rows, as trees look for their bounds in a sample of rows."""
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], target: str, models: Iterable, ids: Sequence[str], heavy: float):
+        self.assembler, self.target, self.keys = _assembler(columns), target, list(dict.fromkeys(["fold", *columns]))
+        bags = list(dict.fromkeys(b for m in models for b in _bags(m)))
+        self.bags: dict[tuple[int, float, int], DataFrame] = {}
+        for at in range(0, max(1, len(bags)), BAGS):
+            own = bags[at : at + BAGS]
+            table = written(self._told(df, own, ids, heavy))
+            self.bags |= {b: table.where(F.col(f"w{i}__") > 0).select("fold", "features", F.col(f"m{i}__").alias(target), F.col(f"w{i}__").alias("n__")) for i, b in enumerate(own)}
+            if not at:
+                self.rows = written(self._moments(table))
+
+    def _told(self, df: DataFrame, bags: Sequence[tuple[int, float, int]], ids: Sequence[str], heavy: float) -> DataFrame:
+        row = [F.col(c) for c in dict.fromkeys([*ids, *self.keys, self.target])] if ids else [F.monotonically_increasing_id()]
+        hashed = df.select(*self.keys, F.col(self.target).cast("double").alias("y__"), *(F.xxhash64(*row, F.lit(seed), F.lit(t)).alias(f"w{i}__") for i, (seed, _, t) in enumerate(bags)))
+        drawn = hashed.select(*self.keys, "y__", *(_drawn(f"w{i}__", rate).alias(f"w{i}__") for i, (_, rate, _) in enumerate(bags)))
+        weights, known = ["n__", *(f"w{i}__" for i in range(len(bags)))], F.count("y__") == F.count("*")  # a missing value stays one, which models refuse
+        means = [F.when(known, F.avg("y__")).alias("mean__"), F.stddev_pop("y__").alias("sd__")]
+        means += [F.when(known, F.try_divide(F.sum(F.col(w) * F.col("y__")), F.sum(w))).alias(f"m{w[1:]}") for w in weights[1:]]
+        told = drawn.groupBy(*self.keys).agg(F.count("*").cast("double").alias("n__"), *(F.sum(w).cast("double").alias(w) for w in weights[1:]), *means)
+        parts = F.ceil(F.col("n__") / F.lit(heavy)).cast("int")
+        dealt = told.withColumns({w: F.col(w) / parts for w in weights} | {"part__": F.explode(F.sequence(F.lit(1), parts))})
+        return self.assembler.transform(dealt.sortWithinPartitions(*self.keys, "part__")).select("fold", "features", *weights, "mean__", "sd__", *(f"m{w[1:]}" for w in weights[1:]))
+
+    def _moments(self, table: DataFrame) -> DataFrame:
+        """Of each kind two rows, or one if all are equal, that have its weight, mean and variance."""
+        mean, sd = F.col("mean__"), F.col("sd__")
+        told = table.withColumn("values__", F.when(sd > 0, F.array(mean - sd, mean + sd)).otherwise(F.array(mean)))
+        return told.select("fold", "features", F.explode("values__").alias(self.target), (F.col("n__") / F.size("values__")).alias("n__"))
+
+    def fit(self, model, fold: int | None = None) -> PipelineModel:
+        """``model`` fitted to all rows, or to those of the other folds. A forest's trees are grown each from its bootstrap."""
+
+        def fitted(rows: DataFrame, **settings):
+            own = model.copy({model.getParam(p): v for p, v in ({"weightCol": "n__"} | settings).items()})
+            return own.fit(rows if fold is None else rows.where(F.col("fold") != fold))
+
+        bags = _bags(model)
+        if not bags:
+            return PipelineModel([self.assembler, fitted(self.rows)])
+        some = model.getFeatureSubsetStrategy()
+        some = "onethird" if some == "auto" and len(bags) > 1 else some
+        seeds = np.random.default_rng(model.getSeed() % (1 << 64)).integers(1 << 62, size=len(bags)).tolist()
+
+        def grown(bag: tuple[int, float, int], seed: int) -> RandomForestRegressionModel:
+            return fitted(self.bags[bag], numTrees=1, bootstrap=False, subsamplingRate=1.0, featureSubsetStrategy=some, seed=seed)
+
+        with ThreadPool(GROWN) as pool:
+            trees = pool.starmap(inheritable_thread_target(self.rows.sparkSession)(grown), zip(bags, seeds))
+        return PipelineModel([self.assembler, _forest_of(trees, model)])
+
+
+def _forest_of(forests: Sequence[RandomForestRegressionModel], model: RandomForestRegressor) -> RandomForestRegressionModel:
+    """The trees of several forests as one."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    own = sc._jvm.org.apache.spark.ml.regression
+    trees = [t._java_obj for f in forests for t in f.trees]
+    array = sc._gateway.new_array(own.DecisionTreeRegressionModel, len(trees))
+    for i, t in enumerate(trees):
+        array[i] = t
+    told = model._copyValues(RandomForestRegressionModel(own.RandomForestRegressionModel(f"{model.uid}_trees", array, forests[0].numFeatures)))
+    told._transfer_params_to_java()
+    return told
+
+
+def _counted(df: DataFrame, columns: Sequence[str], target: str, models: Iterable, ids: Sequence[str]) -> Counted | None:
+    """``Counted``, where it is less than the rows by far and some model can do with it."""
+    some = [m for m in models if _needs_counts(m)]
+    if not some:
+        return None
+    n, kinds = df.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("fold", *columns))).first()
+    return Counted(df, columns, target, some, ids, REPEATS * n / kinds) if n > REPEATS * kinds else None
+
+
 def cross_validated(df: DataFrame, columns: Sequence[str], models: dict[str, object], target: str, k: int = 5) -> list[tuple[str, int, float, float, float]]:
     """(model, fold, r2, rmse, mae) over the column ``fold``; the best model is the one with the highest mean r2."""
     out = []
@@ -76,22 +202,29 @@ def cross_validated(df: DataFrame, columns: Sequence[str], models: dict[str, obj
     return out
 
 
-def grid_search(df: DataFrame, columns: Sequence[str], model, grid: dict[str, Sequence], target: str, k: int = 5, metric: str = "rmse") -> tuple[PipelineModel, list[tuple[dict, float]]]:
+def grid_search(df: DataFrame, columns: Sequence[str], model, grid: dict[str, Sequence], target: str, k: int = 5, metric: str = "rmse", ids: Sequence[str] = ()) -> tuple[PipelineModel, list[tuple[dict, float]]]:
     """(the best model fitted to all rows, each setting with its mean over folds). ``grid`` has the model's parameters by name;
     folds are the column ``fold`` (``folds``), so that all settings see the same ones and reruns agree. Fits follow each
-    other, so that the rows of one of them are in memory; ``df`` is read for each and should be a table."""
+    other, so that the rows of one of them are in memory; ``df`` is read for each and should be a table.
+
+    Where rows agree in all columns often enough, fits and means of squares are taken from what ``Counted`` tells of them."""
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(model.getParam(name), list(values))
     settings = builder.build()
-    pipeline, judge = _pipeline(columns, model), RegressionEvaluator(labelCol=target, metricName=metric)
-    told = [0.0] * len(settings)
+    models = [model.copy(s) for s in settings]
+    counted = _counted(df, columns, target, models, ids)
+    squares = counted is not None and metric in ("rmse", "mse")
+    judge = RegressionEvaluator(labelCol=target, metricName=metric, **({"weightCol": "n__"} if squares else {}))
+    judged, told = counted.rows if squares else df, [0.0] * len(settings)
     for fold in range(k):
-        seen, unseen = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        for i, setting in enumerate(settings):
-            told[i] += float(judge.evaluate(pipeline.fit(seen, setting).transform(unseen))) / k
-    best = (max if judge.isLargerBetter() else min)(range(len(settings)), key=lambda i: told[i])
-    return pipeline.fit(df, settings[best]), [({p.name: v for p, v in s.items()}, m) for s, m in zip(settings, told)]
+        seen, unseen = df.where(F.col("fold") != fold), judged.where(F.col("fold") == fold)
+        for i, own in enumerate(models):
+            fitted = counted.fit(own, fold) if counted and _needs_counts(own) else fit(seen, columns, own)
+            told[i] += float(judge.evaluate((fitted.stages[-1] if squares else fitted).transform(unseen))) / k
+    best = models[(max if judge.isLargerBetter() else min)(range(len(settings)), key=lambda i: told[i])]
+    trees = counted and _needs_counts(best) and not isinstance(best, LinearRegression)  # a line's summary is that of the rows
+    return counted.fit(best) if trees else fit(df, columns, best), [({p.name: v for p, v in s.items()}, m) for s, m in zip(settings, told)]
 
 
 def forest_importance(model: PipelineModel, columns: Sequence[str]) -> list[tuple[str, float]]:

@@ -118,10 +118,10 @@ def correspondence_scores(spark, d):
 def grid_of_settings(spark, d):
     """Settings of a forest and of a penalised line by cross validation."""
     x = ["density", "discount", "tax", "size"]
-    data = written(learning.folds(observations(spark, d), ["ord", "line"], 3).select("fold", "biovolume", *x))
+    data = written(learning.folds(observations(spark, d), ["ord", "line"], 3).select("fold", "ord", "line", "biovolume", *x))
     rows = []
     for name, model, grid in (("forest", learning.forest("biovolume", 5, 3), {"maxDepth": [2, 4], "featureSubsetStrategy": ["onethird", "all"]}), ("penalised", learning.linear("biovolume"), {"regParam": [0.0, 100.0], "elasticNetParam": [0.0, 1.0]})):
-        _, told = learning.grid_search(data, x, model, grid, "biovolume", 3)
+        _, told = learning.grid_search(data, x, model, grid, "biovolume", 3, ids=["ord", "line"])
         rows += [(name, ", ".join(f"{k}={v}" for k, v in sorted(setting.items())), round(score, 2)) for setting, score in told]
     return spark.createDataFrame(rows, "model string, setting string, rmse double")
 
