@@ -284,3 +284,16 @@ def test_a_missing_target_is_refused(repeated, kind):
     model = learning.forest("y", 2, 2) if kind == "forest" else learning.linear("y")
     with pytest.raises(Exception):
         learning.grid_search(df, ["a", "b"], model, {"maxDepth": [1]} if kind == "forest" else {"regParam": [0.0]}, "y", 3)
+
+
+def test_models_are_validated_at_once(repeated, monkeypatch):
+    """A pass to count rows and one for each fold's scores, of all models."""
+    models = {"line": learning.linear("y"), "ridge": learning.linear("y", ridge=1.0), "forest": learning.forest("y", 3, 3), "boosted": learning.boosted("y", 3, 2)}
+    df, seen = _read(repeated, "y")
+    got = learning.cross_validated(df, ["a", "b"], models, "y", 3, ["id"])
+    assert 6000 <= seen.value <= 4 * 6000
+    monkeypatch.setattr(learning, "REPEATS", math.inf)
+    want = learning.cross_validated(repeated, ["a", "b"], models, "y", 3)
+    assert [r[:2] for r in got] == [r[:2] for r in want] == [(name, fold) for name in models for fold in range(3)]
+    for g, w in zip(got, want):
+        assert np.allclose(g[2:], w[2:], rtol=0.15 if g[0] == "forest" else 1e-9)

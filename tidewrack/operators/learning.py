@@ -69,12 +69,28 @@ def fit(df: DataFrame, columns: Sequence[str], model) -> PipelineModel:
     return _pipeline(columns, model).fit(df)
 
 
+def _scores(predicted: DataFrame, target: str, names: Sequence[str]) -> list[dict[str, float]]:
+    y, asked = F.col(target).cast("double"), []
+    for name in names:
+        e = y - F.col(name)
+        asked += [F.avg(e * e), F.avg(F.abs(e)), F.var_pop(F.when(e.isNotNull(), y))]
+    row = predicted.agg(*asked).first()
+    told = [row[i : i + 3] for i in range(0, len(row), 3)]
+    return [{"r2": 1 - e2 / v if v else math.nan, "rmse": math.sqrt(e2), "mae": e1} if e2 is not None else dict.fromkeys(("r2", "rmse", "mae"), math.nan) for e2, e1, v in told]
+
+
 def scores(predicted: DataFrame, target: str) -> dict[str, float]:
     """r2, rmse and mae, in one pass."""
-    y = F.col(target).cast("double")
-    e = y - F.col("prediction")
-    row = predicted.where(e.isNotNull()).agg(F.avg(e * e), F.avg(F.abs(e)), F.var_pop(y)).first()
-    return {"r2": 1 - row[0] / row[2] if row[2] else math.nan, "rmse": math.sqrt(row[0]), "mae": row[1]} if row[0] is not None else dict.fromkeys(("r2", "rmse", "mae"), math.nan)
+    return _scores(predicted, target, ["prediction"])[0]
+
+
+def _side_by_side(df: DataFrame, models: Sequence[PipelineModel]) -> DataFrame:
+    """``df`` with each model's prediction, ``p0__`` and on; the models have the same columns."""
+    told = models[0].stages[0].transform(df)
+    for i, model in enumerate(models):
+        own = model.stages[-1]
+        told = own.transform(told, {own.predictionCol: f"p{i}__"})
+    return told
 
 
 def _bags(model) -> list[tuple[int, float, int]]:
@@ -191,15 +207,17 @@ def _counted(df: DataFrame, columns: Sequence[str], target: str, models: Iterabl
     return Counted(df, columns, target, some, ids, REPEATS * n / kinds) if n > REPEATS * kinds else None
 
 
-def cross_validated(df: DataFrame, columns: Sequence[str], models: dict[str, object], target: str, k: int = 5) -> list[tuple[str, int, float, float, float]]:
-    """(model, fold, r2, rmse, mae) over the column ``fold``; the best model is the one with the highest mean r2."""
-    out = []
-    for name, model in models.items():
-        for fold in range(k):
-            fitted = fit(df.where(F.col("fold") != fold), columns, model)
-            s = scores(fitted.transform(df.where(F.col("fold") == fold)), target)
-            out.append((name, fold, s["r2"], s["rmse"], s["mae"]))
-    return out
+def cross_validated(df: DataFrame, columns: Sequence[str], models: dict[str, object], target: str, k: int = 5, ids: Sequence[str] = ()) -> list[tuple[str, int, float, float, float]]:
+    """(model, fold, r2, rmse, mae) over the column ``fold``; the best model is the one with the highest mean r2.
+
+    Where rows agree in all columns often enough, models are fitted to what ``Counted`` tells of them; scores are taken from the
+    rows themselves, of all models at once."""
+    counted, told = _counted(df, columns, target, models.values(), ids), {}
+    for fold in range(k):
+        seen, unseen = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
+        fitted = [counted.fit(m, fold) if counted and _needs_counts(m) else fit(seen, columns, m) for m in models.values()]
+        told |= {(name, fold): s for name, s in zip(models, _scores(_side_by_side(unseen, fitted), target, [f"p{i}__" for i in range(len(fitted))]))}
+    return [(name, fold, told[name, fold]["r2"], told[name, fold]["rmse"], told[name, fold]["mae"]) for name in models for fold in range(k)]
 
 
 def grid_search(df: DataFrame, columns: Sequence[str], model, grid: dict[str, Sequence], target: str, k: int = 5, metric: str = "rmse", ids: Sequence[str] = ()) -> tuple[PipelineModel, list[tuple[dict, float]]]:

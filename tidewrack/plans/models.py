@@ -25,8 +25,8 @@ _X = ["density", "discount", "tax", "size"]
 @query()
 def cross_validated_models(spark, d):
     """L1, and L2, L4 and L6 at one setting each: folds by hash, several models."""
-    data = written(learning.folds(observations(spark, d), ["ord", "line"], 3).select("fold", "biovolume", *_X))
-    rows = learning.cross_validated(data, _X, {"linear": learning.linear("biovolume"), "ridge": learning.linear("biovolume", ridge=1.0), "forest": learning.forest("biovolume", 10, 5), "boosted": learning.boosted("biovolume", 5, 3)}, "biovolume", 3)
+    data = written(learning.folds(observations(spark, d), ["ord", "line"], 3).select("fold", "ord", "line", "biovolume", *_X))
+    rows = learning.cross_validated(data, _X, {"linear": learning.linear("biovolume"), "ridge": learning.linear("biovolume", ridge=1.0), "forest": learning.forest("biovolume", 10, 5), "boosted": learning.boosted("biovolume", 5, 3)}, "biovolume", 3, ["ord", "line"])
     return spark.createDataFrame(rows, "model string, fold int, r2 double, rmse double, mae double")
 
 
