@@ -45,6 +45,7 @@ def folds(df: DataFrame, ids: Sequence[str], k: int) -> DataFrame:
 
 
 def _assembler(columns: Sequence[str]) -> VectorAssembler:
+    """One for many fits is compiled once: its own name is in what Spark compiles for columns that aren't doubles."""
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip")
 
 
@@ -212,10 +213,10 @@ def cross_validated(df: DataFrame, columns: Sequence[str], models: dict[str, obj
 
     Where rows agree in all columns often enough, models are fitted to what ``Counted`` tells of them; scores are taken from the
     rows themselves, of all models at once."""
-    counted, told = _counted(df, columns, target, models.values(), ids), {}
+    counted, assembler, told = _counted(df, columns, target, models.values(), ids), _assembler(columns), {}
     for fold in range(k):
         seen, unseen = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        fitted = [counted.fit(m, fold) if counted and _needs_counts(m) else fit(seen, columns, m) for m in models.values()]
+        fitted = [counted.fit(m, fold) if counted and _needs_counts(m) else Pipeline(stages=[assembler, m]).fit(seen) for m in models.values()]
         told |= {(name, fold): s for name, s in zip(models, _scores(_side_by_side(unseen, fitted), target, [f"p{i}__" for i in range(len(fitted))]))}
     return [(name, fold, told[name, fold]["r2"], told[name, fold]["rmse"], told[name, fold]["mae"]) for name in models for fold in range(k)]
 
@@ -230,7 +231,7 @@ def grid_search(df: DataFrame, columns: Sequence[str], model, grid: dict[str, Se
     for name, values in grid.items():
         builder = builder.addGrid(model.getParam(name), list(values))
     settings = builder.build()
-    models = [model.copy(s) for s in settings]
+    models, assembler = [model.copy(s) for s in settings], _assembler(columns)
     counted = _counted(df, columns, target, models, ids)
     squares = counted is not None and metric in ("rmse", "mse")
     judge = RegressionEvaluator(labelCol=target, metricName=metric, **({"weightCol": "n__"} if squares else {}))
@@ -238,7 +239,7 @@ def grid_search(df: DataFrame, columns: Sequence[str], model, grid: dict[str, Se
     for fold in range(k):
         seen, unseen = df.where(F.col("fold") != fold), judged.where(F.col("fold") == fold)
         for i, own in enumerate(models):
-            fitted = counted.fit(own, fold) if counted and _needs_counts(own) else fit(seen, columns, own)
+            fitted = counted.fit(own, fold) if counted and _needs_counts(own) else Pipeline(stages=[assembler, own]).fit(seen)
             told[i] += float(judge.evaluate((fitted.stages[-1] if squares else fitted).transform(unseen))) / k
     best = models[(max if judge.isLargerBetter() else min)(range(len(settings)), key=lambda i: told[i])]
     trees = counted and _needs_counts(best) and not isinstance(best, LinearRegression)  # a line's summary is that of the rows
