@@ -130,7 +130,7 @@ class Counted:
     forest how many of them were drawn and their mean. Made in a pass for every ``BAGS`` bootstraps; fits read these tables,
     (fold, features, target, n__).
 
-    Draws go by a hash of ``ids`` and the row's values, so that reruns agree; without ``ids``, by the row's place. What weighs over
+    Draws go by a hash of ``ids`` and the row's values, so that reruns draw the same; without ``ids``, by the row's place. What weighs over
     ``heavy`` is dealt to several rows, as trees look for their bounds in a sample of rows."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str], target: str, models: Iterable, ids: Sequence[str], heavy: float):
